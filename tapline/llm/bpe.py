@@ -25,10 +25,14 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: The pre-tokenisation pattern of byte-level BPE: a fixed value of the public vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words that the lexicon holds at most; the rest is merged when met.
 LEXICON_WORDS = 50_000
+#: Occurrences from which a chunk can count as frequent.
+FEWEST = 4
 #: Entries of a worker's memo before it is emptied.
 MEMO_WORDS = 800_000
 
@@ -288,7 +292,7 @@ def worker_encoder(vocabulary_path: str, lexicon_name: str) -> Encoder:
 
 
 def frequent_chunks(docs: DataFrame, limit: int = LEXICON_WORDS) -> list[str]:
-    """The `limit` most frequent white-space chunks of all documents; ties by code point."""
+    """The most frequent white-space chunks of all documents, `limit` at most; equally frequent ones go together."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -305,9 +309,14 @@ def frequent_chunks(docs: DataFrame, limit: int = LEXICON_WORDS) -> list[str]:
                     yield emit()
         yield emit()
 
-    counted = docs.select("text").mapInArrow(count, "chunk string, n long")
-    top = counted.groupBy("chunk").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "chunk").limit(limit)
-    return [r.chunk for r in top.collect()]
+    counted = docs.select("text").mapInArrow(count, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
+    repeated = cut(counted.filter(F.col("n") >= FEWEST))
+    held, floor = 0, None  # chunks are taken by whole classes of equal counts, so no more than `limit` reach the driver
+    for n, chunks in sorted(((r.n, r.chunks) for r in repeated.groupBy("n").agg(F.count("*").alias("chunks")).collect()), reverse=True):
+        if held + chunks > limit:
+            break
+        held, floor = held + chunks, n
+    return sorted(r.chunk for r in repeated.filter(F.col("n") >= floor).select("chunk").collect()) if held else []
 
 
 def build_lexicon(docs: DataFrame, vocabulary_path: str, limit: int = LEXICON_WORDS) -> str:
