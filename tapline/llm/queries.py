@@ -36,11 +36,27 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+    from .common import held_out_fold
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (held_out_fold(F.col("doc_id")) == 0).alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import exact_topk
 
     return exact_topk(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_fingerprints, op5_bpe, op6_pii, op8_topk)}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_fingerprints, op5_bpe, op6_pii, op7_quality, op8_topk, op9_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
