@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -58,5 +64,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_fingerprints, op5_bpe, op6_pii, op7_quality, op8_topk, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_html, op2_mixing, op3_fingerprints, op5_bpe, op6_pii, op7_quality, op8_topk, op9_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
