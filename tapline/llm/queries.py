@@ -64,5 +64,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_html, op2_mixing, op3_fingerprints, op5_bpe, op6_pii, op7_quality, op8_topk, op9_toxicity)}
+def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), n=4)
+
+
+QUERIES = {f.__name__: f for f in (op1_html, op2_mixing, op3_fingerprints, op5_bpe, op6_pii, op7_quality, op8_topk, op9_toxicity, op10_neardup)}
 ORACLE_SQL: dict[str, str] = {}
