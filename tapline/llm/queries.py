@@ -28,6 +28,14 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_removed, kept_text (without the lines that an earlier line of their class repeats)."""
+    from .linededup import dedup_lines
+
+    done = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.col("_kept_text").alias("kept_text"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -70,5 +78,5 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), n=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_html, op2_mixing, op3_fingerprints, op5_bpe, op6_pii, op7_quality, op8_topk, op9_toxicity, op10_neardup)}
+QUERIES = {f.__name__: f for f in (op1_html, op2_mixing, op3_fingerprints, op4_linededup, op5_bpe, op6_pii, op7_quality, op8_topk, op9_toxicity, op10_neardup)}
 ORACLE_SQL: dict[str, str] = {}
