@@ -14,20 +14,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the session's checkpoint folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir.
 
-    The folder is the one the cluster names in spark.checkpoint.dir. Only where that is unset, as in
-    local tests, a temporary folder of this machine is used.
+    Only where that is unset, as in local tests, a temporary folder of this machine becomes the checkpoint folder.
     """
-    context = df.sparkSession.sparkContext
-    if context.getConf().get("spark.checkpoint.dir") is None and context.getCheckpointDir() is None:
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir")
+    if named is None and context.getCheckpointDir() is None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tapline-checkpoint-"))
-    return df.checkpoint()
+    return named or context.getCheckpointDir()
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise `df` in the shared folder and cut its lineage."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
 
 
 def held_out_fold(doc_id) -> "F.Column":
