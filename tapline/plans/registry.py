@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from pyspark.sql import DataFrame, SparkSession
 
+from tapline.plans import detection, features, history
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+QUERIES = {**history.QUERIES, **detection.QUERIES, **features.QUERIES}
+ORACLE_SQL = {**history.SQL, **detection.SQL, **features.SQL}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources that contact several peers on one port in a day, with a severity."""
+    return detection.q_scan_horizontal(spark, sf_dir)
