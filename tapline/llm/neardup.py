@@ -129,8 +129,10 @@ def _residual(clusters: DataFrame, linked: DataFrame, texts: DataFrame, n: int,
     long_sketches = cut(sketches(texts.join(needed, "gid").select(F.col("gid").alias("doc_id"), "text"), n, LONG_K).select(F.col("doc_id").alias("gid"), "n_shingles", "sketch"))
     spread = lambda salt: F.pmod(F.xxhash64("gid", F.lit(salt)), F.col("blocks")).cast("int")
     each = lambda name: F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias(name)
-    asking = open_rows.join(blocks, "leader").select("leader", "gid", spread(1).alias("x"), each("y")).join(long_sketches, "gid")
-    asked = wanted.select("leader", "gid", spread(2).alias("y"), each("x")).join(long_sketches, "gid")
+    # aliases give each side columns of its own, as both come from the same tables
+    own = lambda df: df.select(*(F.col(c).alias(c) for c in ("leader", "x", "y", "gid", "n_shingles", "sketch")))
+    asking = own(open_rows.join(blocks, "leader").select("leader", "gid", spread(1).alias("x"), each("y")).join(long_sketches, "gid"))
+    asked = own(wanted.select("leader", "gid", spread(2).alias("y"), each("x")).join(long_sketches, "gid"))
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         a, b = similar_blocks(left, right, percent)
