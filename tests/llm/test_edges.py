@@ -60,7 +60,7 @@ def test_awkward_rows(docs, labels, name):
     by_id = {}
     for x in rows:
         by_id.setdefault(x.doc_id, []).append(x)
-    if name != "mixing":  # a mix may take either of two equal rows
+    if name not in ("mixing", "fingerprints"):  # a mix may take either of two equal rows; they follow each other
         assert by_id[1][0] == by_id[1][1]
     if name == "near duplicates":
         assert by_id[6][0].component_id == 1 and not by_id[6][0].kept and by_id[2][0].kept and by_id[4][0].n_shingles == 0
