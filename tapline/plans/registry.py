@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapline.plans import detection, features, history
+from tapline.plans import detection, features, history, streams
 
-QUERIES = {**history.QUERIES, **detection.QUERIES, **features.QUERIES}
-ORACLE_SQL = {**history.SQL, **detection.SQL, **features.SQL}
+QUERIES = {**history.QUERIES, **detection.QUERIES, **features.QUERIES, **streams.QUERIES}
+ORACLE_SQL = {**history.SQL, **detection.SQL, **features.SQL, **streams.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
