@@ -82,8 +82,9 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return [(kind, a, b) for kind, find in finders for a, b in find(text)]
 
 
-_TOKEN = re.compile(r"\S*[0-9@]\S*")
-_TRIM = "\"'()[]{}<>,;:!?*#%$&|="
+_LOOSE = re.compile(r"[0-9(][0-9 ().-]{4,30}[0-9](?![^\s.,;!?])|[^\s@]{0,64}[0-9@]\S*")
+_SPELLED = re.compile(r"[\w.+-]{1,64} ?[\[(]at[\])] ?[\w-]{1,63}(?: ?(?:[\[(]dot[\])]|\.) ?[\w-]{1,63})+", re.I)
+_TRIM = "\"'[]{}<>,;:!?*#%$&|="
 _WORD = re.compile(r"\S+")
 
 
@@ -105,24 +106,27 @@ def _context(text: str, start: int, end: int, width: int = 64) -> tuple[str, str
 
 
 def mentions(text: str) -> list[tuple[str, int, int, str, str, str, str]]:
-    """Identifier-like tokens: kind ('' where no base rule took it), start, end, text, left, right, shape.
+    """Identifier-like spans: kind ('' where no base rule took it), start, end, text, left, right, shape.
 
-    Base spans come with their kind. Other tokens with a digit or @ are candidates, less the marks around them.
+    Base spans come with their kind. Candidates are runs of digits and their marks, other tokens with a digit or @,
+    less the marks around them, and addresses with the at spelled out.
     """
-    if not _DIGIT.search(text) and "@" not in text:
+    spelled = _SPELLED.finditer(text) if "at)" in text or "at]" in text else ()
+    if not _DIGIT.search(text) and "@" not in text and not spelled:
         return []
     spans = base_spans(text)
     taken = sorted((a, b) for _, a, b in spans)
     out = [(k, a, b, text[a:b], *_context(text, a, b), shape(text[a:b])) for k, a, b in spans]
+    out += [("", *m.span(), m.group(), *_context(text, *m.span()), "at") for m in spelled]
     i = 0
-    for m in _TOKEN.finditer(text):
+    for m in _LOOSE.finditer(text):
         while i < len(taken) and taken[i][1] <= m.start():
             i += 1
         if i < len(taken) and taken[i][0] < m.end():
             continue
         raw = m.group()
         a = m.start() + len(raw) - len(raw.lstrip(_TRIM))
-        b = m.end() - len(raw) + len(raw.rstrip(_TRIM))
+        b = m.end() - len(raw) + len(raw.rstrip(_TRIM + "."))
         if b - a >= 6:
             out.append(("", a, b, text[a:b], *_context(text, a, b), shape(text[a:b])))
     return out
@@ -155,9 +159,9 @@ def score_patterns(found: DataFrame, rounds: int = ROUNDS, confident: float = CO
 
 
 def _patterns_of(left: str, right: str, form: str) -> list[str]:
-    """Lexical patterns of a mention: its shape within its left words, and within its neighbours."""
-    last = left.rsplit(" ", 1)[-1]
-    return [f"L|{left}|{form}", f"N|{last}|{right}|{form}"]
+    """Lexical patterns of a mention: its class or shape within its left words, and its class within its neighbours."""
+    last, sort = left.rsplit(" ", 1)[-1], "at" if "@" in form or form == "at" else "code" if form[0] == "x" or "a" in form else "number"
+    return [f"L|{left}|{sort}", f"N|{last}|{right}|{sort}", f"S|{last}|{form}"]
 
 
 def mention_edges(docs: DataFrame) -> DataFrame:

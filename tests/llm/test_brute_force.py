@@ -283,13 +283,18 @@ def test_pii_base():
         assert base_spans(text) == plain(text), text
 
 
-def test_pii_bootstrapping(spark):
-    from tapline.llm.pii import extract
+def test_pii_bootstrapping(spark, monkeypatch):
+    from tapline.llm import pii
 
     known = [(i, f"reach me, my phone: +1 (20{i % 10}) 555-12{i:02d} today") for i in range(40)]
-    unseen = [(100, "reach me, my phone: 1 (999) 555-9999 today"), (101, "my phone: +1 (209) 555-1200 is known"), (102, "the year 20231111 was fine")]
-    found = {x.doc_id: x for x in extract(spark.createDataFrame(known + unseen, "doc_id long, text string")).collect()}
-    assert all(found[i].n_phone == 1 for i in range(40)) and found[102].spans == "" and found[100].n_phone == 0
+    known += [(50 + i, f"write to me{i}@mail.example.com soon") for i in range(30)]
+    unseen = [(100, "reach me, my phone: 1 (999) 555-9999 today"), (101, "write to them [at] mail [dot] org soon"), (102, "the year 20231111 was fine")]
+    frame = spark.createDataFrame(known + unseen, "doc_id long, text string")
+    found = {x.doc_id: x for x in pii.extract(frame).collect()}
+    assert all(found[i].n_phone == 1 for i in range(40)) and found[102].spans == ""
+    assert (found[100].n_phone, found[100].spans, found[101].spans) == (0, "phone:20:36", "email:9:33")
+    monkeypatch.setattr(pii, "BROADCAST_PATTERNS", 0)  # the way for more patterns than can be sent
+    assert {x.doc_id: x for x in pii.extract(frame).collect()} == found
 
 
 def test_quality_learns(spark):
