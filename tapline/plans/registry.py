@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapline.plans import detection, features, history, streams
+from tapline.plans import detection, features, history, ladders, streams
 
-QUERIES = {**history.QUERIES, **detection.QUERIES, **features.QUERIES, **streams.QUERIES}
+QUERIES = {**history.QUERIES, **detection.QUERIES, **features.QUERIES, **streams.QUERIES, **ladders.QUERIES}
 ORACLE_SQL = {**history.SQL, **detection.SQL, **features.SQL, **streams.SQL}
 
 
