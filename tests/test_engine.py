@@ -104,3 +104,27 @@ def test_storage(spark, tmp_path):
     made = storage.export_partition(rows, str(tmp_path / "day"))
     assert made[0] == 5 and storage.verify_archive(spark, str(tmp_path / "day"), rows.schema, made)
     assert not storage.verify_archive(spark, str(tmp_path / "day"), rows.schema, (5, made[1] + 1))
+
+
+def test_normaliser(spark):
+    from tapline.sources.normalise import CONN, DNS, normalised
+
+    line = json.dumps({"ts": "1788256800.1234565", "uid": "u", "id.orig_h": "10.0.0.1", "id.orig_p": 70000, "orig_bytes": 0, "resp_bytes": 0, "proto": "tcp"})
+    rows = spark.createDataFrame([(line,), ("nope",), ('{"uid": "x"}',)], "value string")
+    both = normalised(rows, CONN, "s", "b").collect()
+    assert len(both) == 1 and both[0].event_us == 1788256800123457
+    assert both[0].payload.orig_bytes == 0 and "orig_bytes" not in both[0].availability
+    assert both[0].payload.src_port is None and both[0].availability["src_port"] == "UNKNOWN" and both[0].availability_reasons["src_port"] == "value_out_of_contract"
+    assert both[0].availability["service"] == "MISSING"
+    half = normalised(rows, CONN, "s", "b", "originator_only").first()
+    assert half.payload.resp_bytes is None and half.availability["resp_bytes"] == "UNKNOWN" and half.payload.orig_bytes == 0
+    assert normalised(rows, DNS, "s", "b").first().availability["query"] == "MISSING"
+    assert both[0].event_id == str(uuid.uuid5(uuid.UUID(fn.NAMESPACES["event"]), f"s|b|1788256800123457|{hashlib.sha256(line.encode()).hexdigest()}"))
+
+
+def test_bounds(spark):
+    from tapline.operators import records
+
+    assert [value(spark, records.clean_score, x) for x in (0.1234565, 2.0, -1.0, float("nan"))] == [0.123456, 1.0, 0.0, None]
+    ids = spark.createDataFrame([([1, 2, 2, 3, 4],)], "x array<int>").select(records.last_ids(F.col("x"), 2).alias("y")).first().y
+    assert ids == [3, 4]
