@@ -23,6 +23,8 @@ EDITS, MIN_CHARS, SPLIT = 1, 24, 8
 #: Characters around the window that verification compares by bits; beyond them it compares for equality.
 MARGIN = 24
 _ROW, _POSITION = 2**62, 2**31
+#: Bitmaps of 32,768 bits each that a membership filter has: its broadcast takes FILTER_MAPS * 4 KB at most.
+FILTER_MAPS = 2048
 
 
 def banded_edits(a: Column, b: Column, k: int) -> Column:
@@ -79,10 +81,25 @@ def _key(side: int, frame: Column, part: Column) -> Column:
     return F.xxhash64(F.lit(side), frame, part)
 
 
+def _maybe_in(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
+    """`rows` with _maybe: false only where no row of `wanted` has the key.
+
+    The keys of `wanted` set bits of FILTER_MAPS bitmaps, which are broadcast: their size is bounded whatever the
+    input. Rows that can't match then stay where they are, and a join after this moves few others.
+    """
+    spot = lambda k: (F.pmod(k, F.lit(FILTER_MAPS)).cast("int").alias("_map"), F.pmod(F.floor(k / FILTER_MAPS), F.lit(32768)).alias("_bit"))
+    maps = wanted.select(*spot(F.xxhash64(F.lit(3), wanted_key))).groupBy("_map").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    spread = spot(F.xxhash64(F.lit(3), key))
+    marked = rows.withColumn("_map", spread[0]).withColumn("_bit", spread[1]).join(F.broadcast(maps), "_map", "left")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.pmod(F.floor(byte / F.pow(F.lit(2.0), F.col("_bit") % 8)), F.lit(2)) == 1
+    return marked.withColumn("_maybe", F.coalesce(hit, F.lit(False))).drop("_map", "_bit", "_bits")
+
+
 def _meeting(rows: DataFrame, by: list[str]) -> DataFrame:
     """Rows whose key several lines have, one of which has the frame's own length."""
-    shared = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.max("own").alias("_own")).filter("_n > 1 AND _own")
-    return rows.join(shared.drop("_n", "_own"), by)
+    shared = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.max("own").alias("_own")).filter("_n > 1 AND _own").drop("_n", "_own")
+    return _maybe_in(rows, F.col("key"), shared, F.col("key")).filter("_maybe").drop("_maybe").join(shared, by)
 
 
 def _segments(lines: DataFrame) -> DataFrame:
@@ -113,15 +130,16 @@ def _narrowed(rows: DataFrame) -> DataFrame:
 
 
 def _forms(documents: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, form: the normal forms of some lines, fetched from their first occurrences' documents."""
-    place = nodes.select("node", F.pmod(F.col("node"), F.lit(_ROW).cast("decimal(38,0)")).alias("low"))
-    place = place.select("node", F.expr(f"(node - low) div cast({_ROW} as decimal(38,0))").cast("long").alias("row_id"), F.expr(f"low div cast({_POSITION} as decimal(38,0))").cast("int").alias("position"), F.pmod("low", F.lit(_POSITION).cast("decimal(38,0)")).cast("long").alias("mark"))
-    wanted = place.groupBy("row_id", "mark").agg(F.collect_set(F.struct("node", "position")).alias("wanted"))
-    found = documents.dropDuplicates(["row_id", "mark"]).join(wanted, ["row_id", "mark"])
-    # a generator keeps the optimiser from splitting the text anew for every line
-    held = found.select("wanted", F.explode(F.array(F.split("text", "\n"))).alias("lines"))
-    taken = held.select(F.explode(F.transform("wanted", lambda w: F.struct(w["node"].alias("node"), F.element_at("lines", w["position"] + 1).alias("line")))).alias("x"))
-    return taken.select("x.node", normal_form(F.col("x.line")).alias("form"))
+    """node, form: the normal forms of some lines, from the documents that have them first."""
+    found = _maybe_in(_lines(documents), F.col("node"), nodes, F.col("node")).filter("_maybe").join(nodes, "node")
+    return found.groupBy("node").agg(F.min(normal_form(F.col("line"))).alias("form"))
+
+
+def _lines(documents: DataFrame) -> DataFrame:
+    """row_id, mark, position, line, node of every line; node orders lines by document and place."""
+    exploded = documents.select("row_id", "mark", F.posexplode(F.split("text", "\n")).alias("position", "line"))
+    code = F.col("row_id").cast("decimal(20,0)") * F.lit(_ROW).cast("decimal(19,0)") + F.col("position").cast("decimal(20,0)") * F.lit(_POSITION).cast("decimal(10,0)") + F.col("mark")
+    return exploded.withColumn("node", code.cast("decimal(38,0)"))
 
 
 def _verified(groups: DataFrame) -> DataFrame:
@@ -167,26 +185,25 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     Lines under MIN_CHARS characters are in no class.
     """
     documents = _placed(docs.select("doc_id", "text")).select("row_id", "mark", "text").filter("text IS NOT NULL")
-    exploded = documents.select("row_id", "mark", F.posexplode(F.split("text", "\n")).alias("position", "line"))
-    formed = exploded.select("row_id", "mark", "position", F.explode(F.array(normal_form(F.col("line")))).alias("form")).filter(F.length("form") >= MIN_CHARS)
-    length, code = F.length("form"), F.col("row_id").cast("decimal(20,0)") * F.lit(_ROW).cast("decimal(19,0)") + F.col("position").cast("decimal(20,0)") * F.lit(_POSITION).cast("decimal(10,0)") + F.col("mark")
+    formed = _lines(documents).select("row_id", "mark", "position", "node", F.explode(F.array(normal_form(F.col("line")))).alias("form")).filter(F.length("form") >= MIN_CHARS)
+    length = F.length("form")
     keys = {}
     for name, frame in (("own", length), ("probe", length + 1)):
         half = F.floor(frame / 2).cast("int")
         keys[f"{name}_0"] = _key(0, frame, F.substring("form", F.lit(1), half))
         keys[f"{name}_1"] = _key(1, frame, F.substring("form", length - (frame - half) + 1, frame - half))
-    hashed = formed.select("row_id", "mark", "position", code.cast("decimal(38,0)").alias("node"), F.xxhash64("form").alias("h"), F.xxhash64(F.lit(7), "form").alias("g"), length.alias("length"), *(v.alias(k) for k, v in keys.items()))
+    hashed = formed.select("row_id", "mark", "position", "node", F.xxhash64("form").alias("h"), F.xxhash64(F.lit(7), "form").alias("g"), length.alias("length"), *(v.alias(k) for k, v in keys.items()))
     distinct = hashed.groupBy("h", "g").agg(F.min("node").alias("node"), F.max("node").alias("last"), F.min("length").alias("length"), *(F.min(k).alias(k) for k in keys))
-    lines = cut(distinct)
-    classes = lines.select("h", "g", "node", "last")
+    lines = cut(distinct.withColumn("several", F.col("last") != F.col("node")).drop("last"))
+    classes = lines.select("h", "g", "node", "several")
     links = edit_links(documents, lines)
     if links is None:
         classes = classes.withColumn("first", F.col("node"))
     else:
         found = connected_components(links)
         classes = classes.join(found.withColumnRenamed("component", "first"), "node", "left").withColumn("first", F.coalesce("first", "node"))
-    repeated = classes.filter("last != first").select("h", "g", "first")
-    occurrences = hashed.select("row_id", "mark", "position", "node", "h", "g")
+    repeated = cut(classes.filter("several OR node != first").select("h", "g", "first"))
+    occurrences = _maybe_in(hashed.select("row_id", "mark", "position", "node", "h", "g"), F.col("h"), repeated, F.col("h")).filter("_maybe")
     gone = occurrences.join(repeated, ["h", "g"]).filter("node != first")
     return gone.groupBy("row_id", "mark").agg(F.collect_set("position").alias("removed"))
 
@@ -198,10 +215,15 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     keeps. An empty table gives an empty result.
     """
     names = docs.columns
-    gone = duplicate_lines(docs).select(F.col("row_id").alias("_row"), F.col("mark").alias("_mark"), F.col("removed").alias("_gone"))
-    key = _placed(docs.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("_all"), "doc_id", "text"))
-    joined = key.select("_all", "text", F.col("row_id").alias("_row"), F.col("mark").alias("_mark")).join(gone, ["_row", "_mark"], "left")
-    held = joined.select("_all", "_gone", F.explode(F.array(F.split("text", "\n"))).alias("_split"))
+    gone = cut(duplicate_lines(docs).select(F.col("row_id").alias("_row"), F.col("mark").alias("_mark"), F.col("removed").alias("_gone")))
+    placed = _placed(docs.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("_all"), "doc_id", "text"))
+    key = F.struct(F.col("_row"), F.col("_mark"))
+    rows = _maybe_in(placed.select("_all", "text", F.col("row_id").alias("_row"), F.col("mark").alias("_mark")), key, gone, key)
+    # only documents that may lose lines move
+    still = rows.filter("NOT _maybe").select("_all", "text", F.lit(None).cast("array<int>").alias("_gone"))
+    moved = rows.filter("_maybe").join(gone, ["_row", "_mark"], "left").select("_all", "text", "_gone")
+    # a generator keeps the optimiser from splitting the text anew for every line
+    held = still.unionByName(moved).select("_all", "_gone", F.explode(F.array(F.split("text", "\n"))).alias("_split"))
     places = F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), F.col("_gone"))
     rebuilt = F.array_join(F.transform(places, lambda p: F.element_at("_split", p + 1)), "\n")
     kept = F.when(F.col("_gone").isNull(), F.col("_all.text")).otherwise(rebuilt)
