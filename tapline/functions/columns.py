@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values of the data contract: two-label suffixes and top labels that can't be registered.
-MULTI_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.in", "net.in", "org.in", "gov.in", "co.jp", "com.br", "com.cn", "co.nz", "co.za", "com.mx", "com.tr", "co.kr")
+MULTI_SUFFIXES = tuple("co.uk org.uk ac.uk gov.uk ltd.uk plc.uk com.au net.au org.au edu.au gov.au co.in net.in org.in gov.in ac.in edu.in res.in nic.in co.jp ne.jp or.jp com.br com.cn net.cn org.cn com.sg com.my co.nz co.za com.mx com.tr co.kr com.hk com.tw co.id com.ar com.sa com.eg co.th".split())
 NON_REGISTRABLE = ("local", "localdomain", "lan", "internal", "home", "arpa", "corp", "intranet", "test", "invalid")
 # Fixed values of the identifier contract: namespaces of name-based identifiers.
 NAMESPACES = {
