@@ -12,9 +12,8 @@ def distinct_peers(df: DataFrame, by: list[str], peer: str, threshold: int, name
     return found.withColumn("severity", F.when(F.col(name) >= 5 * threshold, "high").otherwise("medium"))
 
 
-def trailing(df: DataFrame, key: list[str], ms: str, horizon_ms: int) -> Window:
+def trailing(key: list[str], ms: str, horizon_ms: int):
     """The rows of a key from `horizon_ms` before a row's time up to it."""
-    del df
     return Window.partitionBy(*key).orderBy(ms).rangeBetween(-horizon_ms, 0)
 
 

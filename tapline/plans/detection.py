@@ -79,7 +79,7 @@ def q_scan_vertical(spark, d):
 @query(f"SELECT event_id, count(DISTINCT k) OVER (PARTITION BY user_id ORDER BY ms RANGE BETWEEN 21600000 PRECEDING AND CURRENT ROW) AS peers FROM {EV}")
 def q_scan_trailing_distinct(spark, d):
     rows = events(spark, d)
-    return rows.select("event_id", F.size(F.collect_set("k").over(detect.trailing(rows, ["user_id"], "ms", 21_600_000))).cast("long").alias("peers"))
+    return rows.select("event_id", F.size(F.collect_set("k").over(detect.trailing(["user_id"], "ms", 21_600_000))).cast("long").alias("peers"))
 
 
 @query("SELECT user_id, count(*) FILTER (event_type = 'error') AS failed, count(*) AS known, round(count(*) FILTER (event_type = 'error') / count(*)::DOUBLE, 6) AS ratio FROM events GROUP BY user_id")
@@ -140,7 +140,7 @@ def q_beacon_suppressed(spark, d):
 @query(f"SELECT event_id, round(sum(value) OVER w, 2) AS out_sum, count(*) OVER w AS records, ms - min(ms) OVER w AS span_ms FROM {EV} WINDOW w AS (PARTITION BY user_id ORDER BY ms RANGE BETWEEN 86400000 PRECEDING AND CURRENT ROW)")
 def q_exfil_trailing_sum(spark, d):
     rows = events(spark, d)
-    w = detect.trailing(rows, ["user_id"], "ms", 86_400_000)
+    w = detect.trailing(["user_id"], "ms", 86_400_000)
     return rows.select("event_id", F.round(F.sum("value").over(w), 2).alias("out_sum"), F.count("*").over(w).alias("records"), (F.col("ms") - F.min("ms").over(w)).alias("span_ms"))
 
 
