@@ -8,6 +8,11 @@ must hold the edit, is then cut into SPLIT parts, again and again: a line stays
 outside its window. Windows of one character end it. Lines that meet there are pairwise one edit apart, so links to
 the first of them say all; no group is ever paired with itself, however large. A banded bit-parallel edit distance
 verifies the links, and connected components make classes, of which the first line stays.
+
+Longer lines may be more edits apart (STEPS, by the length of the shorter line). For k edits the shorter line falls into
+k + 1 segments, one of which the longer line has whole, shifted by no more than the edits before and after it allow; so
+lines up to k longer are probed at those places. Groups that share a segment are paired where letter counts allow it;
+in long groups all lines meet a leader first, and only those it isn't linked with meet the rest.
 """
 
 from __future__ import annotations
@@ -20,6 +25,10 @@ from .components import connected_components
 
 #: Edits that lines of one class may be apart; shorter lines are left alone; parts that a window is cut into.
 EDITS, MIN_CHARS, SPLIT = 1, 24, 8
+#: From how many characters of the shorter line on how many edits are allowed; the longest group paired without a leader.
+STEPS, LONG_GROUP = ((64, 2), (128, 3)), 24
+#: Letters whose counts rule pairs out: an edit changes them by two in all.
+LETTERS = " etaoinsrhld"
 #: Characters around the window that verification compares by bits; beyond them it compares for equality.
 MARGIN = 24
 _ROW, _POSITION = 2**62, 2**31
@@ -173,6 +182,78 @@ def edit_links(documents: DataFrame, lines: DataFrame) -> DataFrame:
     return links
 
 
+def allowed(length: Column) -> Column:
+    """Edits that a line of this length may be from a line as long or longer."""
+    out = F.lit(EDITS)
+    for least, k in STEPS:
+        out = F.when(length >= least, k).otherwise(out)
+    return out
+
+
+def _probe_places() -> list[tuple[int, int, int, int]]:
+    """(k, longer, segment, shift): where a line that is `longer` than its frame can have a segment of the frame."""
+    return [
+        (k, d, i, s)
+        for k in sorted({k for _, k in STEPS})
+        for d in range(k + 1)
+        for i in range(k + 1)
+        for s in range(max(-i, d - (k - i)), min(i, d + (k - i)) + 1)
+    ]
+
+
+def _segment_keys(documents: DataFrame, own: bool) -> DataFrame:
+    """node, h, form, own, frame, key of the segments of each line (own), or of where it may have those of others."""
+    places = [p for p in _probe_places() if (p[1] == p[3] == 0) == own]
+    formed = _lines(documents).select("node", F.explode(F.array(normal_form(F.col("line")))).alias("form"))
+    long = formed.filter(F.length("form") >= min(n for n, _ in STEPS)).withColumn("h", F.xxhash64("form"))
+    spread = long.withColumn("x", F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip("kdis", p))) for p in places)))).select("node", "h", "form", "x.*")
+    spread = spread.withColumn("frame", F.length("form") - F.col("d")).filter(allowed(F.col("frame")) == F.col("k"))
+    bound = lambda i: F.floor(i * F.col("frame") / (F.col("k") + 1)).cast("int")
+    start = bound(F.col("i"))
+    key = F.xxhash64(F.lit(5), "frame", "i", F.substring("form", start + F.col("s") + 1, bound(F.col("i") + 1) - start))
+    return spread.select("node", "h", "form", F.lit(own).alias("own"), "frame", key.alias("key"))
+
+
+def _confirmed(pairs: DataFrame, documents: DataFrame) -> DataFrame:
+    """The pairs (a, b, k) at most k edits apart."""
+    forms = cut(_forms(documents, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()))
+    side = lambda n: forms.select(F.col("node").alias(n), F.col("form").alias(f"form_{n}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    close = F.lit(False)
+    for k in sorted({k for _, k in STEPS}):
+        close = F.when(F.col("k") == k, banded_edits(F.col("form_a"), F.col("form_b"), k) <= k).otherwise(close)
+    return both.filter(close).select("a", "b")
+
+
+def far_links(documents: DataFrame) -> DataFrame:
+    """Links (a, b) that connect all distinct lines of enough characters for STEPS that are as many edits apart."""
+    mine, others = _segment_keys(documents, True), _segment_keys(documents, False)
+    some = _maybe_in(others, F.col("key"), mine, F.col("key")).filter("_maybe")
+    columns = ["key", "h", "own"]
+    seen = mine.select(columns).unionByName(some.select(columns)).groupBy("key").agg(F.min("h").alias("_low"), F.max("h").alias("_high"), F.max("own").alias("_own"))
+    shared = cut(seen.filter("_own AND _low != _high").select("key"))
+    if shared.isEmpty():
+        return shared.select(F.lit(None).cast("decimal(38,0)").alias("a"), F.lit(None).cast("decimal(38,0)").alias("b")).limit(0)
+    counts = F.array(*((F.length("form") - F.length(F.replace("form", F.lit(c), F.lit("")))).cast("int") for c in LETTERS))
+    found = _maybe_in(mine.unionByName(others), F.col("key"), shared, F.col("key")).filter("_maybe").join(shared, "key")
+    met = found.groupBy("key", "frame", "h", "own").agg(F.min("node").alias("node"), F.min(counts).alias("counts"))
+    leaders = met.groupBy("key").agg(F.count("*").alias("n"), F.min(F.when(F.col("own"), F.struct("node", "counts"))).alias("leader"))
+    rows = cut(met.join(leaders, "key"))
+    k = allowed(F.col("frame"))
+    apart = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0), lambda x, y: x + y)
+    led = rows.filter((F.col("n") > LONG_GROUP) & (F.col("node") != F.col("leader.node")))
+    stars = led.filter(apart(F.col("counts"), F.col("leader.counts")) <= 2 * k).select(F.col("leader.node").alias("a"), F.col("node").alias("b"), k.alias("k")).distinct()
+    linked = cut(_confirmed(cut(stars), documents))
+    ties = linked.select(F.col("a").alias("_a"), F.col("b").alias("node"))
+    is_leader = (F.col("n") > LONG_GROUP) & (F.col("node") == F.col("leader.node"))
+    left = rows.filter(~is_leader).withColumn("_a", F.when(F.col("n") > LONG_GROUP, F.col("leader.node"))).join(ties, ["_a", "node"], "left_anti")
+    left = left.select("key", "frame", F.col("node").alias("a"), F.col("own").alias("own_a"), F.col("counts").alias("counts_a"))
+    right = rows.select("key", F.col("node").alias("b"), F.col("own").alias("own_b"), F.col("counts").alias("counts_b"))
+    likely = (F.col("a") != F.col("b")) & (F.col("own_a") | F.col("own_b")) & (apart(F.col("counts_a"), F.col("counts_b")) <= 2 * k)
+    pairs = left.join(right, "key").filter(likely).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), k.alias("k")).distinct()
+    return linked.unionByName(_confirmed(cut(pairs), documents))
+
+
 def _placed(docs: DataFrame) -> DataFrame:
     """`docs` with row_id and mark, which tell its documents apart; a missing id counts as the largest."""
     return docs.withColumns({"row_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "mark": F.coalesce(F.xxhash64("text"), F.lit(0)).bitwiseAND(F.lit(_POSITION - 1))})
@@ -196,12 +277,9 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     distinct = hashed.groupBy("h", "g").agg(F.min("node").alias("node"), F.max("node").alias("last"), F.min("length").alias("length"), *(F.min(k).alias(k) for k in keys))
     lines = cut(distinct.withColumn("several", F.col("last") != F.col("node")).drop("last"))
     classes = lines.select("h", "g", "node", "several")
-    links = edit_links(documents, lines)
-    if links is None:
-        classes = classes.withColumn("first", F.col("node"))
-    else:
-        found = connected_components(links)
-        classes = classes.join(found.withColumnRenamed("component", "first"), "node", "left").withColumn("first", F.coalesce("first", "node"))
+    links, near = far_links(documents), edit_links(documents, lines)
+    found = connected_components(links if near is None else links.unionByName(near))
+    classes = classes.join(found.withColumnRenamed("component", "first"), "node", "left").withColumn("first", F.coalesce("first", "node"))
     repeated = cut(classes.filter("several OR node != first").select("h", "g", "first"))
     occurrences = _maybe_in(hashed.select("row_id", "mark", "position", "node", "h", "g"), F.col("h"), repeated, F.col("h")).filter("_maybe")
     gone = occurrences.join(repeated, ["h", "g"]).filter("node != first")
