@@ -259,14 +259,14 @@ def _placed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"row_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "mark": F.coalesce(F.xxhash64("text"), F.lit(0)).bitwiseAND(F.lit(_POSITION - 1))})
 
 
-def duplicate_lines(docs: DataFrame) -> DataFrame:
+def duplicate_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """row_id, mark, removed: the positions of the lines that go, for each document that loses some.
 
     A line goes if its class, its form or one linked to it, has an earlier line: in a smaller doc_id, or further up.
-    Lines under MIN_CHARS characters are in no class.
+    Lines under MIN_CHARS characters are in no class, or with `short`, if they aren't blank, in that of equal forms.
     """
     documents = _placed(docs.select("doc_id", "text")).select("row_id", "mark", "text").filter("text IS NOT NULL")
-    formed = _lines(documents).select("row_id", "mark", "position", "node", F.explode(F.array(normal_form(F.col("line")))).alias("form")).filter(F.length("form") >= MIN_CHARS)
+    formed = _lines(documents).select("row_id", "mark", "position", "node", F.explode(F.array(normal_form(F.col("line")))).alias("form")).filter((F.length("form") >= MIN_CHARS) | F.lit(short) & F.col("form").rlike(r"\S"))
     length = F.length("form")
     keys = {}
     for name, frame in (("own", length), ("probe", length + 1)):
@@ -277,7 +277,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     distinct = hashed.groupBy("h", "g").agg(F.min("node").alias("node"), F.max("node").alias("last"), F.min("length").alias("length"), *(F.min(k).alias(k) for k in keys))
     lines = cut(distinct.withColumn("several", F.col("last") != F.col("node")).drop("last"))
     classes = lines.select("h", "g", "node", "several")
-    links, near = far_links(documents), edit_links(documents, lines)
+    links, near = far_links(documents), edit_links(documents, lines.filter(F.col("length") >= MIN_CHARS))
     found = connected_components(links if near is None else links.unionByName(near))
     classes = classes.join(found.withColumnRenamed("component", "first"), "node", "left").withColumn("first", F.coalesce("first", "node"))
     repeated = cut(classes.filter("several OR node != first").select("h", "g", "first"))
@@ -286,14 +286,14 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     return gone.groupBy("row_id", "mark").agg(F.collect_set("position").alias("removed"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """The rows of `docs`, all columns, with _kept_text, _lines and _removed (numbers of lines, and of those gone).
 
     Null text stays null, without lines. Of repeated rows (equal doc_id and text) each keeps the lines that one
-    keeps. An empty table gives an empty result.
+    keeps. An empty table gives an empty result. With `short`, repeats of lines under MIN_CHARS go too.
     """
     names = docs.columns
-    gone = cut(duplicate_lines(docs).select(F.col("row_id").alias("_row"), F.col("mark").alias("_mark"), F.col("removed").alias("_gone")))
+    gone = cut(duplicate_lines(docs, short).select(F.col("row_id").alias("_row"), F.col("mark").alias("_mark"), F.col("removed").alias("_gone")))
     placed = _placed(docs.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("_all"), "doc_id", "text"))
     key = F.struct(F.col("_row"), F.col("_mark"))
     rows = _maybe_in(placed.select("_all", "text", F.col("row_id").alias("_row"), F.col("mark").alias("_mark")), key, gone, key)
@@ -310,7 +310,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 
 def deduped_documents(docs: DataFrame) -> DataFrame:
-    """`docs` with their kept text; documents that had text and lose every line go."""
-    done = dedup_lines(docs).filter("_removed < _lines OR _removed = 0")
+    """`docs` with their kept text, short lines included; documents that had text and lose every line go."""
+    done = dedup_lines(docs, short=True).filter("_removed < _lines OR _removed = 0")
     columns = [F.col("_kept_text").alias(n) if n == "text" else F.length("_kept_text").cast("long").alias(n) if n == "n_chars" else F.col(f"`{n}`") for n in docs.columns]
     return done.select(*columns)

@@ -32,7 +32,7 @@ def op4_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_text (without the lines that an earlier line of their class repeats)."""
     from .linededup import dedup_lines
 
-    done = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), short=True)
     return done.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.col("_kept_text").alias("kept_text"))
 
 

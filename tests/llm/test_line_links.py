@@ -38,3 +38,10 @@ def test_longer_lines_may_be_more_edits_apart(spark):
     found = {x.doc_id: x._removed for x in dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
     assert found == {i: int(find(i) != i) for i in range(len(lines))} and 0 < sum(found.values()) < len(lines)
 
+
+def test_short_lines_repeat(spark):
+    from tapline.llm.linededup import dedup_lines
+
+    docs = [(1, "All rights reserved.\n\n \t\nHome"), (2, "home\n\n \t\nall rights reserved.\nAll rights reserve."), (3, "Home")]
+    found = {x.doc_id: (x._kept_text, x._removed) for x in dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), short=True).collect()}
+    assert found == {1: (docs[0][1], 0), 2: ("\n \t\nAll rights reserve.", 2), 3: ("", 1)}
