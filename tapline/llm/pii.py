@@ -84,6 +84,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 _LOOSE = re.compile(r"[0-9(][0-9 ().-]{4,30}[0-9](?![^\s.,;!?])|[^\s@]{0,64}[0-9@]\S*")
 _SPELLED = re.compile(r"[\w.+-]{1,64} ?[\[(]at[\])] ?[\w-]{1,63}(?: ?(?:[\[(]dot[\])]|\.) ?[\w-]{1,63})+", re.I)
+_AT = re.compile(r"at[\])]", re.I)
 _TRIM = "\"'[]{}<>,;:!?*#%$&|="
 _WORD = re.compile(r"\S+")
 
@@ -111,7 +112,7 @@ def mentions(text: str) -> list[tuple[str, int, int, str, str, str, str]]:
     Base spans come with their kind. Candidates are runs of digits and their marks, other tokens with a digit or @,
     less the marks around them, and addresses with the at spelled out.
     """
-    spelled = _SPELLED.finditer(text) if "at)" in text or "at]" in text else ()
+    spelled = _SPELLED.finditer(text) if _AT.search(text) else ()
     if not _DIGIT.search(text) and "@" not in text and not spelled:
         return []
     spans = base_spans(text)
