@@ -51,9 +51,10 @@ def q_detect_uploads(spark, d):
 
 @query
 def q_name_classifier(spark, d):
-    """Labels of hosts against names made from digests: trained on even pages, scored on odd ones."""
-    rows = hosts(spark, d).filter("label <> '' AND page_id IS NOT NULL")
-    made = rows.select("page_id", F.substring(F.sha2("host", 256), 1, 14).alias("label"), F.lit(1).alias("generated"))
-    both = rows.select("page_id", "label", F.lit(0).alias("generated")).unionByName(made)
-    scored = names.score(both.filter("page_id % 2 = 1"), names.train(both.filter("page_id % 2 = 0")))
+    """Labels of hosts against names made from digests: each half of the pages is scored by the model of the other."""
+    rows = hosts(spark, d).filter("label <> ''").withColumn("half", F.pmod(F.xxhash64("page_id", "host"), F.lit(2)))
+    made = rows.select("page_id", "half", F.substring(F.sha2("host", 256), 1, 14).alias("label"), F.lit(1).alias("generated"))
+    both = rows.select("page_id", "half", "label", F.lit(0).alias("generated")).unionByName(made)
+    one, other = (both.filter(F.col("half") == k) for k in (0, 1))
+    scored = names.score(one, names.train(other)).unionByName(names.score(other, names.train(one)))
     return scored.select("page_id", "generated", F.round("p", 4).alias("p"))
