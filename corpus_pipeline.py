@@ -10,9 +10,10 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tapline.llm import bpe, linededup, mixing, neardup, quality
-from tapline.llm.common import shared_folder, table
+from tapline.llm.common import cut, shared_folder, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +28,21 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, 0.8) the document with the smallest doc_id stays."""
-    kept = neardup.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Of each group of near-duplicates (five-word shingles, 0.8) the document with the smallest doc_id stays.
+
+    Rows are told apart by doc_id and text; one without doc_id stays if its group has no other. Of rows that repeat
+    both, one stays. Documents without words all stay.
+    """
+    names = docs.columns
+    keyed = docs.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("_all"), F.xxhash64("doc_id", "text").alias("_key"))
+    groups = cut(neardup.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), F.col("_all.text").alias("text"))))
+    ids = keyed.select("_key", F.col("_all.doc_id").alias("id")).groupBy("_key").agg(F.min("id").alias("id"))
+    rows = groups.groupBy(F.col("doc_id").alias("_key"), "component_id").agg(F.count("*").alias("_n"), F.max("n_shingles").alias("_words")).join(ids, "_key")
+    first = rows.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_key", "_n", "_words")).alias("x"))
+    kept = cut(first.select("x._key", ((F.col("x._n") > 1) & (F.col("x._words") > 0)).alias("_several")))
+    found = keyed.join(kept, "_key")
+    once = found.filter("_several").groupBy("_key").agg(F.min("_all").alias("_all"))
+    return found.filter("NOT _several").select("_all.*").unionByName(once.select("_all.*"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

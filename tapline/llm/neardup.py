@@ -80,14 +80,15 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     both = right.join(texts.select(F.col("gid").alias("a"), F.col("text").alias("text_a")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, None
+        last, own = None, None  # a gid can come with several texts
         for batch in batches:
             left, right = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             keep = []
             for i, other in enumerate(shingle_sets(encoded(batch.column(3)), n)):
-                if left[i] != last:
-                    last = left[i]
-                    own = next(shingle_sets([batch.column(2)[i].as_py().encode("utf-8", "surrogatepass")], n))
+                text = batch.column(2)[i].as_py()
+                if text != last:
+                    last = text
+                    own = next(shingle_sets([text.encode("utf-8", "surrogatepass")], n))
                 shared = len(np.intersect1d(own, other, assume_unique=True))
                 keep.append(shared * 100 >= percent * (len(own) + len(other) - shared))
             at = [i for i, k in enumerate(keep) if k]
