@@ -7,10 +7,13 @@ rank, amount and score of the findings it reports. Thresholds are parameters; de
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapline.functions.columns import entropy, ewma
+from tapline.functions.columns import entropy
 from tapline.operators.ladders import rank_of, reported
 
 # Fixed values of the contract: failed connection states, and ports that amplify.
@@ -23,6 +26,15 @@ def _finish(rows: DataFrame, keys: list[str], severity: Column, **ladder) -> Dat
     return reported(found.select(*keys, "obs_ms", "subtype", "severity", "rank", "amount", "score"), [*keys, "subtype"], "obs_ms", **ladder)
 
 
+def learned(state: tuple, x: float, alpha: float) -> tuple:
+    """The state (count, exponentially weighted mean and variance) after a value; the first value starts the mean."""
+    n, mean, var = state
+    if n == 0:
+        return 1, float(x), 0.0
+    apart = x - mean
+    return n + 1, mean + alpha * apart, (1 - alpha) * (var + alpha * apart * apart)
+
+
 def scans(deltas: DataFrame, scanners: DataFrame | None = None, horizon_ms: int = 30_000, hosts: int = 20, ports: int = 25) -> DataFrame:
     """Sources that contact many hosts on a port (horizontal) or many ports of a host (vertical) within the horizon."""
     rows = deltas.filter("new_flow").withColumn("port_key", F.concat_ws("/", F.col("dport").cast("string"), "proto"))
@@ -48,29 +60,48 @@ def scans(deltas: DataFrame, scanners: DataFrame | None = None, horizon_ms: int
 def floods(deltas: DataFrame, flows: int = 200, volume: float = 20e6, syn: int = 100, spoofed: int = 500, amplified: float = 500e3, reflectors: int = 10) -> DataFrame:
     """Destinations under a flood, by second with five-second source counts; an episode ends after 30 quiet seconds.
 
-    Thresholds of flows and bytes rise with the exponentially weighted mean of the destination's earlier seconds.
+    Thresholds of flows and bytes rise to the exponentially weighted mean plus six deviations of the destination's
+    earlier seconds, anomalous ones left out, once there are 30. Seconds with an unknown count of bytes teach no bytes.
     """
     fresh, udp = F.col("new_flow"), (F.col("proto") == "udp") & F.col("sport").isin(*AMPLIFIERS)
     rows = deltas.withColumn("sec", F.expr("obs_ms div 1000")).withColumn("bytes", F.coalesce("orig_bytes", F.lit(0)) + F.coalesce("resp_bytes", F.lit(0)))
-    by_source = rows.groupBy("dst", "sec", "src").agg(F.count_if(fresh).alias("flows"), F.count_if(fresh & (F.col("proto") == "tcp") & F.col("terminal") & (F.col("conn_state") == "S0")).alias("syn"), F.sum("bytes").alias("bytes"), F.sum(F.when(udp, F.col("bytes")).otherwise(0)).alias("amp"), F.count_if(udp).alias("amp_flows"))
-    seconds = by_source.groupBy("dst", "sec").agg(F.sum("flows").alias("flows"), F.sum("syn").alias("syn"), F.sum("bytes").alias("bytes"), F.sum("amp").alias("amp"), F.collect_set("src").alias("s"), F.collect_set(F.when(F.col("amp_flows") > 0, F.col("src"))).alias("r"))
+    by_source = rows.groupBy("dst", "sec", "src").agg(F.count_if(fresh).alias("flows"), F.count_if(fresh & (F.col("proto") == "tcp") & F.col("terminal") & (F.col("conn_state") == "S0")).alias("syn"), F.sum("bytes").alias("bytes"), F.max(F.col("orig_bytes").isNull() | F.col("resp_bytes").isNull()).alias("unknown"), F.sum(F.when(udp, F.col("bytes")).otherwise(0)).alias("amp"), F.count_if(udp).alias("amp_flows"))
+    seconds = by_source.groupBy("dst", "sec").agg(F.sum("flows").alias("flows"), F.sum("syn").alias("syn"), F.sum("bytes").alias("bytes"), F.max("unknown").alias("unknown"), F.sum("amp").alias("amp"), F.collect_set("src").alias("s"), F.collect_set(F.when(F.col("amp_flows") > 0, F.col("src"))).alias("r"))
     five = Window.partitionBy("dst").orderBy("sec").rangeBetween(-4, 0)
     count = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c).over(five))))
-    past = Window.partitionBy("dst").orderBy("sec").rowsBetween(-120, -1)
     rows = seconds.withColumn("srcs5", count("s")).withColumn("reflectors5", count("r")).withColumn("flows5", F.sum("flows").over(five))
-    warm = F.count("*").over(past) >= 30
-    rows = rows.withColumn("base", F.when(warm, ewma(F.collect_list("flows").over(past), 0.05)))
-    limit = F.greatest(F.lit(float(flows)), 6 * F.coalesce(F.col("base"), F.lit(0.0)))
-    rows = rows.withColumn("limit", limit)
-    subtype = (
-        F.when((F.col("amp") >= amplified) & (F.col("reflectors5") >= reflectors), "udp_amplification_like")
-        .when((F.col("srcs5") >= spoofed) & (F.col("flows5") / F.greatest(F.col("srcs5"), F.lit(1)) <= 1.5) & (F.col("flows") >= F.col("limit") / 2), "spoofed_source_like_flood")
-        .when((F.col("syn") >= syn) & (F.col("syn") >= 0.8 * F.col("flows")), "syn_flood")
-        .when((F.col("flows") >= F.col("limit")) | (F.col("bytes") >= volume), "volumetric_flood")
-    )
-    rows = rows.withColumn("subtype", subtype).filter("subtype IS NOT NULL")
-    factor = F.greatest(F.col("flows") / F.col("limit"), F.col("bytes") / volume, F.when(F.col("subtype") == "udp_amplification_like", F.col("amp") / amplified).otherwise(0.0))
-    rows = rows.withColumn("factor", factor).withColumn("amount", F.col("flows5").cast("double")).withColumn("obs_ms", F.col("sec") * 1000).withColumn("score", F.least(F.lit(1.0), 0.5 + 0.05 * F.col("factor")))
+    numbers = ["flows", "syn", "bytes", "amp", "srcs5", "reflectors5", "flows5"]
+    rows = rows.select("dst", "sec", "unknown", *(F.col(c).cast("double").alias(c) for c in numbers)).repartition("dst").sortWithinPartitions("dst", "sec")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, usual, heavy = None, None, None
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                if usual is None or r.dst != key:
+                    key, usual, heavy = r.dst, (0, 0.0, 0.0), (0, 0.0, 0.0)
+                limit, most = float(flows), float(volume)
+                if usual[0] >= 30:
+                    limit, most = max(limit, usual[1] + 6 * usual[2] ** 0.5), max(most, heavy[1] + 6 * heavy[2] ** 0.5)
+                subtype = None
+                if r.amp >= amplified and r.reflectors5 >= reflectors:
+                    subtype = "udp_amplification_like"
+                elif r.srcs5 >= spoofed and r.flows5 / max(1, r.srcs5) <= 1.5 and r.flows >= limit / 2:
+                    subtype = "spoofed_source_like_flood"
+                elif r.syn >= syn and r.syn >= 0.8 * r.flows:
+                    subtype = "syn_flood"
+                elif r.flows >= limit or r.bytes >= most:
+                    subtype = "volumetric_flood"
+                if subtype:
+                    factor = max(r.flows / limit, r.bytes / most, r.amp / amplified if subtype == "udp_amplification_like" else 0.0)
+                    out.append((r.dst, r.sec, r.flows5, subtype, factor))
+                else:
+                    usual = learned(usual, r.flows, 0.05)
+                    heavy = heavy if r.unknown else learned(heavy, r.bytes, 0.05)
+            yield pd.DataFrame(out, columns=["dst", "sec", "amount", "subtype", "factor"])
+
+    rows = rows.mapInPandas(run, "dst string, sec long, amount double, subtype string, factor double")
+    rows = rows.withColumn("obs_ms", F.col("sec") * 1000).withColumn("score", F.least(F.lit(1.0), 0.5 + 0.05 * F.col("factor")))
     return _finish(rows, ["dst"], F.when(F.col("factor") >= 10, "critical").otherwise("high"), gap=30_000)
 
 
@@ -101,15 +132,37 @@ def beacons(deltas: DataFrame, local: Column, periodic: DataFrame | None = None,
 def uploads(deltas: DataFrame, window_ms: int = 30_000, volume: float = 10e6, span_ms: int = 15_000, records: int = 3) -> DataFrame:
     """Sources whose bytes out over the trailing window are large and sustained; a null counter poisons the ratio only.
 
+    The volume rises to ten times the exponentially weighted mean of the source's earlier windows of the clock that had
+    data and nothing to report, once there are six.
+
     `deltas` holds eligible rows alone: from local sources to others, without known bulk transfers.
     """
     rows = deltas.filter("orig_bytes > 0")
     w = Window.partitionBy("src").orderBy("obs_ms").rangeBetween(-window_ms, 0)
     rows = rows.withColumn("amount", F.sum("orig_bytes").over(w).cast("double")).withColumn("span", F.col("obs_ms") - F.min("obs_ms").over(w)).withColumn("n", F.count("*").over(w))
     first = F.min("obs_ms").over(Window.partitionBy("src", "dst")) == F.col("obs_ms")
-    rows = rows.withColumn("new_dst", first).filter((F.col("amount") >= volume) & (F.col("span") >= span_ms) & (F.col("n") >= records))
-    severe = (F.col("amount") >= 5 * volume) | F.col("new_dst") & (F.col("amount") >= 2 * volume)
-    return _finish(rows.withColumn("subtype", F.lit("sustained_upload")).withColumn("score", F.least(F.lit(1.0), 0.5 + 0.1 * F.col("amount") / volume)), ["src"], F.when(severe, "high").otherwise("medium"))
+    rows = rows.withColumn("new_dst", first).select("src", "obs_ms", F.col("orig_bytes").cast("double").alias("sent"), "amount", "span", "n", "new_dst")
+    rows = rows.repartition("src").sortWithinPartitions("src", "obs_ms", "sent", "new_dst")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, base = None, None
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                if base is None or r.src != key:
+                    key, base, window, sent, odd = r.src, (0, 0.0, 0.0), None, 0.0, False
+                if window is not None and r.obs_ms // window_ms != window:
+                    base = base if odd else learned(base, sent, 0.1)
+                    sent, odd = 0.0, False
+                window, sent = r.obs_ms // window_ms, sent + r.sent
+                limit = max(float(volume), 10 * base[1]) if base[0] >= 6 else float(volume)
+                if r.amount >= limit and r.span >= span_ms and r.n >= records:
+                    odd = True
+                    out.append((r.src, r.obs_ms, r.amount, r.amount >= 5 * limit or r.new_dst and r.amount >= 2 * limit, min(1.0, 0.5 + 0.1 * r.amount / limit)))
+            yield pd.DataFrame(out, columns=["src", "obs_ms", "amount", "severe", "score"])
+
+    rows = rows.mapInPandas(run, "src string, obs_ms long, amount double, severe boolean, score double")
+    return _finish(rows.withColumn("subtype", F.lit("sustained_upload")), ["src"], F.when(F.col("severe"), "high").otherwise("medium"))
 
 
 def tls_metadata(sessions: DataFrame, external: Column, min_score: float = 0.6, positives: int = 2, least: int = 3) -> DataFrame:
