@@ -35,13 +35,14 @@ _SPLIT = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 # Fixed values of the HTML standard: element kinds.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript iframe noembed noframes template svg math object canvas select audio video".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img ruby rt rp rb nobr".split())
+_RAW = frozenset("script style textarea title iframe noembed noframes template".split())
+_FOREIGN = frozenset(("svg", "math"))
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img ruby rt rp rb nobr math semantics annotation mrow mi mo mn ms mtext mspace msup msub msubsup mover munder munderover mfrac msqrt mroot mstyle mpadded mphantom menclose".split())
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 _HOLD = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": set(), "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
 #: Families of tags and of attribute tokens: one feature each.
-TAGS = [{"nav", "menu"}, {"header"}, {"footer"}, {"aside"}, {"form", "fieldset", "button", "input", "label", "legend"}, {"article", "main"}, {"section"}, {"div"}, {"p", "blockquote", "pre"}, {"h1", "h2", "h3", "h4", "h5", "h6"}, {"ul", "ol", "dl", "menu"}, {"li", "dt", "dd"}, {"table", "tbody", "tr", "thead"}, {"td", "th"}, {"body", "html"}, {"figure", "figcaption"}, {"address", "dialog", "details"}]
+TAGS = [{"nav", "menu"}, {"header"}, {"footer"}, {"aside"}, {"form", "fieldset", "button", "input", "label", "legend"}, {"article", "main"}, {"section"}, {"div"}, {"p", "blockquote", "pre"}, {"h1", "h2", "h3", "h4", "h5", "h6"}, {"ul", "ol", "dl", "menu"}, {"li", "dt", "dd"}, {"table", "tbody", "tr", "thead"}, {"td", "th"}, {"body", "html"}, {"figure", "figcaption"}, {"address", "dialog", "details"}, {"object", "noscript", "canvas", "audio", "video", "svg", "select"}]
 TOKENS = [
     "nav navigation navbar menu menubar topbar breadcrumb breadcrumbs crumbs pagination pager toc tabs links".split(),
     "header masthead banner logo branding top toolbar".split(),
@@ -112,7 +113,7 @@ class Page:
             if name == "br":
                 self.pieces.append((stack[-1], " ", False))
                 continue
-            if name in _VOID:
+            if name in _VOID or attributes.endswith("/") and (name in _FOREIGN or not _FOREIGN.isdisjoint(open_tags)):
                 fresh = fresh or name not in _INLINE
                 continue
             inline = name in _INLINE
