@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import tempfile
 from collections import Counter
 from collections.abc import Iterator
@@ -35,6 +36,12 @@ LEXICON_WORDS = 50_000
 FEWEST = 4
 #: Entries of a worker's memo before it is emptied.
 MEMO_WORDS = 800_000
+#: Bytes from which on a word is merged by itself, with a heap; words that are merged side by side.
+LONG_WORD, SIDE_BY_SIDE = 96, 16_384
+#: The table of pairs has 2 to this many slots.
+SLOT_BITS = 18
+#: Characters of texts that are encoded together.
+BATCH_CHARS = 1 << 22
 
 
 def byte_of_char() -> dict[str, int]:
@@ -61,12 +68,24 @@ class Vocabulary:
             self.token_bytes[i] = bytes(back[c] for c in token)
         for token, i in self.special.items():
             self.token_bytes[i] = token.encode()
+        self.token_size = np.fromiter(map(len, self.token_bytes), np.int64, size)
+        self.token_start = np.cumsum(self.token_size) - self.token_size
+        self.token_data = np.frombuffer(b"".join(self.token_bytes), np.uint8)
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
         self.ranks: dict[int, int] = {}
         self.merged: list[int] = []
         for rank, (a, b) in enumerate(pairs):
             self.ranks[vocab[a] << 32 | vocab[b]] = rank
             self.merged.append(vocab[a + b])
+        self.merged_ids = np.array(self.merged, np.int32)
+        self.slot_key, self.slot_rank = np.full(1 << SLOT_BITS, -(2**63), np.int64), np.zeros(1 << SLOT_BITS, np.int32)
+        if 2 * len(self.ranks) > len(self.slot_key):
+            raise ValueError("too many merges for the table of pairs")
+        pairs = np.fromiter(self.ranks, np.int64, len(self.ranks))
+        for slot, pair, rank in zip(self._slots(pairs).tolist(), self.ranks, self.ranks.values()):
+            while self.slot_key[slot] >= 0:
+                slot = (slot + 1) % len(self.slot_key)
+            self.slot_key[slot], self.slot_rank[slot] = pair, rank
         self.byte_id = [0] * 256
         for c, b in back.items():
             self.byte_id[b] = vocab[c]
@@ -74,27 +93,86 @@ class Vocabulary:
         self.splitter = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
 
     def merge(self, word: bytes) -> list[int]:
-        """The ids of one pre-token: always the adjacent pair of lowest rank, leftmost first, is merged.
-
-        Long words use a heap over linked positions, so the cost is n log n.
-        """
-        ids = [self.byte_id[b] for b in word]
-        if len(ids) > 64:
-            return self._merge_long(ids)
-        rank_of, none = self.ranks.get, len(self.merged)
-        ranks = [rank_of(a << 32 | b, none) for a, b in zip(ids, ids[1:])]
-        while ranks:
-            low = min(ranks)
-            if low == none:
-                break
-            i = ranks.index(low)
-            ids[i] = new = self.merged[low]
-            del ids[i + 1], ranks[i]
-            if i:
-                ranks[i - 1] = rank_of(ids[i - 1] << 32 | new, none)
-            if i < len(ranks):
-                ranks[i] = rank_of(new << 32 | ids[i + 1], none)
-        return ids
+        """The ids of one pre-token: always the adjacent pair of lowest rank, leftmost first, is merged."""
+        return np.frombuffer(self.merge_many([word])[0], "<u4").tolist()
+
+    def merge_many(self, words: list[bytes]) -> list[bytes]:
+        """The ids of many pre-tokens, as little-endian integers: words of like length are merged side by side."""
+        out: list[bytes] = [b""] * len(words)
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        at = 0
+        while at < len(order):
+            width = len(words[order[at]])
+            if width > LONG_WORD:
+                out[order[at]] = np.array(self._merge_long([self.byte_id[b] for b in words[order[at]]]), "<u4").tobytes()
+                at += 1
+                continue
+            end = at
+            while end < len(order) and end - at < SIDE_BY_SIDE and len(words[order[end]]) <= width + width // 4:
+                end += 1
+            self._merge_block(words, order[at:end], out)
+            at = end
+        return out
+
+    def _ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids, by open addressing; without one: the number of merges. Negative ids have none."""
+        key = a.astype(np.int64) << 32 | b.astype(np.int64) & 0xFFFFFFFF
+        slot = self._slots(key)
+        found = self.slot_key[slot]
+        rank = self.slot_rank[slot]
+        other = np.flatnonzero((found != key) & (found >= 0))
+        rank[found != key] = len(self.merged)
+        while len(other):
+            slot[other] = (slot[other] + 1) % len(self.slot_key)
+            found = self.slot_key[slot[other]]
+            hit = found == key[other]
+            rank[other[hit]] = self.slot_rank[slot[other[hit]]]
+            other = other[~hit & (found >= 0)]
+        return rank
+
+    def _slots(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+    def _merge_block(self, words: list[bytes], rows: list[int], out: list[bytes]) -> None:
+        """One row a word: each round merges every row's best pair; rows without one are done."""
+        none = len(self.merged)
+        size = np.fromiter((len(words[i]) for i in rows), np.int64, len(rows))
+        width = int(size.max(initial=0))
+        inside = np.arange(width) < size[:, None]
+        ids = np.full((len(rows), width), -1, np.int32)
+        ids[inside] = np.array(self.byte_id, np.int32)[np.frombuffer(b"".join(words[i] for i in rows), np.uint8)]
+        rank = np.full((len(rows), max(1, width)), none, np.int32)  # of the pair that begins here
+        if width > 1:
+            rank[:, : width - 1] = self._ranks_of(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(rows), width - 1)
+        where = np.array(rows)
+        while len(where):
+            best = rank.argmin(1)
+            line = np.arange(len(where))
+            low = rank[line, best]
+            over = low == none
+            if over.any():
+                done, n = ids[over], size[over]
+                flat = done[np.arange(done.shape[1]) < n[:, None]].astype("<u4").tobytes()
+                ends = np.append(0, np.cumsum(4 * n)).tolist()
+                for i, a, b in zip(where[over].tolist(), ends, ends[1:]):
+                    out[i] = flat[a:b]
+                left = ~over
+                ids, rank, size, where, best, low = ids[left], rank[left], size[left], where[left], best[left], low[left]
+                line = line[: len(where)]
+                if not len(where):
+                    break
+            after = np.arange(ids.shape[1] - 1) > best[:, None]
+            np.copyto(ids[:, :-1], ids[:, 1:].copy(), where=after)
+            np.copyto(rank[:, :-1], rank[:, 1:].copy(), where=after)
+            size -= 1
+            ids[line, size] = -1
+            rank[line, size] = none
+            new = self.merged_ids[low]
+            ids[line, best] = new
+            following = np.where(best + 1 < size, ids[line, np.minimum(best + 1, ids.shape[1] - 1)], -1)
+            rank[line, best] = self._ranks_of(new, following)
+            earlier = np.flatnonzero(best > 0)
+            rank[earlier, best[earlier] - 1] = self._ranks_of(ids[earlier, best[earlier] - 1], new[earlier])
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         from heapq import heapify, heappop, heappush
@@ -154,7 +232,8 @@ def compile_lexicon(entries: dict[bytes, list[int]]) -> dict[str, np.ndarray]:
         node = path.pop()
         path[-1][1].append((last[len(path) - 1], settle(node)))
     root = settle(path[0])
-    first = np.cumsum([0, *map(len, arcs)])
+    if len(arcs) >> 24:
+        raise ValueError("a lexicon has fewer than 2^24 states")
     outputs = []
     for state, own in enumerate(arcs):
         before = int(finals[state])
@@ -164,8 +243,7 @@ def compile_lexicon(entries: dict[bytes, list[int]]) -> dict[str, np.ndarray]:
     ids = [entries[w] for w in words]
     return {
         "root": np.array([root], "<u4"),
-        "first": first.astype("<u4"),
-        "label": np.array([a for own in arcs for a, _ in own], "<u4"),
+        "arc": np.array([state << 8 | a for state, own in enumerate(arcs) for a, _ in own], "<u4"),
         "target": np.array([t for own in arcs for _, t in own], "<u4"),
         "output": np.array(outputs, "<u4"),
         "final": np.array(finals, "<u4"),
@@ -174,7 +252,7 @@ def compile_lexicon(entries: dict[bytes, list[int]]) -> dict[str, np.ndarray]:
     }
 
 
-_PARTS = ("root", "first", "label", "target", "output", "final", "offset", "ids")
+_PARTS = ("root", "arc", "target", "output", "final", "offset", "ids")
 
 
 def write_lexicon(parts: dict[str, np.ndarray], path: str) -> None:
@@ -188,95 +266,132 @@ class Lexicon:
     def __init__(self, path: str):
         whole = np.memmap(path, "<u4", "r")
         ends = len(_PARTS) + np.cumsum([0, *whole[: len(_PARTS)]])
-        view = {k: whole[int(a) : int(b)] for k, a, b in zip(_PARTS, ends, ends[1:])}
-        self.root, self.ids, self.offset = int(view["root"][0]), view["ids"], view["offset"]
-        self.first, self.label, self.target, self.output, self.final = (view[k].data for k in _PARTS[1:6])
+        view = {k: np.asarray(whole[int(a) : int(b)]) for k, a, b in zip(_PARTS, ends, ends[1:])}
+        self.root, self.view = int(view["root"][0]), view
 
     def find(self, word: bytes) -> bytes | None:
         """The word's ids as little-endian integers, or None if the lexicon lacks it."""
-        state, rank = self.root, 0
-        for b in word:
-            low, high = self.first[state], self.first[state + 1]
-            while low < high:
-                middle = (low + high) // 2
-                if self.label[middle] < b:
-                    low = middle + 1
-                else:
-                    high = middle
-            if low == self.first[state + 1] or self.label[low] != b:
-                return None
-            rank += self.output[low]
-            state = self.target[low]
-        if not self.final[state]:
-            return None
-        return self.ids[self.offset[rank] : self.offset[rank + 1]].tobytes()
+        return self.find_many([word])[0]
+
+    def find_many(self, words: list[bytes]) -> list[bytes | None]:
+        """The same of many words, which walk through the automaton side by side, the longest first."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(-size, kind="stable")
+        text, size = np.frombuffer(b"".join(words), np.uint8), size[order]
+        start = (np.cumsum(size[np.argsort(order)]) - size[np.argsort(order)])[order]
+        arc, target, output = self.view["arc"], self.view["target"], self.view["output"]
+        state, rank, alive = np.full(len(words), self.root, np.int64), np.zeros(len(words), np.int64), np.arange(len(words))
+        ended = []
+        depth = 0
+        while len(alive):
+            more = int(np.searchsorted(-size[alive], -depth, "left"))  # those after it end here
+            ended.append(alive[more:])
+            alive = alive[:more]
+            if not len(arc):
+                break
+            key = (state[alive] << 8 | text[start[alive] + depth]).astype(np.uint32)
+            at = np.minimum(np.searchsorted(arc, key), len(arc) - 1)
+            there = arc[at] == key
+            alive, at = alive[there], at[there]
+            rank[alive] += output[at]
+            state[alive] = target[at]
+            depth += 1
+        found: list[bytes | None] = [None] * len(words)
+        ended = np.concatenate(ended) if ended else np.zeros(0, np.int64)
+        ended = ended[self.view["final"][state[ended]] > 0]
+        offset, ids = self.view["offset"], self.view["ids"].data.cast("B")
+        for i, a, b in zip(order[ended].tolist(), offset[rank[ended]].tolist(), offset[rank[ended] + 1].tolist()):
+            found[i] = bytes(ids[4 * a : 4 * b])
+        return found
+
+
+#: A key without other white space in it.
+_CLEAN = re.compile(r"[\n ]\S+").fullmatch
 
 
 class Encoder:
-    """Text to ids. Chunks between single spaces and line breaks are memoised; other white space takes the regex."""
+    """Texts to ids, a batch at a time: what the memo lacks is looked up and merged side by side.
+
+    A key is what a text has from one single space or line break to the next, with that character; pre-tokens never
+    reach across it. Texts in which other white space or more of it touches take the pattern as a whole.
+    """
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None):
         self.v, self.lexicon = vocabulary, lexicon
         self.pieces: dict[str, bytes] = {}
-        encoder = self
-
-        class Memo(dict):
-            def __init__(self, lead: str):
-                self.lead = lead
-
-            def __missing__(self, chunk: str):
-                text = self.lead + chunk
-                value = b"".join(map(encoder.piece, encoder.v.words.findall(text))) if chunk and not chunk[-1].isspace() and (self.lead or not chunk[0].isspace()) else None
-                self[chunk] = value
-                return value
-
-        self.start, self.inner = Memo(""), Memo(" ")
-        self.line_break = self.piece("\n")
-
-    def piece(self, word: str) -> bytes:
-        found = self.pieces.get(word)
-        if found is None:
-            raw = word.encode("utf-8", "surrogatepass")
-            found = self.lexicon.find(raw) if self.lexicon else None
-            if found is None:
-                found = np.array(self.v.merge(raw), "<u4").tobytes()
-            if len(word) <= 64:
-                self.pieces[word] = found
-        return found
-
-    def plain(self, text: str) -> bytes:
-        """Ids of text without special tokens."""
-        out: list[bytes] = []
-        try:
-            for k, line in enumerate(text.split("\n")):
-                if k:
-                    out.append(self.line_break)
-                head, *rest = line.split(" ")
-                out.append(self.start[head])
-                out.extend(map(self.inner.__getitem__, rest))
-            return b"".join(out)
-        except TypeError:  # a chunk that touches other white space
-            return b"".join(map(self.piece, self.v.words.findall(text)))
+        self.keys: dict[str, bytes | None] = {}
+        self.line_break = len(self.vocabulary_ids("\n"))
+
+    def vocabulary_ids(self, piece: str) -> bytes:
+        self._learn_pieces([piece])
+        return self.pieces[piece]
+
+    def _learn_pieces(self, pieces) -> None:
+        new = list(set(pieces).difference(self.pieces))
+        raw = [p.encode("utf-8", "surrogatepass") for p in new]
+        found = self.lexicon.find_many(raw) if self.lexicon else [None] * len(new)
+        rest = [i for i, f in enumerate(found) if f is None]
+        for i, ids in zip(rest, self.v.merge_many([raw[i] for i in rest])):
+            found[i] = ids
+        self.pieces.update(zip(new, found))
+
+    def _learn_keys(self, keys: set[str]) -> None:
+        """Memo entries of keys; None where other white space touches."""
+        new = list(keys.difference(self.keys))
+        clean = list(filter(_CLEAN, new))
+        self.keys.update(dict.fromkeys(set(new).difference(clean)) if len(clean) < len(new) else {})
+        pieces = self.v.words.findall("".join(clean))
+        self._learn_pieces(pieces)
+        ids, starts = list(map(self.pieces.__getitem__, pieces)), [i for i, p in enumerate(pieces) if p[0] == " " or p == "\n"]
+        self.keys.update(zip(clean, [ids[a] if b - a == 1 else b"".join(ids[a:b]) for a, b in zip(starts, [*starts[1:], len(ids)])]))
+
+    @staticmethod
+    def _keys_of(text: str) -> list[str]:
+        """The text's keys; the first has a line break that isn't in the text."""
+        return ("\n" + text).replace("\n", "\0\n").replace(" ", "\0 ").split("\0")[1:] if "\0" not in text else [" "]
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        if len(self.keys) + len(self.pieces) > MEMO_WORDS:
+            self.keys.clear()
+            self.pieces.clear()
+        plain: list[str] = []
+        parts: list[list[int | bytes]] = []
+        special = self.v.special
+        for text in texts:
+            row: list[int | bytes] = []
+            for part in self.v.splitter.split(text) if any(s in text for s in special) else [text]:
+                if part in special:
+                    row.append(np.array([special[part]], "<u4").tobytes())
+                elif part:
+                    row.append(len(plain))
+                    plain.append(part)
+            parts.append(row)
+        split = list(map(self._keys_of, plain))
+        self._learn_keys(set().union(*split))
+        made: list[bytes] = []
+        for text, keys in zip(plain, split):
+            try:
+                made.append(b"".join(map(self.keys.__getitem__, keys))[self.line_break :])
+            except TypeError:
+                pieces = self.v.words.findall(text)
+                self._learn_pieces(pieces)
+                made.append(b"".join(map(self.pieces.__getitem__, pieces)))
+        return [b"".join(x if isinstance(x, bytes) else made[x] for x in row) for row in parts]
 
     def encode(self, text: str) -> bytes:
-        if len(self.start) + len(self.inner) + len(self.pieces) > MEMO_WORDS:
-            self.start.clear()
-            self.inner.clear()
-            self.pieces.clear()
-        if not text:
-            return b""
-        if not any(s in text for s in self.v.special):
-            return self.plain(text)
-        out = []
-        for part in self.v.splitter.split(text):
-            if part in self.v.special:
-                out.append(np.array([self.v.special[part]], "<u4").tobytes())
-            elif part:
-                out.append(self.plain(part))
-        return b"".join(out)
+        return self.encode_many([text])[0]
+
+    def decode_many(self, ids: list[bytes]) -> list[str]:
+        """The texts of many id sequences: their tokens' bytes are gathered together."""
+        tokens = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
+        size = self.v.token_size[tokens]
+        ends = np.append(0, np.cumsum(size))
+        data = self.v.token_data[np.arange(ends[-1]) + np.repeat(self.v.token_start[tokens] - ends[:-1], size)].tobytes()
+        cuts = ends[np.cumsum([0, *(len(i) // 4 for i in ids)])].tolist()
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
 
     def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.v.token_bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        return self.decode_many([ids])[0]
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
@@ -323,7 +438,8 @@ def build_lexicon(docs: DataFrame, vocabulary_path: str, limit: int = LEXICON_WO
     """Compile the corpus' frequent words and ship the file to the executors; returns its SparkFiles name."""
     vocabulary = Vocabulary(vocabulary_path)
     words = {p for c in frequent_chunks(docs, limit) for p in vocabulary.words.findall(" " + c)}
-    entries = {w.encode("utf-8", "surrogatepass"): vocabulary.merge(w.encode("utf-8", "surrogatepass")) for w in words | {"\n"}}
+    raw = sorted(w.encode("utf-8", "surrogatepass") for w in words | {"\n"})
+    entries = {w: np.frombuffer(ids, "<u4").tolist() for w, ids in zip(raw, vocabulary.merge_many(raw))}
     folder = tempfile.mkdtemp(prefix="tapline-lexicon-")
     path = os.path.join(folder, f"{os.path.basename(folder)}.bin")
     write_lexicon(compile_lexicon(entries), path)
@@ -331,6 +447,21 @@ def build_lexicon(docs: DataFrame, vocabulary_path: str, limit: int = LEXICON_WO
     return os.path.basename(path)
 
 
+def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[str]]]:
+    """Ids and texts (null as empty) of about BATCH_CHARS characters at a time."""
+    for batch in batches:
+        ids, texts, chars = [], [], 0
+        for doc_id, text in zip(batch.column(0), batch.column(1)):
+            ids.append(doc_id.as_py())
+            texts.append(text.as_py() or "")
+            chars += len(texts[-1])
+            if chars >= BATCH_CHARS:
+                yield ids, texts
+                ids, texts, chars = [], [], 0
+        if ids:
+            yield ids, texts
+
+
 def encode_documents(docs: DataFrame, vocabulary_path: str, limit: int = LEXICON_WORDS, with_ids: bool = False, with_text: bool = False) -> DataFrame:
     """One row per row of `docs`: doc_id, n_tokens, ids_sha256, decoded_sha256, and on request ids and decoded.
 
@@ -344,11 +475,10 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, limit: int = LEXICON
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(vocabulary_path, name)
-        for batch in batches:
+        for doc_ids, texts in parts_of(batches):
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encoder.encode(text.as_py() or "")
-                decoded = encoder.decode(ids)
+            encoded = encoder.encode_many(texts)
+            for doc_id, ids, decoded in zip(doc_ids, encoded, encoder.decode_many(encoded)):
                 row = (doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
                 row += (np.frombuffer(ids, "<u4").astype(np.int32),) * with_ids + (decoded,) * with_text
                 rows.append(row)
