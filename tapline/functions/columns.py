@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ipaddress
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,14 +33,32 @@ def normal_name(query: Column) -> Column:
     return F.when(F.length(name).between(1, 253), name)
 
 
-def registrable(name: Column) -> Column:
-    """The registrable domain: one label before a one- or two-label suffix; null where there is none."""
+def _labels(name: Column) -> tuple[Column, Column, Column]:
+    """Labels of a name, how many its suffix has, and whether it has no registrable domain."""
     labels = F.split(name, r"\.")
     n = F.size(labels)
-    two = F.concat_ws(".", F.slice(labels, -2, 2))
-    wide = (n >= 3) & two.isin(*MULTI_SUFFIXES)
-    bad = F.element_at(labels, -1).isin(*NON_REGISTRABLE) | (n < 2) | name.contains(":") | F.element_at(labels, -1).rlike(r"^[0-9]+$") | two.isin(*MULTI_SUFFIXES) & (n < 3)
-    return F.when(~bad, F.when(wide, F.concat_ws(".", F.slice(labels, -3, 3))).otherwise(two))
+    suffix = F.when((n >= 3) & F.concat_ws(".", F.slice(labels, -2, 2)).isin(*MULTI_SUFFIXES), 2).otherwise(1)
+    bad = (n < 2) | F.array_contains(labels, "") | F.element_at(labels, -1).isin(*NON_REGISTRABLE) | name.rlike(r"^[0-9.]+$") | name.contains(":")
+    return labels, suffix, bad
+
+
+def registrable(name: Column) -> Column:
+    """The registrable domain: one label before a one- or two-label suffix; null where there is none."""
+    labels, suffix, bad = _labels(name)
+    return F.when(~bad, F.when(suffix == 2, F.concat_ws(".", F.slice(labels, -3, 3))).otherwise(F.concat_ws(".", F.slice(labels, -2, 2))))
+
+
+def second_label(name: Column) -> Column:
+    """The label right before the suffix; null where nothing is registrable."""
+    labels, suffix, bad = _labels(name)
+    return F.when(~bad, F.when(suffix == 2, F.element_at(labels, -3)).otherwise(F.element_at(labels, -2)))
+
+
+def below_registrable(name: Column) -> Column:
+    """The labels below the registrable domain, joined by dots; null where there are none."""
+    labels, suffix, bad = _labels(name)
+    n = F.size(labels) - suffix - 1
+    return F.when(~bad & (n > 0), F.concat_ws(".", F.slice(labels, F.lit(1), F.greatest(n, F.lit(0)))))
 
 
 def entropy(text: Column) -> Column:
@@ -95,6 +115,47 @@ def ipv4_number(text: Column) -> Column:
     return F.when(text.rlike(rf"^{part}(\.{part}){{3}}$"), number)
 
 
+def ipv6_digits(text: Column) -> Column:
+    """The 32 hexadecimal digits of an IPv6 address in any of its text forms, without a zone; null for others."""
+    part = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+    tail = F.regexp_extract(text, r":([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$", 1)
+    words = F.lpad(F.lower(F.hex(ipv4_number(tail))), 8, "0")
+    plain = F.when(tail == "", F.lower(text)).otherwise(F.concat(F.lower(F.substring(text, F.lit(1), F.length(text) - F.length(tail))), F.substring(words, 1, 4), F.lit(":"), F.substring(words, 5, 4)))
+    sides = F.split(plain, "::")
+    groups = lambda side: F.filter(F.split(side, ":"), lambda g: g != "")
+    left, right = groups(F.element_at(sides, 1)), F.when(F.size(sides) > 1, groups(F.element_at(sides, -1))).otherwise(F.array().cast("array<string>"))
+    known = F.size(left) + F.size(right)
+    gap = F.when(F.size(sides) > 1, F.array_repeat(F.lit("0"), F.greatest(8 - known, F.lit(0)))).otherwise(F.array().cast("array<string>"))
+    digits = F.concat_ws("", F.transform(F.concat(left, gap, right), lambda g: F.lpad(g, 4, "0")))
+    side = "([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)"
+    shaped = F.length(text).between(2, 45) & ((tail == "") | tail.rlike(rf"^{part}(\.{part}){{3}}$"))
+    whole = plain.rlike(rf"^{side}$") & (known == 8) | plain.rlike(rf"^{side}?::{side}?$") & (known <= 7)
+    return F.when(shaped & whole, digits)
+
+
+def is_ip(text: Column) -> Column:
+    """Whether a text is an IPv4 or IPv6 address."""
+    return F.coalesce(ipv4_number(text).isNotNull() | ipv6_digits(text).isNotNull(), F.lit(False))
+
+
+def in_networks(text: Column, networks: list[str]) -> Column:
+    """Whether an address of either version lies in one of some networks ('10.0.0.0/8', 'fd00::/8')."""
+    out = F.lit(False)
+    for spec in networks:
+        net = ipaddress.ip_network(spec, strict=False)
+        if net.version == 4:
+            inside = in_network(ipv4_number(text), int(net.network_address), net.prefixlen)
+        else:
+            whole, bits = divmod(net.prefixlen, 4)
+            digits, wanted = ipv6_digits(text), f"{int(net.network_address):032x}"
+            inside = F.substring(digits, 1, whole) == wanted[:whole]
+            if bits:
+                nibble = F.conv(F.substring(digits, whole + 1, 1), 16, 10).cast("int")
+                inside = inside & (F.shiftright(nibble, 4 - bits) == int(wanted[whole], 16) >> (4 - bits))
+        out = out | F.coalesce(inside, F.lit(False))
+    return out
+
+
 def under_domain(name: Column, domains: list[str]) -> Column:
     """Whether a name equals one of the domains or lies below it."""
     out = F.lit(False)
@@ -126,3 +187,15 @@ def ewma(ordered: Column, alpha: float) -> Column:
     """The exponentially weighted mean of an ordered array; the first value starts it."""
     first = F.element_at(ordered, 1).cast("double")
     return F.aggregate(F.slice(ordered, 2, F.greatest(F.size(ordered) - 1, F.lit(0))), first, lambda a, x: a + F.lit(alpha) * (x - a))
+
+
+def ewma_moments(ordered: Column, alpha: float) -> Column:
+    """n, mean and var (exponentially weighted) of an ordered array; the first value starts the mean."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("var"))
+
+    def step(s: Column, x: Column) -> Column:
+        apart = x.cast("double") - s["mean"]
+        first = s["n"] == 0
+        return F.struct((s["n"] + 1).alias("n"), F.when(first, x.cast("double")).otherwise(s["mean"] + alpha * apart).alias("mean"), F.when(first, 0.0).otherwise((1 - alpha) * (s["var"] + alpha * apart * apart)).alias("var"))
+
+    return F.aggregate(ordered, start, step)

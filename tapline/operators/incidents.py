@@ -16,7 +16,8 @@ from tapline.functions.columns import uuid5
 #: Milliseconds without findings after which an incident ends, between repeated updates, and by class.
 IDLE_MS, COOLDOWN_MS = 300_000, 60_000
 IDLE_BY_CLASS = {"beaconing": 1_800_000}
-UPDATES = "threat_class string, entity_key string, window_start_ms long, update_seq int, status string, rank int, obs_ms long, evidence long"
+UPDATES = "threat_class string, entity_type string, entity_key string, window_start_ms long, update_seq int, status string, rank int, obs_ms long, evidence long"
+KEYS = ["threat_class", "entity_type", "entity_key"]
 STATE = "start long, seq int, rank int, emitted_ms long, seen_ms long, evidence long, emitted_evidence long, subtypes string"
 
 
@@ -56,15 +57,19 @@ def closing(state: tuple) -> tuple[int, int, str, int, int, int]:
     return (state[0], state[1] + 1, "resolved", state[2], state[4], state[5])
 
 
+def typed(findings: DataFrame) -> DataFrame:
+    return findings if "entity_type" in findings.columns else findings.withColumn("entity_type", F.lit("src_host"))
+
+
 def correlate(findings: DataFrame, idle: int = IDLE_MS, cooldown: int = COOLDOWN_MS) -> DataFrame:
     """All updates of all incidents; every incident is resolved at the end of its findings.
 
-    `findings` has threat_class, entity_key, window_start_ms, obs_ms, rank, subtype, evidence. A key's findings are
-    sorted by Spark and pass through one at a time, so memory holds one state, not the key's history.
+    `findings` has threat_class, entity_type (src_host, if there is no such column), entity_key, window_start_ms, obs_ms,
+    rank, subtype, evidence. A key's findings are sorted by Spark and pass through one at a time, so memory holds one state, not the key's history.
     """
-    keys = ["threat_class", "entity_key"]
+    keys = KEYS
     order = [*keys, "obs_ms", "window_start_ms", "rank", "subtype", "evidence"]
-    rows = findings.select(*order).repartition(*keys).sortWithinPartitions(*order)
+    rows = typed(findings).select(*order).repartition(*keys).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, state = None, None
@@ -72,10 +77,10 @@ def correlate(findings: DataFrame, idle: int = IDLE_MS, cooldown: int = COOLDOWN
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
-                if (r.threat_class, r.entity_key) != key:
+                if (r.threat_class, r.entity_type, r.entity_key) != key:
                     if state is not None:
                         out.append((*key, *closing(state)))
-                    key, state = (r.threat_class, r.entity_key), None
+                    key, state = (r.threat_class, r.entity_type, r.entity_key), None
                 state, reports = advance(state, (r.window_start_ms, r.obs_ms, r.rank, r.subtype, r.evidence), idle_of(r.threat_class, idle), cooldown)
                 out += [(*key, *x) for x in reports]
             yield pd.DataFrame(out, columns=names)
@@ -88,5 +93,5 @@ def correlate(findings: DataFrame, idle: int = IDLE_MS, cooldown: int = COOLDOWN
 def identified(updates: DataFrame) -> DataFrame:
     """Incident and update identifiers that depend on nothing but what they name, so that replays agree."""
     second = F.expr("cast(floor(window_start_ms / 1000) * 1000 as bigint)")
-    named = updates.withColumn("incident_id", uuid5("incident", F.col("threat_class"), F.lit("src_host"), F.col("entity_key"), second))
+    named = updates.withColumn("incident_id", uuid5("incident", *(F.col(k) for k in KEYS), second))
     return named.withColumn("update_id", uuid5("update", F.col("incident_id"), F.col("update_seq")))

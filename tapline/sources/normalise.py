@@ -17,8 +17,19 @@ DNS = {
     "uid": ("uid", "string"), "src_ip": ("id.orig_h", "string"), "src_port": ("id.orig_p", "int"), "dst_ip": ("id.resp_h", "string"), "dst_port": ("id.resp_p", "int"),
     "proto": ("proto", "string"), "query": ("query", "string"), "qtype_name": ("qtype_name", "string"), "rcode_name": ("rcode_name", "string"), "rtt_s": ("rtt", "double"),
 }
+SSL = {
+    "uid": ("uid", "string"), "src_ip": ("id.orig_h", "string"), "src_port": ("id.orig_p", "int"), "dst_ip": ("id.resp_h", "string"), "dst_port": ("id.resp_p", "int"),
+    "version": ("version", "string"), "cipher": ("cipher", "string"), "curve": ("curve", "string"), "server_name": ("server_name", "string"), "resumed": ("resumed", "boolean"), "established": ("established", "boolean"),
+    "next_protocol": ("next_protocol", "string"), "ssl_history": ("ssl_history", "string"), "validation_status": ("validation_status", "string"), "sni_matches_cert": ("sni_matches_cert", "boolean"),
+}
+WEIRD = {
+    "uid": ("uid", "string"), "src_ip": ("id.orig_h", "string"), "src_port": ("id.orig_p", "int"), "dst_ip": ("id.resp_h", "string"), "dst_port": ("id.resp_p", "int"),
+    "name": ("name", "string"), "addl": ("addl", "string"), "notice": ("notice", "boolean"), "peer": ("peer", "string"), "source": ("source", "string"),
+}
 _RESPONDER, _ORIGINATOR = ("resp_bytes", "resp_pkts"), ("orig_bytes", "orig_pkts")
 LARGEST = 2**53 - 1
+# Fixed values of the contract: characters of a kept line, bytes of a whole record, answers and their characters.
+LONGEST_LINE, MOST_BYTES, MOST_ANSWERS, LONGEST_ANSWER = 4096, 9600, 16, 255
 
 
 def _bounded(key: str, value: Column, kind: str) -> Column:
@@ -32,8 +43,11 @@ def _bounded(key: str, value: Column, kind: str) -> Column:
     return F.when(F.length(value) <= 255, value) if kind == "string" else value
 
 
-def normalised(lines: DataFrame, fields: dict[str, tuple[str, str]], sensor: str, boot: str, coverage: str = "both_directions", line: str = "value") -> DataFrame:
-    """event_id, obs_us, payload, availability, reasons of each line; a line without a time or not JSON is left out.
+def normalised(lines: DataFrame, fields: dict[str, tuple[str, str]], sensor: str, boot: str, coverage: str = "both_directions", line: str = "value", sequence: str = "sequence") -> DataFrame:
+    """event_id, sequence, event_us, payload, availability, reasons of each line; a line without a time or not JSON is left out.
+
+    The identifier is named by sensor, boot, the line's own sequence and digest, so equal lines of one moment stay apart.
+    A record keeps its line only up to 4096 characters, and only while the whole takes no more than 9600 bytes.
 
     A field that is absent is MISSING, one outside its bounds UNKNOWN with a reason. Counters of a direction that the
     sensor doesn't see are null and UNKNOWN, even where it logged a zero: zero and unseen are different things. Times are
@@ -54,7 +68,22 @@ def normalised(lines: DataFrame, fields: dict[str, tuple[str, str]], sensor: str
         reasons.append(F.struct(F.lit(key).alias("key"), reason.alias("value")))
     filled = lambda entries: F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"].isNotNull()))
     micros = F.round(F.get_json_object(raw, "$.ts").try_cast("decimal(20,9)") * 1_000_000).cast("long")
-    rows = lines.select(raw.alias("original_record"), variant.alias("v"), micros.alias("event_us"), F.struct(*values).alias("payload"), filled(marks).alias("availability"), filled(reasons).alias("availability_reasons"))
+    rows = lines.select(F.col(sequence).cast("long").alias("sequence"), raw.alias("original_record"), variant.alias("v"), micros.alias("event_us"), F.struct(*values).alias("payload"), filled(marks).alias("availability"), filled(reasons).alias("availability_reasons"))
     digest = F.sha2("original_record", 256)
     kept = rows.filter("v IS NOT NULL AND event_us IS NOT NULL").drop("v")
-    return kept.withColumns({"original_record_sha256": digest, "event_id": uuid5("event", F.lit(sensor), F.lit(boot), F.col("event_us"), digest), "observation_coverage": F.lit(coverage), "original_record": F.when(F.length("original_record") <= 4096, F.col("original_record")), "original_record_truncated": F.length("original_record") > 4096})
+    named = kept.withColumns({"original_record_sha256": digest, "event_id": uuid5("event", F.lit(sensor), F.lit(boot), F.col("sequence"), digest), "observation_coverage": F.lit(coverage)})
+    record = F.octet_length(F.to_json(F.struct(*(F.col(c) for c in named.columns))))
+    fits = (F.length("original_record") <= LONGEST_LINE) & (record <= MOST_BYTES)
+    return named.withColumns({"original_record": F.when(fits, F.col("original_record")), "original_record_truncated": ~fits})
+
+
+def answers(line: Column, answered: Column) -> Column:
+    """answers and answers_truncated of a name lookup: at most 16 texts of 255 characters each.
+
+    A response without answers has an empty list; where there was no response (`answered` is false) the list is null.
+    """
+    raw = F.from_json(F.get_json_object(line, "$.answers"), "array<string>")
+    cut = F.transform(F.slice(raw, 1, MOST_ANSWERS), lambda a: F.substring(a, 1, LONGEST_ANSWER))
+    long = (F.size(raw) > MOST_ANSWERS) | F.exists(F.slice(raw, 1, MOST_ANSWERS), lambda a: F.length(a) > LONGEST_ANSWER)
+    none = F.when(answered, F.array().cast("array<string>"))
+    return F.struct(F.coalesce(cut, none).alias("answers"), F.coalesce(long, F.lit(False)).alias("answers_truncated"))

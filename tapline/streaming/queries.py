@@ -105,6 +105,6 @@ class IncidentProcessor(StatefulProcessor):
 
 def incident_updates(findings: DataFrame, idle: int = incidents.IDLE_MS, cooldown: int = incidents.COOLDOWN_MS) -> DataFrame:
     """Updates of incidents from a stream of findings with event time `ts`. The state store must be RocksDB (ROCKS)."""
-    keyed = findings.groupBy("threat_class", "entity_key")
+    keyed = incidents.typed(findings).groupBy(*incidents.KEYS)
     made = keyed.transformWithStateInPandas(IncidentProcessor(idle, cooldown), incidents.UPDATES, "append", "eventTime")
     return incidents.identified(made)
