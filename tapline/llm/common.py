@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -27,9 +30,64 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared folder and cut its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """`df` written as a Parquet table in the shared folder: its lineage ends there, and its size is known from then on."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A `cut` whose tables are removed when the block ends; what leaves it must be written before."""
+    paths: list[str] = []
+
+    def write(df: DataFrame) -> DataFrame:
+        paths.append(f"{shared_folder(spark)}/table-{uuid.uuid4().hex}")
+        df.write.parquet(paths[-1])
+        return spark.read.schema(df.schema).parquet(paths[-1])
+
+    try:
+        yield write
+    finally:
+        for path in paths:
+            remove_folder(spark, path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Spark's file systems."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def whole_row(docs: DataFrame) -> "F.Column":
+    """All columns of `docs` as one struct, _all, so that no name of theirs meets an operator's own."""
+    return F.struct(*(F.col(f"`{n.replace('`', '``')}`") for n in docs.columns)).alias("_all")
+
+
+def with_own(packed: DataFrame, names: list[str], own: list[str]) -> DataFrame:
+    """The columns `names` of _all, and then the operator's `own`; where names clash, the operator's stand."""
+    taken = {n.lower() for n in own}
+    return packed.select(*(F.col("_all").getField(n).alias(n) for n in names if n.lower() not in taken), *own)
+
+
+#: 64-bit words that a membership filter has: its broadcast takes no more rows than that.
+FILTER_WORDS = 1 << 19
+
+
+def maybe_in(rows: DataFrame, key: "F.Column", wanted: DataFrame, wanted_key: "F.Column") -> DataFrame:
+    """The `rows` whose key some row of `wanted` may have, and all with _maybe: false only where none has it.
+
+    The keys of `wanted` set bits of FILTER_WORDS words, which are broadcast: their size is bounded whatever the
+    input. Rows that can't match then stay where they are, and a join after this moves few others.
+    """
+    spot = lambda k: (F.pmod(k, F.lit(FILTER_WORDS)).alias("_word"), F.shiftrightunsigned(k, 40).bitwiseAND(F.lit(63)).cast("int").alias("_bit"))
+    word, bit = spot(F.xxhash64(F.lit(3), wanted_key))
+    words = wanted.select(word, bit).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    word, bit = spot(F.xxhash64(F.lit(3), key))
+    marked = rows.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(words), "_word", "left")
+    hit = F.expr("shiftright(_bits, _bit)").bitwiseAND(F.lit(1)) == 1
+    return marked.withColumn("_maybe", F.coalesce(hit, F.lit(False))).drop("_word", "_bit", "_bits")
 
 
 def held_out_fold(doc_id) -> "F.Column":
