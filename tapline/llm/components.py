@@ -1,15 +1,17 @@
 """Connected components of a graph given as a table of links, by alternating large and small stars.
 
 Every round is a minimum over each node's neighbours (pre-aggregated before the shuffle) and a join back; no
-neighbourhood is ever gathered in one place, and the links of each round are checkpointed.
+neighbourhood is ever gathered in one place, and the links of each round are written.
 """
 
 from __future__ import annotations
 
+from contextlib import ExitStack
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, workspace
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -27,17 +29,22 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node) of every node that a link (columns a, b) has.
+    """node, component (its smallest node) of every node that a link (columns a, b) has, as a written table.
 
     Links may repeat, point either way or to themselves; nulls link nothing.
     """
-    now = cut(edges.select("a", "b").dropna().filter("a != b").distinct())
-    seen = None
-    while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen or not state[0]:
-            break
-        seen = state
-        now = cut(_star(_star(now, True), False))
-    stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
+    spark = edges.sparkSession
+    with ExitStack() as tables:
+        now = tables.enter_context(workspace(spark))(edges.select("a", "b").dropna().filter("a != b").distinct())
+        seen = None
+        while True:
+            state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            if state == seen or not state[0]:
+                break
+            seen = state
+            later = ExitStack()  # a round's table goes when the next one is written
+            now = later.enter_context(workspace(spark))(_star(_star(now, True), False))
+            tables.close()
+            tables.push(later)
+        stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        return cut(stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct()))
