@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees, boost
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]{0,20000}\"|'[^']{0,20000}')*+)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.S,
-)
+_OPEN = re.compile(r"<(?:(!--|!\[CDATA\[|[!?])|(/?)([a-zA-Z][^\s/>]*))")
+_OPEN_RUN = re.compile(r"<(!--|!\[CDATA\[)")
+#: The rest of a tag in which quoted values hold no '>'; other tags are read value by value.
+_SIMPLE_REST = re.compile(r"((?:[^>\"']|\"[^\">]*\"|'[^'>]*')*+)>")
+_TO_VALUE = re.compile(r"[^>=]*(?:=\s*)?")
+_UNQUOTED = re.compile(r"[^\s>]*")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-a-zA-Z0-9_:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _SPLIT = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -41,6 +41,7 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 _HOLD = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": set(), "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
+_HOLD_P = ("table", "td", "th", "button")
 #: Families of tags and of attribute tokens: one feature each.
 TAGS = [{"nav", "menu"}, {"header"}, {"footer"}, {"aside"}, {"form", "fieldset", "button", "input", "label", "legend"}, {"article", "main"}, {"section"}, {"div"}, {"p", "blockquote", "pre"}, {"h1", "h2", "h3", "h4", "h5", "h6"}, {"ul", "ol", "dl", "menu"}, {"li", "dt", "dd"}, {"table", "tbody", "tr", "thead"}, {"td", "th"}, {"body", "html"}, {"figure", "figcaption"}, {"address", "dialog", "details"}, {"object", "noscript", "canvas", "audio", "video", "svg", "select"}]
 TOKENS = [
@@ -63,6 +64,27 @@ _TAG_FAMILY = {t: k for k, own in enumerate(TAGS) for t in own}
 LABEL = "data-known-main"
 
 
+def _tag_end(source: str, at: int) -> int:
+    """Where the '>' of a tag is whose name ends at `at`: quoted values may hold others; there is one behind `at`.
+
+    A quote that is never closed is taken for an ordinary character.
+    """
+    begin = at
+    while True:
+        at = _TO_VALUE.match(source, at).end()
+        if at >= len(source):
+            return source.find(">", begin)
+        if source[at] == ">":
+            return at
+        if source[at] in "\"'":
+            close = source.find(source[at], at + 1)
+            if close < 0:
+                return source.find(">", begin)
+            at = close + 1
+        else:
+            at = _UNQUOTED.match(source, at).end()
+
+
 class Page:
     """The node arrays of a parsed page, and its text pieces: node, text, whether a block begins before it."""
 
@@ -74,10 +96,23 @@ class Page:
 
     def _parse(self, source: str) -> None:
         stack, at, links, fresh, lower = [0], 0, 0, True, None
-        open_tags = ["#"]
+        open_tags: list[str] = ["#"]
+        where: dict[str, list[int]] = {}  # the places of each name among the open tags
         in_head = False
+        last = source.rfind(">")  # a tag or declaration that begins behind it is text
+
+        def close_last() -> str:
+            nonlocal links
+            top = open_tags.pop()
+            stack.pop()
+            where[top].pop()
+            links -= top == "a"
+            return top
+
         while True:
-            m = _TOKEN.search(source, at)
+            m = _OPEN.search(source, at)
+            if m and m.start() > last and m[1] in (None, "!", "?"):
+                m = _OPEN_RUN.search(source, m.start())
             end = m.start() if m else len(source)
             if end > at and not in_head:
                 text = source[at:end]
@@ -90,11 +125,15 @@ class Page:
                     self.pieces.append((stack[-1], " ", False))
             if not m:
                 return
-            at = m.end()
-            name = m[2] or m[5]
-            if not name:
+            if m[1]:
+                mark = {"!--": "-->", "![CDATA[": "]]>"}.get(m[1], ">")
+                stop = source.find(mark, m.end())
+                at = stop + len(mark) if stop >= 0 else len(source)
                 continue
-            name, closing, attributes = name.lower(), m[1] or m[4], (m[3] if m[2] else m[6]) or ""
+            name, closing = m[3].lower(), m[2]
+            rest = _SIMPLE_REST.match(source, m.end())
+            stop = rest.end() - 1 if rest else _tag_end(source, m.end())
+            attributes, at = source[m.end() : stop], stop + 1
             if name == "head":
                 in_head = not closing
                 continue
@@ -113,27 +152,25 @@ class Page:
             if name == "br":
                 self.pieces.append((stack[-1], " ", False))
                 continue
-            if name in _VOID or attributes.endswith("/") and (name in _FOREIGN or not _FOREIGN.isdisjoint(open_tags)):
+            if name in _VOID or attributes.endswith("/") and (name in _FOREIGN or any(where.get(f) for f in _FOREIGN)):
                 fresh = fresh or name not in _INLINE
                 continue
             inline = name in _INLINE
             if closing:
-                if name in open_tags:
-                    while True:
-                        top = open_tags.pop()
-                        stack.pop()
-                        links -= top == "a"
-                        fresh = fresh or top not in _INLINE
-                        if top == name:
-                            break
+                while where.get(name):
+                    top = close_last()
+                    fresh = fresh or top not in _INLINE
+                    if top == name:
+                        break
                 continue
             if not inline:
                 fresh = True
-                if name in _CLOSES_P and "p" in open_tags:
-                    self._close(open_tags, stack, {"p"}, {"table", "td", "th", "button"})
-                if name in _SAME:
-                    self._close(open_tags, stack, _SAME[name], _HOLD[name])
-                links = open_tags.count("a")
+                for names, hold in (({"p"}, _HOLD_P) if name in _CLOSES_P else ((), ()), (_SAME.get(name, ()), _HOLD.get(name, ()))):
+                    # close down to the innermost of `names`, unless one of `hold` is inside it; repeatedly
+                    innermost = lambda some: max((where[n][-1] for n in some if where.get(n)), default=-1)
+                    while (floor := innermost(names)) >= 0 and floor > innermost(hold):
+                        while len(open_tags) > floor:
+                            close_last()
             marks = self._attributes(attributes) if attributes.strip(" /") else ((), None)
             if inline and not marks[0] and marks[1] is None:
                 stack.append(stack[-1])
@@ -143,22 +180,10 @@ class Page:
                 self.families.append(marks[0])
                 self.label.append(marks[1])
                 stack.append(len(self.parent) - 1)
+            where.setdefault(name, []).append(len(open_tags))
             open_tags.append(name)
             links += name == "a"
 
-    @staticmethod
-    def _close(open_tags: list[str], stack: list[int], names: set[str], hold: set[str]) -> None:
-        """Close the innermost open elements down to one of `names`, unless one of `hold` is inside it; repeatedly."""
-        while True:
-            for i in range(len(open_tags) - 1, 0, -1):
-                if open_tags[i] in names:
-                    del open_tags[i:], stack[i:]
-                    break
-                if open_tags[i] in hold:
-                    return
-            else:
-                return
-
     @staticmethod
     def _attributes(source: str) -> tuple[tuple[int, ...], str | None]:
         words, label = [], None
