@@ -2,8 +2,9 @@
 
 Vectors are cut into groups and queries into slots by hash; every (slot, group) pair is one task-sized piece
 of work. Inside it the candidates lie in vertical layout. Inner products grow dimension block by dimension
-block; after each block, candidates whose partial score plus the bound on what the remaining dimensions can
-add (the product of the remaining norms) is below the query's k-th best so far are compacted away.
+block; what the remaining dimensions can add or take is bounded by the product of the remaining norms. After each
+block the k-th best of the lower bounds is what a candidate must reach, and those whose upper bound doesn't are
+compacted away.
 """
 
 from __future__ import annotations
@@ -17,15 +18,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Dimensions added between two compactions; candidates and queries of one piece of work.
-BLOCK, GROUP_ROWS, SLOT_ROWS = 16, 16_384, 1024
-_LIMIT = float(2**31 - 1)
+BLOCK, GROUP_ROWS, SLOT_ROWS = 16, 16_384, 16_384
+_NARROW, _LONG = float(2**31 - 1), 2**63 - 1
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id, dims, vec (little-endian 32-bit floor(scale * x)) of the vectors that take part.
+    """vec_id, dims, vec (floor(scale * x) of every component), copies, of the vectors that take part.
 
-    Vectors that are null or hold null or non-finite components are left out; components saturate at 32 bits.
-    Rows that repeat a vec_id count once: the one with the smallest bytes.
+    Vectors that are null or hold null or non-finite components are left out. Components are exact: 32-bit integers
+    where all of a vector's fit, else doubles, which hold every float's floor. Equal rows are one row with `copies`.
     """
     schema = pa.schema([("vec_id", pa.int64()), ("dims", pa.int32()), ("vec", pa.binary())])
 
@@ -39,67 +40,90 @@ def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
                 if np.isfinite(x).all():
                     ids.append(vec_id)
                     dims.append(len(x))
-                    out.append(np.clip(np.floor(x * scale), -_LIMIT, _LIMIT).astype("<i4").tobytes())
+                    x = np.floor(x * scale)
+                    out.append(x.astype("<i4" if (np.abs(x) <= _NARROW).all() else "<f8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(out, pa.binary())], schema=schema)
 
     rows = vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "vec_id long, dims int, vec binary")
-    return rows.groupBy("vec_id").agg(F.min(F.struct("vec", "dims")).alias("v")).select("vec_id", "v.dims", "v.vec")
+    return rows.groupBy("vec_id", "dims", "vec").agg(F.count("*").alias("copies"))
 
 
-def branch_and_bound(queries: np.ndarray, query_ids: np.ndarray, candidates: np.ndarray, ids: np.ndarray, k: int, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """query_id, vec_id, score of each query's k best of `candidates` (rows by ascending id), ties to smaller ids."""
+def matrix(vecs, dims: int) -> np.ndarray:
+    """Vectors as rows, in doubles."""
+    rows = [np.frombuffer(v, "<i4" if len(v) == 4 * dims else "<f8") for v in vecs]
+    return np.array(rows, np.float64).reshape(len(rows), dims)
+
+
+def branch_and_bound(queries: np.ndarray, query_ids: np.ndarray, candidates: np.ndarray, ids: np.ndarray, k: int, copies: np.ndarray | None = None, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Each hit's query (its row), vec_id and score: the k best of `candidates` for each query, ties to smaller ids.
+
+    A candidate counts `copies` times; one of those is the query itself where id and vector are the query's.
+    """
     n, dims = candidates.shape
+    copies = np.ones(n, np.int64) if copies is None else np.minimum(copies, k + 1)
     largest = float(np.abs(candidates).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(dims, 1)
-    kind = np.float64 if largest < 2**52 else object
-    tall = np.ascontiguousarray(candidates.T.astype(kind))
+    exact = largest < 2**52  # else whole numbers of any size
+    whole = (lambda m: m) if exact else (lambda m: np.array([int(v) for v in m.ravel()], object).reshape(m.shape))
+    tall = np.ascontiguousarray(whole(candidates.T))
     cuts = list(range(0, dims, block)) or [0]
-    mass = [np.sqrt((candidates[:, c:].astype(np.float64) ** 2).sum(1)) for c in cuts[1:]]
+    mass = [np.sqrt((candidates[:, c:] ** 2).sum(1)) for c in cuts[1:]]
     out_q, out_v, out_s = [], [], []
-    head = min(n, max(64, 8 * k))
-    for query, query_id in zip(queries.astype(kind), query_ids.tolist()):
-        own = np.flatnonzero(ids[:head] != query_id)
-        first = query @ tall[:, own] if dims else np.zeros(len(own), kind)
-        floor = np.sort(first)[-k] if len(first) >= k else None
-        alive, score = np.flatnonzero(ids != query_id), None
+    for row, (query, query_id) in enumerate(zip(queries, query_ids.tolist())):
+        left = copies
+        own = np.flatnonzero(ids == query_id)
+        own = own[(candidates[own] == query).all(1)]
+        if len(own):
+            left = copies.copy()
+            left[own] -= 1
+        alive = np.flatnonzero(left > 0)
+        score, values = None, whole(query)
         for step, c in enumerate(cuts):
-            part = query[c : c + block] @ (tall[c : c + block] if len(alive) == n else tall[c : c + block][:, alive])
+            part = values[c : c + block] @ (tall[c : c + block] if len(alive) == n else tall[c : c + block][:, alive]) if dims else np.zeros(len(alive))
             score = part if score is None else score + part
-            if floor is not None and step + 1 < len(cuts):
-                rest = float(np.sqrt((query[c + block :].astype(np.float64) ** 2).sum()))
-                keep = score.astype(np.float64) + rest * mass[step][alive] * (1 + 1e-9) + 1e-6 >= float(floor)
+            if step + 1 < len(cuts) and len(alive) > k:
+                so_far = score.astype(np.float64)
+                reach = float(np.sqrt((query[c + block :] ** 2).sum())) * mass[step][alive] * (1 + 1e-9) + np.abs(so_far) * 1e-9 + 1e-6
+                floor = np.partition(so_far - reach, -k)[-k]
+                keep = so_far + reach >= floor
                 alive, score = alive[keep], score[keep]
         best = np.lexsort((ids[alive], -score))[:k]
-        out_q += [query_id] * len(best)
+        best = np.repeat(best, left[alive[best]])[:k]
+        out_q += [row] * len(best)
         out_v += ids[alive[best]].tolist()
         out_s += [int(s) for s in score[best]]
-    return np.array(out_q, np.int64), np.array(out_v, np.int64), np.array(out_s, np.int64)
+    return np.array(out_q, np.int64), np.array(out_v, np.int64), out_s
 
 
 def exact_topk(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: for each vector whose id `every` divides, its k best of all other vectors.
 
-    Vectors of another length than the query's can't be compared and are passed over. An empty table gives an
-    empty result; other columns are ignored.
+    Every row is a query and a candidate of its own, also where rows repeat an id or are equal: the copies of a query
+    are among its candidates. Ties go to smaller ids. Vectors of another length than the query's can't be compared and
+    are passed over. Scores are ordered by their exact value; one beyond 64 bits is given as the nearest long. An
+    empty table gives an empty result; other columns are ignored.
     """
     ready = quantised(vectors)
     spark = vectors.sparkSession
     rows = vectors.count()
     groups = max(2 * spark.sparkContext.defaultParallelism, -(-rows // GROUP_ROWS))
     slots = max(1, -(-rows // every // SLOT_ROWS))
-    spread = lambda salt, n: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
+    spread = lambda salt, n: F.pmod(F.xxhash64("vec_id", "vec", F.lit(salt)), F.lit(n)).cast("int")
     candidates = ready.withColumn("group", spread(1, groups)).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
     asked = ready.filter(F.col("vec_id") % every == 0).withColumn("slot", spread(2, slots)).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
     def piece(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            found = (np.zeros(0, np.int64),) * 3
+            row, vec_id, score = np.zeros(0, np.int64), np.zeros(0, np.int64), []
         else:
-            right = right.sort_values("vec_id")
-            matrix = lambda f: np.frombuffer(b"".join(f["vec"]), "<i4").reshape(len(f), -1)
-            found = branch_and_bound(matrix(left), left["vec_id"].to_numpy(), matrix(right), right["vec_id"].to_numpy(), k)
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found)))
+            dims = int(left["dims"].iloc[0])
+            row, vec_id, score = branch_and_bound(matrix(left["vec"], dims), left["vec_id"].to_numpy(), matrix(right["vec"], dims), right["vec_id"].to_numpy(), k, right["copies"].to_numpy())
+        found = left.iloc[row]
+        narrow = [min(max(s, -_LONG - 1), _LONG) for s in score]
+        # beyond 64 bits a double tells scores apart
+        return pd.DataFrame({"query_id": found["vec_id"].to_numpy(), "query": found["vec"].to_numpy(), "copies": found["copies"].to_numpy(), "vec_id": vec_id, "score": np.array(narrow, np.int64), "beyond": [float(s) if s != t else 0.0 for s, t in zip(score, narrow)]})
 
     keys = ["slot", "group", "dims"]
-    found = asked.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInPandas(piece, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = asked.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInPandas(piece, "query_id long, query binary, copies long, vec_id long, score long, beyond double")
+    best = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
+    top = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return top.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("query_id", "rank", "vec_id", "score")
