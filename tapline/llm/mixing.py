@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, whole_row, with_own
 
 WEIGHTS = (5, 2, 1)
 #: A source gives at most this many times its own words.
@@ -33,7 +33,7 @@ def word_count(text) -> "F.Column":
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
-    """key, source_size, target of every source; `sizes` has key ('' for null, else '=' and the name) and size.
+    """key, source_size, target of every source, ranked in one task by one row a source; `sizes` has key ('' for null, else '=' and the name) and size.
 
     Sources by code point, null last, weigh `weights`, repeating. All words are shared by weight; a share above
     `most` times the source's words stops there and its excess is shared again. With the sources in order of the
@@ -97,14 +97,22 @@ def _plan(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"key": rows["key"], "size": rows["size"], "whole": whole, "extra": [take.get(s, 0) for s in rows["size"]]})
 
 
+OWN = ["_size", "_source_size", "_target", "_copies"]
+
+
 def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The rows of `docs`, all columns, with _size, _source_size, _target and _copies (0 to 3) of each.
 
     Null text has no words and is never taken; sources share words by weight; an empty table gives an empty result.
-    Rows with equal doc_id and text are told apart only by number, so any of them may be the one taken.
+    Rows are told apart by doc_id and text: of rows that repeat both, any may be the one taken. Input columns with one
+    of the four names are replaced; others pass through, whatever their names.
     """
+    return with_own(_mixed(docs, seed), docs.columns, OWN)
+
+
+def _mixed(docs: DataFrame, seed: int) -> DataFrame:
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
-    hashed = F.xxhash64(F.col("doc_id"), F.lit(seed))
+    hashed = F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(seed))
     narrow = cut(docs.select(key.alias("key"), word_count(F.col("text")).alias("size"), hashed.alias("h")))
     buckets = max(64, narrow.count() // BUCKET_ROWS)
     bucket = F.pmod(F.col("h"), F.lit(buckets))
@@ -116,14 +124,15 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     share = F.greatest(F.lit(0), F.least(F.col("n"), F.col("extra") - before))
     allocated = counted.join(plan, ["key", "size"]).withColumn("share", share).join(targets, "key")
     allocated = allocated.select(F.col("key").alias("_key"), F.col("size").alias("_size"), F.col("bucket").alias("_bucket"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "whole", "share")
-    rows = docs.withColumns({"_key": key, "_size": word_count(F.col("text")), "_h": hashed}).withColumn("_bucket", F.pmod("_h", F.lit(buckets)))
+    rows = docs.select(whole_row(docs), key.alias("_key"), word_count(F.col("text")).alias("_size"), hashed.alias("_h")).withColumn("_bucket", F.pmod("_h", F.lit(buckets)))
     placed = rows.join(allocated, ["_key", "_size", "_bucket"])
-    order = F.row_number().over(Window.partitionBy("_key", "_size", "_bucket").orderBy("_h", "doc_id"))
-    chosen = placed.withColumn("_copies", (F.col("whole") + F.when(order <= F.col("share"), 1).otherwise(0)).cast("int"))
-    return chosen.select(*docs.columns, "_size", "_source_size", "_target", "_copies")
+    order = F.row_number().over(Window.partitionBy("_key", "_size", "_bucket").orderBy("_h", "_all.doc_id"))
+    copies = F.col("whole") + F.when(order <= F.col("share"), 1).otherwise(0)
+    chosen = placed.withColumn("_copies", F.when(F.col("_size") > 0, copies).otherwise(0).cast("int"))
+    return chosen.select("_all", *OWN)
 
 
 def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """The mix itself: each row of `docs` as often as the mix takes it."""
-    taken = mix(docs, seed).filter("_copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    """The mix itself: each row of `docs`, with its columns, as often as the mix takes it."""
+    taken = _mixed(docs, seed).filter("_copies > 0")
+    return with_own(taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))), docs.columns, [])
