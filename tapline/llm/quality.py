@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out_fold
+from .common import held_out_fold, whole_row, with_own
 
 #: Labelled documents that the field is fitted on at most, chosen by a hash of their ids.
 SAMPLE_DOCUMENTS = 4000
@@ -187,13 +187,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, limit: int)
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCUMENTS) -> Field:
-    """Fit on a bounded sample: executors turn its texts into line features, the driver fits those."""
+    """Fit on at most `limit` labelled documents, with all their lines.
+
+    Executors turn texts into line features, of which the driver gets some fifty bytes a line, and fits them.
+    """
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [line_features(t.as_py() or "") for t in batch.column(2)]
-            step = [max(1, len(s) // 400) for _, s in made]  # very long documents give evenly spread lines
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), pa.array([f[::k].astype("<f4").tobytes() for (f, _), k in zip(made, step)], pa.binary()), pa.array([s[::k].astype("<i4").tobytes() for (_, s), k in zip(made, step)], pa.binary())], ["doc_id", "label", "x", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), pa.array([f.astype("<f4").tobytes() for f, _ in made], pa.binary()), pa.array([s.astype("<i4").tobytes() for _, s in made], pa.binary())], ["doc_id", "label", "x", "size"])
 
     rows = labelled_sample(docs, labels, "quality", limit).select("doc_id", "label", "text").mapInArrow(features, "doc_id long, label int, x binary, size binary").collect()
     rows.sort(key=lambda r: r.doc_id)
@@ -204,16 +206,20 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCUMENTS) ->
 def score(docs: DataFrame, field: Field, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs`, all columns, with _score and _predicted from their whole texts.
 
-    Null text counts as empty and is scored like one empty line. Extra columns pass through.
+    Null text counts as empty and is scored like one empty line. Equal texts have equal scores; repeated rows stay, an
+    empty table gives an empty result. Input columns with one of the two names are replaced; others pass through.
     """
-    names = docs.columns
-    at = names.index("text")
+    return with_own(scored(docs, field, threshold), docs.columns, ["_score", "_predicted"])
+
+
+def scored(docs: DataFrame, field: Field, threshold: float = THRESHOLD) -> DataFrame:
+    """_all (the row), _score, _predicted of every row of `docs`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.zeros(batch.num_rows)
             begin, chars, texts = 0, 0, []
-            column = batch.column(at)
+            column = batch.column(0).field("text")
             for i in range(batch.num_rows):
                 texts.append(column[i].as_py() or "")
                 chars += len(texts[-1])
@@ -221,9 +227,9 @@ def score(docs: DataFrame, field: Field, threshold: float = THRESHOLD) -> DataFr
                     x, sizes = zip(*map(line_features, texts))
                     values[begin : i + 1] = field.scores(list(x), list(sizes))
                     begin, chars, texts = i + 1, 0, []
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values), pa.array((values >= threshold).astype(np.int32))], [*names, "_score", "_predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values), pa.array((values >= threshold).astype(np.int32))], ["_all", "_score", "_predicted"])
 
     from pyspark.sql.types import DoubleType, IntegerType, StructType
 
-    out = StructType([*docs.schema.fields]).add("_score", DoubleType()).add("_predicted", IntegerType())
-    return docs.mapInArrow(run, out)
+    packed = docs.select(whole_row(docs))
+    return packed.mapInArrow(run, StructType([*packed.schema.fields]).add("_score", DoubleType()).add("_predicted", IntegerType()))
