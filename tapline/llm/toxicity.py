@@ -23,6 +23,8 @@ from .quality import labelled_sample
 
 #: Labelled documents, terms and categories at most; folds of the out-of-fold predictions.
 SAMPLE_DOCUMENTS, TERMS, FAMILIES, FOLDS = 20_000, 400, 4, 5
+#: Terms of toxic documents at most, the most frequent, of which TERMS are chosen.
+CANDIDATE_TERMS = 100_000
 #: Letters of the word beginnings that count as terms, next to whole words.
 PREFIXES = (4, 5, 6, 7)
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -144,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCUMENTS) ->
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
         return Chain(share=float(bool(toxic)))
-    marked = _count_terms(sample.filter("label = 1")).filter(F.col("n") >= 3).orderBy(F.desc("n"), "term").limit(100_000).collect()
+    marked = _count_terms(sample.filter("label = 1")).filter(F.col("n") >= 3).orderBy(F.desc("n"), "term").limit(CANDIDATE_TERMS).collect()
     in_toxic = {r.term: r.n for r in marked}
     in_clean = {r.term: r.n for r in _count_terms(sample.filter("label = 0"), docs.sparkSession.sparkContext.broadcast(frozenset(in_toxic))).collect()}
     odds = {t: np.log((n + 0.5) / (toxic + 1)) - np.log((in_clean.get(t, 0) + 0.5) / (clean + 1)) for t, n in in_toxic.items()}
@@ -174,7 +176,8 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCUMENTS) ->
 def score(docs: DataFrame, chain: Chain, threshold: float | None = None) -> DataFrame:
     """One row per row of `docs`: doc_id, category_1 to category_4, toxicity (probabilities), toxic (0 or 1).
 
-    Whole texts are read; null counts as empty. A category that the labels don't show has probability 0.
+    Whole texts are read; null counts as empty. A category that the labels don't show has probability 0. Equal texts
+    have equal results; repeated rows stay, an empty table gives an empty result, other columns are ignored.
     """
     threshold = chain.threshold if threshold is None else threshold
     names = ["doc_id", *(f"category_{i + 1}" for i in range(FAMILIES)), "toxicity", "toxic"]
