@@ -2,9 +2,14 @@
 
 A text's paragraphs (lines, cut further at ends of sentences and after a few words) have 64-bit digests. Each
 digest goes to three cells of a sketch; a cell holds a count, the sum of its digests and the sum of their check
-values, modulo 2^64. Sketches of two versions subtract cell by cell: what both share cancels. Peeling cells that
-hold a single digest recovers the digests that differ; where that fails a larger sketch is tried. The likeness of
-two versions is what they share over what either has, from the sizes and the recovered differences.
+values. Sketches of two versions subtract cell by cell: what both share cancels. Peeling cells that hold a single
+digest recovers the digests that differ; where that fails more cells are tried.
+
+A fingerprint is such a sketch with the number of its digests. It has a power of two of cells for each of the three
+places, so that a large one folds to the size of a small one, and enough of them to give up all of its own digests:
+one that doesn't is made anew with twice the cells. Two fingerprints are compared at the size of the smaller one, and
+where their difference doesn't peel there, each is peeled by itself at its own size. So their likeness, what both have
+over what either has, always follows from the two strings alone, exactly.
 """
 
 from __future__ import annotations
@@ -21,11 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import mix64
 
-#: Words of a passage at most; cells of the published sketch.
-PASSAGE_WORDS, CELLS = 8, 12
-#: Cells of a first sketch for each digest of its pair, and by how much a failed sketch grows.
-START, GROWTH = 0.75, 2.5
+#: Words of a passage at most; cells for each digest that a sketch begins with.
+PASSAGE_WORDS, START = 24, 1.3
 _HASHES = 3
+_PLACES = [np.uint64(x) for x in (0x1F123BB51F123BB5, 0x5851F42D4C957F2D, 0x14057B7EF767814F)]
 
 
 def passages(text: str) -> list[str]:
@@ -49,16 +53,19 @@ def digests(text: str) -> np.ndarray:
 
 
 def _check(keys: np.ndarray) -> np.ndarray:
-    return mix64(keys ^ np.uint64(0xA24BAED4963EE407))
+    return mix64(keys ^ np.uint64(0xA24BAED4963EE407)) & np.uint64(0xFFFFFFFF)
 
 
 class Cells:
-    """The sketches of many texts side by side: counts, digest sums and check sums of three thirds each."""
+    """Sketches side by side: counts modulo 2^8, digest sums modulo 2^64, check sums modulo 2^32, in thirds.
 
-    def __init__(self, thirds: np.ndarray, level: int = 0):
-        self.thirds, self.level = thirds.astype(np.int64), level
-        self.base = _HASHES * (np.cumsum(self.thirds) - self.thirds)
-        n = int(_HASHES * self.thirds.sum())
+    `thirds` has the cells of each third of each sketch, powers of two.
+    """
+
+    def __init__(self, thirds: np.ndarray):
+        self.thirds = thirds.astype(np.int64)
+        ends = np.append(0, np.cumsum(_HASHES * self.thirds))
+        self.base, n = ends[:-1], int(ends[-1])
         self.owner = np.repeat(np.arange(len(thirds)), _HASHES * self.thirds)
         self.count, self.total, self.check = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
 
@@ -66,71 +73,143 @@ class Cells:
         """Put each key with its sign (1 or -1) in one cell of each third of its owner's sketch."""
         unit, third, base = signs.astype(np.int64).view(np.uint64), self.thirds[owner], self.base[owner]
         values, marks = keys * unit, _check(keys) * unit
-        spread = mix64(keys + np.uint64(0x1F123BB5 + 0x5851F42D * self.level))
-        for h in range(_HASHES):
-            at = base + h * third + ((spread >> np.uint64(21 * h)) & np.uint64((1 << 22) - 1)).astype(np.int64) % third
+        for h, place in enumerate(_PLACES):
+            at = base + h * third + (mix64(keys + place) & (third - 1).astype(np.uint64)).astype(np.int64)
             np.add.at(self.count, at, signs)
             np.add.at(self.total, at, values)
             np.add.at(self.check, at, marks)
 
-    def peel(self) -> tuple[np.ndarray, np.ndarray]:
-        """How many keys each sketch gives up, and which sketches keep something that doesn't peel."""
-        found = np.zeros(len(self.thirds), np.int64)
+    def folded(self, which: np.ndarray, thirds: np.ndarray, sign: int, into: Cells) -> None:
+        """Add, or with sign -1 subtract, some of these sketches, folded to `thirds`, to the sketches of `into`."""
+        size = _HASHES * self.thirds[which]
+        source = np.repeat(self.base[which], size) + _ranges(size)
+        third, narrow = np.repeat(self.thirds[which], size), np.repeat(thirds, size)
+        within = _ranges(size)
+        at = np.repeat(into.base, size) + within // third * narrow + within % third % narrow
+        unit = np.uint64(sign % 2**64)
+        np.add.at(into.count, at, sign * self.count[source])
+        np.add.at(into.total, at, self.total[source] * unit)
+        np.add.at(into.check, at, self.check[source] * unit)
+
+    def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The keys that the sketches give up, their owners, and which sketches keep something that doesn't peel."""
+        keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        low = np.uint64(0xFFFFFFFF)
         while True:
-            single = np.flatnonzero(np.abs(self.count) == 1)
-            sign = self.count[single]
-            unit = sign.astype(np.int64).view(np.uint64)
+            seen = self.count & 255
+            single = np.flatnonzero((seen == 1) | (seen == 255))
+            sign = np.where(seen[single] == 1, 1, -1)
+            unit = sign.view(np.uint64)
             value = self.total[single] * unit
-            pure = self.check[single] == _check(value) * unit
+            pure = (self.check[single] * unit) & low == _check(value)
             single, sign, value = single[pure], sign[pure], value[pure]
             if not len(single):
                 break
             whose = self.owner[single]
             _, once = np.unique(value ^ mix64(whose.astype(np.uint64)), return_index=True)
-            np.add.at(found, whose[once], 1)
+            keys.append(value[once])
+            owners.append(whose[once])
             self.add(value[once], whose[once], -sign[once])
         stuck = np.zeros(len(self.thirds), bool)
-        stuck[self.owner[(self.count != 0) | (self.total != 0) | (self.check != 0)]] = True
-        return found, stuck
-
-
-def fingerprints_of(keys: list[np.ndarray]) -> list[str]:
-    """The published sketches: number of digests, then CELLS cells, base64."""
-    cells = Cells(np.full(len(keys), CELLS // _HASHES))
-    sizes = np.fromiter(map(len, keys), np.int64, len(keys))
+        stuck[self.owner[(self.count & 255 != 0) | (self.total != 0) | (self.check & low != 0)]] = True
+        return np.concatenate(keys), np.concatenate(owners), stuck
+
+
+def _ranges(sizes: np.ndarray) -> np.ndarray:
+    """0 to size - 1 for each size, one after another."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+class Prints:
+    """The fingerprints of many texts: numbers of digests, and cells."""
+
+    def __init__(self, sizes: np.ndarray, cells: Cells):
+        self.sizes, self.cells = sizes, cells
+
+    @classmethod
+    def of(cls, keys: list[np.ndarray]) -> Prints:
+        """Sketches of sets of digests, each with cells enough to give up all of them."""
+        sizes = np.fromiter(map(len, keys), np.int64, len(keys))
+        thirds = 2 ** np.ceil(np.log2(np.maximum(1, sizes * START / _HASHES))).astype(np.int64)
+        pending = np.arange(len(keys))
+        while len(pending):
+            trial = _filled([keys[i] for i in pending], thirds[pending])
+            _, _, stuck = trial.peel()
+            pending = pending[stuck]
+            thirds[pending] *= 2
+        return cls(sizes, _filled(keys, thirds))
+
+    def texts(self) -> list[str]:
+        """Number of digests and of cells in a third, then counts, digest sums and check sums, in base 64."""
+        c, out = self.cells, []
+        count, total, check = c.count.astype("u1").tobytes(), c.total.astype("<u8").tobytes(), c.check.astype("<u4").tobytes()
+        for n, third, a in zip(self.sizes.tolist(), c.thirds.tolist(), c.base.tolist()):
+            b = a + _HASHES * third
+            out.append(base64.b64encode(np.array([n, third], "<u4").tobytes() + count[a:b] + total[8 * a : 8 * b] + check[4 * a : 4 * b]).decode())
+        return out
+
+    @classmethod
+    def read(cls, texts: list[str]) -> Prints:
+        raw = [base64.b64decode(t) for t in texts]
+        head = np.array([np.frombuffer(r[:8], "<u4") for r in raw], np.int64).reshape(-1, 2)
+        cells = Cells(head[:, 1])
+        for r, third, a in zip(raw, head[:, 1].tolist(), cells.base.tolist()):
+            n = _HASHES * third
+            cells.count[a : a + n] = np.frombuffer(r[8 : 8 + n], "u1")
+            cells.total[a : a + n] = np.frombuffer(r[8 + n : 8 + 9 * n], "<u8")
+            cells.check[a : a + n] = np.frombuffer(r[8 + 9 * n :], "<u4")
+        return cls(head[:, 0], cells)
+
+    def digests(self) -> tuple[np.ndarray, np.ndarray]:
+        """All digests that the sketches hold, and whose they are."""
+        c = self.cells
+        whole = Cells(c.thirds)
+        whole.count, whole.total, whole.check = c.count.copy(), c.total.copy(), c.check.copy()
+        keys, owners, _ = whole.peel()
+        return keys, owners
+
+    def differences(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """For pairs of these fingerprints, how many digests differ: recovered from their difference, or each by itself."""
+        thirds = np.minimum(self.cells.thirds[a], self.cells.thirds[b])
+        both = Cells(thirds)
+        self.cells.folded(a, thirds, 1, both)
+        self.cells.folded(b, thirds, -1, both)
+        _, owners, stuck = both.peel()
+        out = np.bincount(owners, minlength=len(a))
+        if stuck.any():
+            keys, owners = self.digests()
+            order = np.lexsort((keys, owners))
+            keys, ends = keys[order], np.searchsorted(owners[order], np.arange(len(self.sizes) + 1))
+            for i in np.flatnonzero(stuck).tolist():
+                left, right = (keys[ends[x] : ends[x + 1]] for x in (a[i], b[i]))
+                out[i] = len(left) + len(right) - 2 * len(np.intersect1d(left, right, assume_unique=True))
+        return out
+
+    def likeness(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Shared digests over all digests of each pair; two texts without any are alike."""
+        n = self.sizes[a] + self.sizes[b]
+        differ = self.differences(a, b)
+        shared = (n - differ) / 2
+        return np.where(n > 0, shared / np.maximum(1, shared + differ), 1.0)
+
+
+def _filled(keys: list[np.ndarray], thirds: np.ndarray) -> Cells:
+    cells, sizes = Cells(thirds), np.fromiter(map(len, keys), np.int64, len(keys))
     if sizes.sum():
         cells.add(np.concatenate(keys), np.repeat(np.arange(len(keys)), sizes), np.ones(sizes.sum(), np.int64))
-    rows = [x.reshape(len(keys), CELLS) for x in (cells.count.astype("<u4"), cells.total.astype("<u8"), cells.check.astype("<u4"))]
-    return [base64.b64encode(n.tobytes() + c.tobytes() + t.tobytes() + k.tobytes()).decode() for n, c, t, k in zip(sizes.astype("<u4"), *rows)]
+    return cells
 
 
 def differences(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """For each pair of digest sets, how many digests differ, as recovered by subtracting and peeling sketches.
-
-    All pairs of a batch are peeled together. A sketch starts with START cells a digest; a pair whose sketch doesn't
-    decode to the end is tried again with GROWTH times the cells and other places.
-    """
-    out = np.zeros(len(left), np.int64)
-    pending, level = np.arange(len(left)), 0
-    while len(pending):
-        sizes = np.array([[len(left[i]), len(right[i])] for i in pending])
-        cells = Cells(np.maximum(CELLS // _HASHES, np.ceil(sizes.sum(1) * START * GROWTH**level / _HASHES)), level)
-        if sizes.sum():
-            keys = np.concatenate([k for i in pending for k in (left[i], right[i])])
-            signs = np.repeat(np.tile(np.array([1, -1]), len(pending)), sizes.ravel())
-            cells.add(keys, np.repeat(np.arange(len(pending)), sizes.sum(1)), signs)
-        found, stuck = cells.peel()
-        out[pending[~stuck]] = found[~stuck]
-        pending, level = pending[stuck], level + 1
-    return out
+    """For each pair of digest sets, how many digests differ, by their fingerprints."""
+    at = np.arange(len(left))
+    return Prints.of([*left, *right]).differences(at, at + len(left))
 
 
-def likeness(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Shared digests over all digests of each pair; two texts without any are alike."""
-    a, b = (np.array([len(x) for x in side], np.int64) for side in (left, right))
-    differ = differences(left, right)
-    shared = (a + b - differ) / 2
-    return np.where(a + b > 0, shared / np.maximum(1, shared + differ), 1.0)
+def likeness(left: list[str], right: list[str]) -> np.ndarray:
+    """The likeness of pairs of fingerprints, from the strings alone."""
+    at = np.arange(len(left))
+    return Prints.read([*left, *right]).likeness(at, at + len(left))
 
 
 _FIELDS = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
@@ -138,29 +217,31 @@ _FIELDS = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa
 _BATCH_ROWS, _BATCH_CHARS = 512, 1 << 21
 
 
-def _rows(batch: list[tuple[int, str, str]], known: dict) -> pa.RecordBatch:
-    own, edited, following, hashes = [], [], [], []
+def _rows(batch: list[tuple[int, str, str]]) -> pa.RecordBatch:
+    keys, index = [], {}
+
+    def place(text: str) -> int:
+        if text not in index:
+            index[text] = len(keys)
+            keys.append(digests(text))
+        return index[text]
+
+    at, hashes = [], []
     for _, text, after in batch:
         half = len(text) // 2
         changed = text[: len(text) - half] + after[:half]
-        if text not in known:
-            known[text] = digests(text)
-        if after not in known:
-            known[after] = digests(after)
-        own.append(known[text])
-        following.append(known[after])
-        edited.append(digests(changed))
+        at.append([place(text), place(changed), place(after)])
         hashes.append(hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest())
-        if len(known) > 4:
-            for old in list(known)[:-2]:
-                del known[old]
-    columns = [[r[0] for r in batch], [len(r[1]) for r in batch], hashes, fingerprints_of(own), fingerprints_of(edited), likeness(own, edited), likeness(own, following)]
+    prints = Prints.of(keys)
+    own, edited, following = np.array(at).T
+    shown = prints.texts()
+    columns = [[r[0] for r in batch], [len(r[1]) for r in batch], hashes, [shown[i] for i in own], [shown[i] for i in edited], prints.likeness(own, edited), prints.likeness(own, following)]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _FIELDS)], schema=pa.schema(_FIELDS))
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by (part, last, doc_id, text): each meets the one after it in its part. `peek` rows only follow."""
-    held, waiting, chars, known = None, [], 0, {}
+    held, waiting, chars = None, [], 0
     for record in batches:
         for part, peek, doc_id, text in zip(record.column(0).to_pylist(), record.column(1).to_pylist(), record.column(2).to_pylist(), record.column(3)):
             text = text.as_py() or ""
@@ -168,11 +249,11 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 waiting.append((held[1], held[2], text))
                 chars += len(held[2]) + len(text)
                 if len(waiting) >= _BATCH_ROWS or chars >= _BATCH_CHARS:
-                    yield _rows(waiting, known)
+                    yield _rows(waiting)
                     waiting, chars = [], 0
             held = None if peek else (part, doc_id, text)
     if waiting:
-        yield _rows(waiting, known)
+        yield _rows(waiting)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -180,7 +261,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     Documents follow each other by doc_id, null first, equal ids by text; the first follows the last, and an only
     document follows itself. Null text counts as empty. Texts cross the network once: ranges of ids, of about equal
-    row counts, become parts, and the first document of each part is also sent to the part before it.
+    row counts, become parts, and the first document of each part is also sent to the part before it. Repeated rows
+    follow each other, an empty table gives an empty result, other columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
