@@ -1,10 +1,11 @@
 """Personal data: exact base patterns, and bootstrapped contextual extraction of identifiers that they miss.
 
-The base finds e-mail addresses, IPv4 addresses, card numbers and phone numbers. Around every base span the
-surrounding words and shapes form lexical patterns. Patterns and the instances they extract make a bipartite
-graph that Spark scores in a few rounds: a pattern is as good as the instances it extracts, an instance as
-good as the patterns that extract it. Candidates that no base rule took, extracted by confident patterns,
-become further spans.
+The base finds e-mail addresses, IPv4 addresses, card numbers and phone numbers. They are seeds, and so, for a further
+kind, are long codes of letters and digits, which may be secrets or mere digests. The words on either side of a mention
+form lexical patterns, without the mention's own shape. Patterns and the instances they extract make a bipartite graph
+that Spark scores in a few rounds: a pattern is as good as the instances it extracts, of which unknown ones and those of
+other kinds count against it; an instance is as good as the patterns that extract it. Candidates that no base rule took,
+extracted by confident patterns of a kind that they can be of, become further spans; codes need such a pattern, too.
 """
 
 from __future__ import annotations
@@ -17,9 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, workspace
 
 KINDS = ("email", "ip", "card", "phone")
+#: The kind of secrets comes after those of the base.
+SECRET = "secret"
+ORDER = {k: i for i, k in enumerate((*KINDS, SECRET))}
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_RUN = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -82,57 +86,121 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return [(kind, a, b) for kind, find in finders for a, b in find(text)]
 
 
-_LOOSE = re.compile(r"[0-9(][0-9 ().-]{4,30}[0-9](?![^\s.,;!?])|[^\s@]{0,64}[0-9@]\S*")
-_SPELLED = re.compile(r"[\w.+-]{1,64} ?[\[(]at[\])] ?[\w-]{1,63}(?: ?(?:[\[(]dot[\])]|\.) ?[\w-]{1,63})+", re.I)
-_AT = re.compile(r"at[\])]", re.I)
+#: A token with a digit or @; one attempt a token.
+_MARKED = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*")
+_AT = re.compile(r" ?[\[(]at[\])] ?", re.I)
+_SPELLED_DOMAIN = re.compile(r"[\w-]+(?: ?(?:[\[(]dot[\])]|\.) ?[\w-]+)+", re.I)
+_NUMBER = re.compile(r"[0-9(][0-9().-]*")
+_CODE = re.compile(r"[A-Za-z0-9+/_-]+=*")
 _TRIM = "\"'[]{}<>,;:!?*#%$&|="
 _WORD = re.compile(r"\S+")
+#: Digits of a number that any kind can have at most; characters of a code that is a seed; of one that can be a secret.
+MOST_DIGITS, SEED_CODE, LEAST_CODE = 19, 32, 12
 
 
-def shape(token: str) -> str:
-    """The form of a token: digits as 9, letters as a, runs shortened; long mixed codes as x; with a length class."""
-    if token.isdigit():
-        return f"9:{len(token)}"
-    if token.isalnum() and len(token) >= 12:
-        return f"x:{len(token).bit_length()}"
-    return re.sub(r"[A-Za-z]+", "a", re.sub(r"[0-9]+", "9", token))[:24]
+def _is_code(value: str, least: int) -> bool:
+    return len(value) >= least and _CODE.fullmatch(value) is not None and any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
 
 
-def _context(text: str, start: int, end: int, width: int = 64) -> tuple[str, str]:
+def _spelled(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses whose at, and maybe dots, are spelled out in brackets."""
+    floor = 0
+    for m in _AT.finditer(text):
+        start = m.start()
+        while start > floor and (text[start - 1].isalnum() or text[start - 1] in "_.+-"):
+            start -= 1
+        domain = _SPELLED_DOMAIN.match(text, m.end()) if start < m.start() else None
+        if domain:
+            yield start, domain.end()
+            floor = domain.end()
+
+
+def _candidates(text: str) -> Iterator[tuple[int, int, str]]:
+    """Start, end and sort (at, number or code) of tokens with a digit or @, less the marks around them.
+
+    Numbers that single spaces part are one, as long as they have no more digits together than any kind can have.
+    """
+    run: list[tuple[int, int]] = []
+
+    def numbers() -> Iterator[tuple[int, int, str]]:
+        if run:
+            whole = text[run[0][0] : run[-1][1]]
+            parts = [(run[0][0], run[-1][1])] if sum(map(str.isdigit, whole)) <= MOST_DIGITS else run
+            yield from ((a, b, "number") for a, b in parts)
+            run.clear()
+
+    for m in _MARKED.finditer(text):
+        raw = m.group()
+        a, b = m.start() + len(raw) - len(raw.lstrip(_TRIM)), m.end() - len(raw) + len(raw.rstrip(_TRIM + "."))
+        number = b > a and _NUMBER.fullmatch(text, a, b)
+        if not number or not run or text[run[-1][1] : a] != " ":
+            yield from numbers()
+        if number:
+            run.append((a, b))
+        elif b > a:
+            yield a, b, "at" if "@" in raw else "code"
+    yield from numbers()
+
+
+def _words_before(text: str, start: int, n: int = 2) -> list[str]:
+    """The `n` words that end before a place; what touches the place without white space between isn't one."""
+    out: list[str] = []
+    at = start
+    while at > 0 and not text[at - 1].isspace():
+        at -= 1
+    while len(out) < n and at > 0:
+        while at > 0 and text[at - 1].isspace():
+            at -= 1
+        end = at
+        while at > 0 and not text[at - 1].isspace():
+            at -= 1
+        if end > at:
+            out.append(text[at:end])
+    return out[::-1]
+
+
+def _context(text: str, start: int, end: int) -> tuple[str, str]:
     """The two words before and the word after a span, lower case, digits as 9, without odd marks."""
-    before = re.findall(r"\S+", text[max(0, start - width) : start])[-2:]
-    after = _WORD.search(text, end, min(len(text), end + width))
     clean = lambda w: re.sub(r"[0-9]+", "9", w.strip("\"'.,;*#%$&!").lower())
-    return " ".join(map(clean, before)), clean(after.group()) if after else ""
+    rest = end
+    while rest < len(text) and not text[rest].isspace():
+        rest += 1
+    after = _WORD.search(text, rest)
+    return " ".join(map(clean, _words_before(text, start))), clean(after.group()) if after else ""
 
 
 def mentions(text: str) -> list[tuple[str, int, int, str, str, str, str]]:
-    """Identifier-like spans: kind ('' where no base rule took it), start, end, text, left, right, shape.
+    """Identifier-like spans: kind of a seed ('' for others), start, end, text, left, right, sort.
 
-    Base spans come with their kind. Candidates are runs of digits and their marks, other tokens with a digit or @,
-    less the marks around them, and addresses with the at spelled out.
+    Base spans come with their kind, long codes as seeds of secrets. Candidates are addresses with the at spelled out,
+    and tokens and runs of numbers with a digit or @ that no base span touches.
     """
-    spelled = _SPELLED.finditer(text) if _AT.search(text) else ()
-    if not _DIGIT.search(text) and "@" not in text and not spelled:
+    spelled = list(_spelled(text))
+    if not spelled and "@" not in text and not _DIGIT.search(text):
         return []
-    spans = base_spans(text)
-    taken = sorted((a, b) for _, a, b in spans)
-    out = [(k, a, b, text[a:b], *_context(text, a, b), shape(text[a:b])) for k, a, b in spans]
-    out += [("", *m.span(), m.group(), *_context(text, *m.span()), "at") for m in spelled]
-    i = 0
-    for m in _LOOSE.finditer(text):
-        while i < len(taken) and taken[i][1] <= m.start():
+    base = base_spans(text)
+    out = [(k, a, b, text[a:b], *_context(text, a, b), "at" if k == "email" else "number") for k, a, b in base]
+    out += [("", a, b, text[a:b], *_context(text, a, b), "at") for a, b in spelled]
+    taken, i = sorted([*((a, b) for _, a, b in base), *spelled]), 0
+    for a, b, sort in _candidates(text):
+        while i < len(taken) and taken[i][1] <= a:
             i += 1
-        if i < len(taken) and taken[i][0] < m.end():
-            continue
-        raw = m.group()
-        a = m.start() + len(raw) - len(raw.lstrip(_TRIM))
-        b = m.end() - len(raw) + len(raw.rstrip(_TRIM + "."))
-        if b - a >= 6:
-            out.append(("", a, b, text[a:b], *_context(text, a, b), shape(text[a:b])))
+        if i == len(taken) or taken[i][0] >= b:
+            value = text[a:b]
+            out.append((SECRET if sort == "code" and _is_code(value, SEED_CODE) else "", a, b, value, *_context(text, a, b), sort))
     return out
 
 
+def kinds_of(value: str, sort: str) -> list[str]:
+    """The kinds that a candidate can be of; the base misses no IPv4 address."""
+    if sort == "at":
+        return ["email"]
+    if sort == "code":
+        return [SECRET] if _is_code(value, LEAST_CODE) else []
+    digits = sum(map(str.isdigit, value))
+    return ["card"] * (13 <= digits <= MOST_DIGITS) + ["phone"] * (7 <= digits <= 15)
+
+
 #: Rounds of scoring, the confidence that keeps a pattern or instance, and the fewest instances of a pattern.
 ROUNDS, CONFIDENT, SUPPORT = 3, 0.6, 3
 
@@ -144,25 +212,30 @@ def score_patterns(found: DataFrame, rounds: int = ROUNDS, confident: float = CO
     that a base rule took, with confidence 1 for its kind. Each round sets a pattern's confidence for a kind to the
     share of its distinct instances' confidence, and an instance's to that of its best pattern.
     """
-    edges = cut(found.groupBy("kind", "instance", "pattern").agg(F.count("*").alias("n")))
-    seeds = edges.filter("kind != ''").select("kind", "instance").distinct().withColumn("c", F.lit(1.0))
-    pairs = edges.groupBy("pattern", "instance").agg(F.max("kind").alias("seed_kind"))
-    pairs = cut(pairs)
-    sizes = pairs.groupBy("pattern").agg(F.count("*").alias("size")).filter(F.col("size") >= support)
-    belief, patterns = seeds, None
-    for _ in range(rounds):
-        weights = pairs.join(belief, "instance").groupBy("kind", "pattern").agg(F.sum("c").alias("mass"))
-        patterns = weights.join(sizes, "pattern").select("kind", "pattern", (F.col("mass") / (F.col("size") + 1.0)).alias("confidence")).filter(F.col("confidence") >= confident)
-        new = pairs.filter("seed_kind = ''").join(patterns, "pattern").groupBy("kind", "instance").agg(F.max("confidence").alias("c"))
-        belief = cut(seeds.unionByName(new))
-        patterns = cut(patterns)
-    return patterns
-
-
-def _patterns_of(left: str, right: str, form: str) -> list[str]:
-    """Lexical patterns of a mention: its class or shape within its left words, and its class within its neighbours."""
-    last, sort = left.rsplit(" ", 1)[-1], "at" if "@" in form or form == "at" else "code" if form[0] == "x" or "a" in form else "number"
-    return [f"L|{left}|{sort}", f"N|{last}|{right}|{sort}", f"S|{last}|{form}"]
+    spark = found.sparkSession
+    with workspace(spark) as held:
+        edges = held(found.select("kind", "instance", "pattern").distinct())
+        seeds = held(edges.filter("kind != ''").select("kind", "instance").distinct().withColumn("c", F.lit(1.0)))
+        pairs = held(edges.groupBy("pattern", "instance").agg(F.max("kind").alias("seed_kind")))
+        sizes = held(pairs.groupBy("pattern").agg(F.count("*").alias("size")).filter(F.col("size") >= support))
+        belief, patterns = seeds, None
+        for _ in range(rounds):
+            weights = pairs.join(belief, "instance").groupBy("kind", "pattern").agg(F.sum("c").alias("mass"))
+            share = F.col("mass") / (F.col("size") + 1.0)
+            patterns = held(weights.join(sizes, "pattern").select("kind", "pattern", share.alias("confidence")).filter(F.col("confidence") >= confident))
+            new = pairs.filter("seed_kind = ''").join(patterns, "pattern").groupBy("kind", "instance").agg(F.max("confidence").alias("c"))
+            belief = held(seeds.unionByName(new))
+        return cut(patterns)
+
+
+def _patterns_of(left: str, right: str, sort: str) -> list[str]:
+    """Lexical patterns of a mention: its sort after its left words, and between its neighbours; long ones by digest.
+
+    Where there are no such words there is no pattern.
+    """
+    last = left.rsplit(" ", 1)[-1]
+    made = [f"L|{left}|{sort}"] * (left.strip() != "") + [f"N|{last}|{right}|{sort}"] * (last != "" and right != "")
+    return [p if len(p) <= 96 else hashlib.blake2b(p.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest() for p in made]
 
 
 def mention_edges(docs: DataFrame) -> DataFrame:
@@ -173,9 +246,9 @@ def mention_edges(docs: DataFrame) -> DataFrame:
         for batch in batches:
             kind, instance, pattern = [], [], []
             for text in batch.column(0):
-                for k, _, _, value, left, right, form in mentions(text.as_py() or ""):
+                for k, _, _, value, left, right, sort in mentions(text.as_py() or ""):
                     digest = hashlib.blake2b(value.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
-                    for p in _patterns_of(left, right, form):
+                    for p in _patterns_of(left, right, sort):
                         kind.append(k)
                         instance.append(digest)
                         pattern.append(p)
@@ -189,15 +262,16 @@ BROADCAST_PATTERNS = 50_000
 
 
 def extract(docs: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT, support: int = SUPPORT) -> DataFrame:
-    """One row per row of `docs`: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, added.
+    """One row per row of `docs`: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_spans.
 
-    Counts and base_sha256 are of the base spans alone; spans has those and what confident patterns add. An added
-    span never overlaps a base span; its kind is that of its most confident pattern, ties to the first by name.
+    Counts and base_sha256 are of the base spans alone; spans has those and what confident patterns add, the n_added,
+    also of kind secret. An added span never overlaps a base span; of the kinds that it can be of, its kind is that of its
+    most confident pattern, ties to the first by name.
     Null or empty text has no spans and the digest of nothing. Repeated rows give repeated results, an empty table an
     empty result, and other columns are ignored.
     """
     patterns = score_patterns(mention_edges(docs), rounds, confident, support)
-    best = patterns.groupBy("pattern").agg(F.max(F.struct("confidence", F.col("kind"))).alias("b")).select("pattern", "b.kind", "b.confidence")
+    best = patterns.groupBy("pattern").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "kind")).alias("b")).select("pattern", "b.kind", (-F.col("b.c")).alias("confidence"))
     few = {r.pattern: (-r.confidence, r.kind) for r in best.limit(BROADCAST_PATTERNS + 1).collect()}
     if len(few) > BROADCAST_PATTERNS:
         return _extract_joined(docs, best)
@@ -205,8 +279,9 @@ def extract(docs: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT,
 
     def added(text: str) -> list[tuple[str, int, int]]:
         out = []
-        for k, a, b, _, left, right, form in mentions(text):
-            hits = [known.value[p] for p in _patterns_of(left, right, form) if p in known.value] if not k else []
+        for k, a, b, value, left, right, sort in mentions(text):
+            found = [known.value[p] for p in _patterns_of(left, right, sort) if p in known.value] if k not in KINDS else []
+            hits = [x for x in found if x[1] in kinds_of(value, sort)] if found else []
             if hits:
                 out.append((min(hits)[1], a, b))
         return out
@@ -214,7 +289,7 @@ def extract(docs: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT,
     return _spans(docs, added)
 
 
-_FIELDS = [("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_added", pa.int64())]
+_FIELDS = [("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_added", pa.int64()), ("n_spans", pa.int64())]
 
 
 def _joined(spans: list[tuple[str, int, int]]) -> str:
@@ -231,9 +306,9 @@ def _spans(docs: DataFrame, added) -> DataFrame:
                 text = value.as_py() or ""
                 base = base_spans(text)
                 more = added(text) if text else []
-                every = sorted({*base, *more}, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
+                every = sorted({*base, *more}, key=lambda s: (ORDER[s[0]], s[1], s[2]))
                 counts = [sum(s[0] == k for s in base) for k in KINDS]
-                rows.append((doc_id, *counts, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every), len(more)))
+                rows.append((doc_id, *counts, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every), len(more), len(every)))
             columns = list(zip(*rows)) if rows else [()] * len(_FIELDS)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _FIELDS)], schema=schema)
 
@@ -246,7 +321,7 @@ def _extract_joined(docs: DataFrame, best: DataFrame) -> DataFrame:
 
     Candidates go by the digest of their text and whole mention list, so equal texts share one row.
     """
-    schema = pa.schema([("digest", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("pattern", pa.string())])
+    schema = pa.schema([("digest", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("pattern", pa.string()), ("fits", pa.string())])
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,11 +329,11 @@ def _extract_joined(docs: DataFrame, best: DataFrame) -> DataFrame:
             for value in batch.column(0):
                 text = value.as_py() or ""
                 digest = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
-                rows += [(digest, a, b, p) for k, a, b, _, left, right, form in mentions(text) if not k for p in _patterns_of(left, right, form)]
-            columns = list(zip(*rows)) if rows else [()] * 4
+                rows += [(digest, a, b, p, ",".join(kinds_of(value, sort))) for k, a, b, value, left, right, sort in mentions(text) if k not in KINDS for p in _patterns_of(left, right, sort)]
+            columns = list(zip(*rows)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    found = docs.select("text").mapInArrow(candidates, "digest string, a long, b long, pattern string").distinct().join(best, "pattern")
+    found = docs.select("text").mapInArrow(candidates, "digest string, a long, b long, pattern string, fits string").distinct().join(best, "pattern").filter("array_contains(split(fits, ','), kind)")
     chosen = found.groupBy("digest", "a", "b").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "kind")).alias("m"))
     listed = chosen.groupBy("digest").agg(F.to_json(F.collect_list(F.struct(F.col("m.kind").alias("k"), "a", "b"))).alias("more"))
     base = _spans_with_digest(docs)
@@ -285,7 +360,7 @@ def _merge_added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batch.to_pylist():
             base = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in r["base"].split(",") if s)]
             more = [(x["k"], x["a"], x["b"]) for x in json.loads(r["more"] or "[]")]
-            every = sorted({*base, *more}, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
-            rows.append((r["doc_id"], *(sum(s[0] == k for s in base) for k in KINDS), hashlib.sha256(r["base"].encode()).hexdigest(), _joined(every), len(more)))
+            every = sorted({*base, *more}, key=lambda s: (ORDER[s[0]], s[1], s[2]))
+            rows.append((r["doc_id"], *(sum(s[0] == k for s in base) for k in KINDS), hashlib.sha256(r["base"].encode()).hexdigest(), _joined(every), len(more), len(every)))
         columns = list(zip(*rows)) if rows else [()] * len(_FIELDS)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _FIELDS)], schema=pa.schema(_FIELDS))
