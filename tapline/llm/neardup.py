@@ -19,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, encoded, shingle_sets
+from .common import cut, encoded, maybe_in, shingle_sets
 from .components import connected_components
 
 #: Retained values of a sketch; the estimate that a pair must reach; the longest list that is paired.
 K, ESTIMATE, LONG_LIST = 48, 0.55, 24
 #: Retained values of the long sketches that classes of long lists get, and classes of a block.
 LONG_K, BLOCK_ROWS = 512, 768
+#: Pairs of one class that one copy of its text serves.
+PAIRS_A_SLOT = 256
 
 
 def sketches(docs: DataFrame, n: int, k: int) -> DataFrame:
@@ -54,8 +56,8 @@ def _probes(classes: DataFrame, percent: int, k: int) -> DataFrame:
     size = F.size("sketch")
     need = F.when(F.col("n") <= k * percent // 100, F.ceil(size * percent / 100)).otherwise(F.ceil(size / 2))
     values = classes.select("gid", "n", size.alias("s"), (size - need + 1).alias("prefix"), F.explode("sketch").alias("value"))
-    shared = values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
-    known = values.join(shared, "value")
+    shared = cut(values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1"))  # a table: the join can then split hot values
+    known = maybe_in(values, F.col("value"), shared, F.col("value")).filter("_maybe").drop("_maybe").join(shared, "value")
     order = Window.partitionBy("gid").orderBy("df", "value")
     ranked = known.withColumn("rank", F.row_number().over(order)).withColumn("m", F.count("*").over(Window.partitionBy("gid")))
     return ranked.filter("rank <= prefix - (s - m)").select("value", "gid", "n", "df", "m")
@@ -75,9 +77,15 @@ def _estimated(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough. `texts` has gid, text of every class."""
-    right = pairs.join(texts.select(F.col("gid").alias("b"), F.col("text").alias("text_b")), "b")
-    both = right.join(texts.select(F.col("gid").alias("a"), F.col("text").alias("text_a")), "a")
+    """The pairs (a, b) whose full shingle sets are similar enough. `texts` has gid, text of every class.
+
+    A class with many pairs has its text copied to as many slots as PAIRS_A_SLOT asks for, so that none holds all.
+    """
+    slots = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_A_SLOT).cast("int").alias("slots")))
+    dealt = pairs.join(slots, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("slots")).cast("int").alias("slot"))
+    firsts = texts.select(F.col("gid").alias("a"), F.col("text").alias("text_a")).join(slots, "a")
+    firsts = firsts.select("a", "text_a", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"))
+    both = dealt.join(firsts, ["a", "slot"]).join(texts.select(F.col("gid").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, None  # a gid can come with several texts
@@ -86,7 +94,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
             keep = []
             for i, other in enumerate(shingle_sets(encoded(batch.column(3)), n)):
                 text = batch.column(2)[i].as_py()
-                if text != last:
+                if text != last or own is None:
                     last = text
                     own = next(shingle_sets([text.encode("utf-8", "surrogatepass")], n))
                 shared = len(np.intersect1d(own, other, assume_unique=True))
@@ -110,24 +118,27 @@ def _leaders(long_lists: DataFrame) -> DataFrame:
     """
     rows = long_lists.withColumn("stratum", _stratum(F.col("n")))
     chosen = rows.groupBy("value", "stratum").agg(F.max(F.struct("m", (-F.col("gid")).alias("minus"))).alias("top"))
-    leaders = chosen.select("value", "stratum", (-F.col("top.minus")).alias("leader"))
+    leaders = cut(chosen.select("value", "stratum", (-F.col("top.minus")).alias("leader")))
     visits = rows.select("value", "gid", F.explode(F.array(F.col("stratum") - 1, F.col("stratum"), F.col("stratum") + 1)).alias("stratum"))
     return visits.join(leaders, ["value", "stratum"]).select("leader", "gid").distinct()
 
 
 def _residual(clusters: DataFrame, linked: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Likely links of the classes that a leader didn't link: each against all classes that share the leader.
+    """Likely links of the classes that aren't in their leader's component: each against all that share the leader.
 
     Both sides are dealt in blocks of hashed ids, so that no cluster is gathered whole. A task compares two blocks
     of long sketches, which hold most sets whole, and emits only pairs that the union sketch finds similar.
     """
-    ties = linked.select(F.col("a").alias("leader"), F.col("b").alias("gid"))
-    open_rows = cut(clusters.filter("leader != gid").join(ties, ["leader", "gid"], "left_anti"))
+    found = cut(connected_components(linked))
+    side = lambda name: found.select(F.col("node").alias(name), F.col("component").alias(f"in_{name}"))
+    placed = clusters.filter("leader != gid").join(side("leader"), "leader", "left").join(side("gid"), "gid", "left")
+    open_rows = cut(placed.filter(F.coalesce("in_leader", "leader") != F.coalesce("in_gid", "gid")).select("leader", "gid"))
     sizes = clusters.join(open_rows.select("leader").distinct(), "leader").groupBy("leader").agg(F.count("*").alias("rows"))
     blocks = cut(sizes.select("leader", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks")))
     wanted = clusters.join(blocks, "leader")
-    needed = wanted.select("gid").distinct()
-    long_sketches = cut(sketches(texts.join(needed, "gid").select(F.col("gid").alias("doc_id"), "text"), n, LONG_K).select(F.col("doc_id").alias("gid"), "n_shingles", "sketch"))
+    needed = cut(wanted.select("gid").distinct())
+    near = maybe_in(texts, F.col("gid"), needed, F.col("gid")).filter("_maybe")
+    long_sketches = cut(sketches(near.join(needed, "gid").select(F.col("gid").alias("doc_id"), "text"), n, LONG_K).select(F.col("doc_id").alias("gid"), "n_shingles", "sketch"))
     spread = lambda salt: F.pmod(F.xxhash64("gid", F.lit(salt)), F.col("blocks")).cast("int")
     each = lambda name: F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias(name)
     # aliases give each side columns of its own, as both come from the same tables
@@ -178,6 +189,26 @@ def similar_blocks(left: pd.DataFrame, right: pd.DataFrame, percent: int, k: int
     return np.array(out_a, np.int64), np.array(out_b, np.int64)
 
 
+def _joined_pairs(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Confirmed pairs that join all that `pairs` can join: at first one pair for each class, its smallest partner.
+
+    Pairs whose classes those links already join say nothing new about components, and aren't compared.
+    """
+    first = cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    links = cut(confirmed(first, _of(texts, first), n, percent))
+    found = cut(connected_components(links))
+    side = lambda name: found.select(F.col("node").alias(name), F.col("component").alias(f"in_{name}"))
+    apart = pairs.join(first, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    rest = cut(apart.filter(F.coalesce("in_a", "a") != F.coalesce("in_b", "b")).select("a", "b"))
+    return links.unionByName(cut(confirmed(rest, _of(texts, rest), n, percent)))
+
+
+def _of(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The texts (gid, text) of the classes in `pairs`."""
+    needed = cut(pairs.select(F.explode(F.array("a", "b")).alias("gid")).distinct())
+    return maybe_in(texts, F.col("gid"), needed, F.col("gid")).filter("_maybe").drop("_maybe").join(needed, "gid")
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, k: int = K) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id, kept.
 
@@ -188,12 +219,20 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, k: int = K)
     """
     docs = docs.select("doc_id", "text")
     made = cut(sketches(docs, n, k))
-    some = made.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    ids = some.groupBy("digest").agg(F.min("doc_id").alias("gid"))
-    members = made.select("doc_id", "n_shingles", "digest").join(ids, "digest", "left")
-    firsts = some.join(ids, "digest").filter("doc_id = gid")
+    some = made.filter("digest IS NOT NULL")
+    counted = some.groupBy("digest").agg(F.min("doc_id").alias("gid"), F.count("*").alias("n"))
+    repeated = cut(counted.filter("n > 1").select("digest", "gid"))
+    # only documents whose set may be another's move
+    dealt = maybe_in(some, F.col("digest"), repeated, F.col("digest"))
+    still = dealt.filter("NOT _maybe").select("doc_id", "n_shingles", "sketch", F.col("doc_id").alias("gid"))
+    moved = dealt.filter("_maybe").join(repeated, "digest", "left").select("doc_id", "n_shingles", "sketch", "digest", F.coalesce("gid", "doc_id").alias("gid"))
+    members = made.filter("digest IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("gid"))
+    for part in (still, moved):
+        members = members.unionByName(part.select("doc_id", "n_shingles", "gid"))
     # a doc_id that repeats with other texts can stand for two classes: links then go by id, which joins them rightly
-    classes = cut(firsts.groupBy("gid", "digest").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")).drop("digest"))
+    firsts = moved.filter("doc_id = gid").groupBy("gid", "digest").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    own = still.filter("gid IS NOT NULL").select("gid", F.col("n_shingles").alias("n"), "sketch")
+    classes = cut(firsts.drop("digest").unionByName(own))
     probes = cut(_probes(classes, percent, k))
     short = probes.filter(F.col("df") <= LONG_LIST).select("value", "gid", "n")
     right = short.select("value", F.col("gid").alias("b"), F.col("n").alias("n_b"))
@@ -202,13 +241,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, k: int = K)
     clusters = cut(_leaders(probes.filter(F.col("df") > LONG_LIST)))
     with_leaders = _estimated(clusters.filter("leader != gid").select(F.col("leader").alias("a"), F.col("gid").alias("b")), classes, k)
     pairs = cut(candidates.unionByName(with_leaders).distinct())
-    needed = pairs.select(F.col("a").alias("gid")).unionByName(pairs.select(F.col("b").alias("gid"))).distinct()
     texts = docs.withColumnRenamed("doc_id", "gid").withColumn("text", F.coalesce("text", F.lit("")))
-    links = cut(confirmed(pairs, texts.join(needed, "gid"), n, percent))
+    links = _joined_pairs(pairs, texts, n, percent)
     if not clusters.isEmpty():
-        more = cut(_residual(clusters, links, texts, n, percent))
-        involved = more.select(F.col("a").alias("gid")).unionByName(more.select(F.col("b").alias("gid"))).distinct()
-        links = links.unionByName(confirmed(more, texts.join(involved, "gid"), n, percent))
+        links = links.unionByName(_joined_pairs(cut(_residual(clusters, links, texts, n, percent)), texts, n, percent))
     found = connected_components(links)
     same = members.join(found.select(F.col("node").alias("gid"), "component"), "gid", "left")
     component = F.coalesce("component", "gid", "doc_id")
