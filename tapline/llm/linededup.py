@@ -1,18 +1,16 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions only.
 
-Lines are compared in a normal form (lower case, digits as 0, outer white space off). Equal forms become one line.
-For at most one edit a line falls into threshold-plus-one segments, that is two: lines that are one edit apart share
-either everything before or everything after some cut, so lines are indexed by length, side and segment, and probed
-with the substrings that a line of the same length or one longer would have there. What is left open, the window that
-must hold the edit, is then cut into SPLIT parts, again and again: a line stays only while another one agrees with it
-outside its window. Windows of one character end it. Lines that meet there are pairwise one edit apart, so links to
-the first of them say all; no group is ever paired with itself, however large. A banded bit-parallel edit distance
-verifies the links, and connected components make classes, of which the first line stays.
-
-Longer lines may be more edits apart (STEPS, by the length of the shorter line). For k edits the shorter line falls into
-k + 1 segments, one of which the longer line has whole, shifted by no more than the edits before and after it allow; so
-lines up to k longer are probed at those places. Groups that share a segment are paired where letter counts allow it;
-in long groups all lines meet a leader first, and only those it isn't linked with meet the rest.
+Lines are compared in a normal form (lower case, digits as 0, outer white space off). Lines of equal form are one
+class. Longer ones may be k edits apart, k by the length of the shorter line (EDITS, STEPS). For that, lengths fall
+into buckets; in its bucket a line has k + 1 segments of one length, some counted from its start and the rest from
+its end. Of two lines k edits apart, one has a whole segment of the other there, shifted by no more than the segments
+before it (or behind it, from the end): of l segments from the start, hit by fewer than l edits, one is whole and has
+no more edits before it than segments. So each line is indexed, and probes, with the substrings at those places of
+its bucket, and a line within k of the next lower bucket's end probes that one as well: l * l + r * r keys of 64 bits.
+
+Lines that share a key are paired where lengths and letter counts allow it; in long groups all lines meet a few leaders
+first, and only those outside the main leader's component meet the rest. A banded bit-parallel edit distance verifies what the
+two lines have between their common beginning and end. Connected components make classes; of each the first line stays.
 """
 
 from __future__ import annotations
@@ -20,20 +18,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, maybe_in, workspace, whole_row, with_own
 from .components import connected_components
 
-#: Edits that lines of one class may be apart; shorter lines are left alone; parts that a window is cut into.
-EDITS, MIN_CHARS, SPLIT = 1, 24, 8
+#: Edits that lines of MIN_CHARS characters or more may be apart; shorter ones are only compared for equality.
+EDITS, MIN_CHARS = 1, 24
 #: From how many characters of the shorter line on how many edits are allowed; the longest group paired without a leader.
-STEPS, LONG_GROUP = ((64, 2), (128, 3)), 24
+STEPS, LONG_GROUP = ((64, 2), (128, 3)), 8
+#: Leaders of a longer group.
+LEADERS = 4
+#: By how much a bucket's lengths differ at most.
+GROWTH = 1.25
 #: Letters whose counts rule pairs out: an edit changes them by two in all.
 LETTERS = " etaoinsrhld"
-#: Characters around the window that verification compares by bits; beyond them it compares for equality.
-MARGIN = 24
+#: Lengths of common beginnings and ends that are taken off, one after another, before verification.
+TRIMS = tuple(1 << n for n in range(16, 2, -1))
 _ROW, _POSITION = 2**62, 2**31
-#: Bitmaps of 32,768 bits each that a membership filter has: its broadcast takes FILTER_MAPS * 4 KB at most.
-FILTER_MAPS = 2048
 
 
 def banded_edits(a: Column, b: Column, k: int) -> Column:
@@ -75,7 +75,8 @@ def banded_edits(a: Column, b: Column, k: int) -> Column:
                 (state["d"] + cost).cast("int").alias("d"),
             )
 
-        return F.element_at(F.transform(packed, rest), 1)
+        # on the lowest diagonal distances never fall, and from it to the end they fall by k at most
+        return F.when((state["d"] > 2 * k) & (i < rows - k), state).otherwise(F.element_at(F.transform(packed, rest), 1))
 
     start = F.struct(F.lit(((1 << width) - 1) & ~((1 << k) - 1)).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.lit(k).alias("d"))
     found = F.aggregate(F.sequence(F.lit(0), columns - 1), start, step)["d"]
@@ -83,175 +84,184 @@ def banded_edits(a: Column, b: Column, k: int) -> Column:
 
 
 def normal_form(line: Column) -> Column:
-    return F.translate(F.lower(F.trim(line)), "123456789", "000000000")
+    return F.regexp_replace(F.lower(F.trim(line)), "[1-9]", "0")
 
 
-def _key(side: int, frame: Column, part: Column) -> Column:
-    return F.xxhash64(F.lit(side), frame, part)
+def _in(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """The `rows` that may have one of the values of `column` in `wanted`."""
+    return maybe_in(rows, F.col(column), wanted, F.col(column)).filter("_maybe").drop("_maybe")
 
 
-def _maybe_in(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
-    """`rows` with _maybe: false only where no row of `wanted` has the key.
+def _bottoms() -> list[tuple[int, int]]:
+    """(least length, edits) at which the number of edits changes, from MIN_CHARS on."""
+    return [(MIN_CHARS, EDITS), *STEPS]
 
-    The keys of `wanted` set bits of FILTER_MAPS bitmaps, which are broadcast: their size is bounded whatever the
-    input. Rows that can't match then stay where they are, and a join after this moves few others.
-    """
-    spot = lambda k: (F.pmod(k, F.lit(FILTER_MAPS)).cast("int").alias("_map"), F.pmod(F.floor(k / FILTER_MAPS), F.lit(32768)).alias("_bit"))
-    maps = wanted.select(*spot(F.xxhash64(F.lit(3), wanted_key))).groupBy("_map").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
-    spread = spot(F.xxhash64(F.lit(3), key))
-    marked = rows.withColumn("_map", spread[0]).withColumn("_bit", spread[1]).join(F.broadcast(maps), "_map", "left")
-    byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.pmod(F.floor(byte / F.pow(F.lit(2.0), F.col("_bit") % 8)), F.lit(2)) == 1
-    return marked.withColumn("_maybe", F.coalesce(hit, F.lit(False))).drop("_map", "_bit", "_bits")
 
+def allowed(length: Column) -> Column:
+    """Edits that a line of this length may be from a line as long or longer."""
+    out = F.lit(0)
+    for least, k in _bottoms():
+        out = F.when(length >= least, k).otherwise(out)
+    return out
 
-def _meeting(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Rows whose key several lines have, one of which has the frame's own length."""
-    shared = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.max("own").alias("_own")).filter("_n > 1 AND _own").drop("_n", "_own")
-    return _maybe_in(rows, F.col("key"), shared, F.col("key")).filter("_maybe").drop("_maybe").join(shared, by)
 
+def _bucket(length: Column) -> Column:
+    """The least length of the bucket that a length falls into; buckets of other numbers of edits begin anew."""
+    out = F.lit(0)
+    for least, _ in _bottoms():
+        step = F.floor(F.log(length / float(least)) / F.log(F.lit(GROWTH)))
+        out = F.when(length >= least, F.ceil(least * F.pow(F.lit(GROWTH), step)).cast("int")).otherwise(out)
+    return out
 
-def _segments(lines: DataFrame) -> DataFrame:
-    """node, own, frame, lo, hi, key: a line's two segments in the frame of its own length and of one more.
 
-    lo and hi bound the open window in the frame; what lies before and after it is the segment that the key hashes.
-    """
-    rows = []
-    for own in (True, False):
-        side = "own" if own else "probe"
-        for end in (0, 1):
-            rows.append(F.struct(F.lit(own).alias("own"), F.lit(end).alias("side"), F.col(f"{side}_{end}").alias("key")))
-    spread = lines.select("node", "length", F.explode(F.array(*rows)).alias("x")).select("node", "length", "x.*")
-    frame = F.col("length") + F.when(F.col("own"), 0).otherwise(1)
-    half = F.floor(frame / 2).cast("int")
-    lo, hi = F.when(F.col("side") == 0, half).otherwise(0), F.when(F.col("side") == 0, frame).otherwise(half)
-    return spread.select("node", "own", frame.alias("frame"), lo.alias("lo"), hi.alias("hi"), "key")
-
-
-def _narrowed(rows: DataFrame) -> DataFrame:
-    """Each row's window cut into SPLIT parts: one row a part, with the key of all that lies outside it."""
-    size = F.col("hi") - F.col("lo")
-    step = F.greatest(F.lit(1), F.ceil(size / SPLIT).cast("int"))
-    starts = F.sequence(F.col("lo"), F.col("hi") - 1, step)
-    parts = rows.withColumn("start", F.explode(starts)).withColumn("end", F.least(F.col("start") + step, F.col("hi")))
-    outside = F.xxhash64(F.lit(2), "frame", "start", "end", F.substring("form", F.lit(1), F.col("start")), F.substring("form", F.length("form") - (F.col("frame") - F.col("end")) + 1, F.col("frame") - F.col("end")))
-    return parts.select("node", "form", "own", "frame", F.col("start").alias("lo"), F.col("end").alias("hi"), outside.alias("key"))
-
-
-def _forms(documents: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, form: the normal forms of some lines, from the documents that have them first."""
-    found = _maybe_in(_lines(documents), F.col("node"), nodes, F.col("node")).filter("_maybe").join(nodes, "node")
-    return found.groupBy("node").agg(F.min(normal_form(F.col("line"))).alias("form"))
-
-
-def _lines(documents: DataFrame) -> DataFrame:
-    """row_id, mark, position, line, node of every line; node orders lines by document and place."""
-    exploded = documents.select("row_id", "mark", F.posexplode(F.split("text", "\n")).alias("position", "line"))
-    code = F.col("row_id").cast("decimal(20,0)") * F.lit(_ROW).cast("decimal(19,0)") + F.col("position").cast("decimal(20,0)") * F.lit(_POSITION).cast("decimal(10,0)") + F.col("mark")
-    return exploded.withColumn("node", code.cast("decimal(38,0)"))
-
-
-def _verified(groups: DataFrame) -> DataFrame:
-    """Links of each line of a group to its first line of the frame's own length, if they are within EDITS edits."""
-    by = ["frame", "lo", "hi", "key"]
-    first = groups.filter("own").groupBy(*by).agg(F.min(F.struct("node", "form")).alias("first"))
-    both = groups.join(first, by).filter(F.col("node") != F.col("first.node"))
-    before = F.greatest(F.lit(0), F.col("lo") - MARGIN)
-    after = F.greatest(F.lit(0), F.col("frame") - F.col("hi") - MARGIN)
-    inner = lambda form: F.substring(form, before + 1, F.length(form) - before - after)
-    same = lambda cut_of: cut_of(F.col("form")) == cut_of(F.col("first.form"))
-    head = same(lambda f: F.substring(f, F.lit(1), before))
-    tail = same(lambda f: F.substring(f, F.length(f) - after + 1, after))
-    close = banded_edits(inner(F.col("form")), inner(F.col("first.form")), EDITS) <= EDITS
-    return both.filter(head & tail).filter(close).select(F.col("first.node").alias("a"), F.col("node").alias("b"))
-
-
-def edit_links(documents: DataFrame, lines: DataFrame) -> DataFrame:
-    """Links (a, b) that connect all distinct lines at most one edit apart.
-
-    `lines` has node, length and the segment keys of every distinct line; `documents` the texts they come from.
+def places(k: int) -> list[tuple[int, int, int]]:
+    """(1 from the start or -1 from the end, segment, shift) of the substrings that a line is indexed by for k edits."""
+    left = (k + 2) // 2
+    return [(way, j, s) for way, n in ((1, left), (-1, k + 1 - left)) for j in range(n) for s in range(-j, j + 1)]
+
+
+def _visits(length: Column) -> Column:
+    """The buckets that a line is indexed in, as structs of k, b (least length) and size of a segment: that of its
+    length and, if it is near that one's lower end, the next lower one. Lines too short for edits have k = 0."""
+    entry = lambda n: F.struct(allowed(n).alias("k"), _bucket(n).alias("b"), F.floor(_bucket(n) / (allowed(n) + 1)).cast("int").alias("size"))
+    both = F.array(entry(length), entry(length - allowed(length - 1)))
+    return F.filter(F.array_distinct(both), lambda v: (v["k"] > 0) | (v["b"] == _bucket(length)))
+
+
+def segment_keys(form: Column, length: Column, k: Column, b: Column, size: Column) -> Column:
+    """The keys of a line in a bucket: an array with nulls where k has fewer places than others."""
+    made = []
+    for way, j, s in places(max(n for _, n in _bottoms())):
+        start = size * j + s if way > 0 else length - size * (j + 1) + s
+        least = 2 * j if way > 0 else 2 * j + 1  # the fewest edits that need the segment
+        made.append(F.when(k >= max(1, least), F.xxhash64(b, F.lit(way * (j + 1)), F.substring(form, start + 1, size))))
+    return F.array(*made)
+
+
+def _documents(docs: DataFrame) -> DataFrame:
+    """row_id, mark, text of the documents with text."""
+    return _placed(docs.select("doc_id", "text")).select("row_id", "mark", "text").filter("text IS NOT NULL")
+
+
+def _keyed(documents: DataFrame, short: bool) -> DataFrame:
+    """row_id, mark, position, h, g, length, keys, again of the lines; blank ones, and without `short` short ones, go.
+
+    A line near the lower end of its bucket has a second row, with `again`, for the next lower one.
     """
-    alive = cut(_meeting(_segments(lines), ["key"]).select("node", "own", "frame", "lo", "hi"))
-    rows = cut(alive.join(_forms(documents, alive.select("node").distinct()), "node"))
-    links = None
-    while not rows.isEmpty():
-        met = cut(_meeting(_narrowed(rows), ["frame", "lo", "hi", "key"]))
-        done = cut(_verified(met.filter("hi - lo <= 1")))
-        links = done if links is None else links.unionByName(done)
-        rows = met.filter("hi - lo > 1").drop("key")
-    return links
+    lines = documents.select("row_id", "mark", F.posexplode(F.split("text", "\n")).alias("position", "line"))
+    # generators keep the optimiser from making forms and buckets anew for each use
+    formed = lines.select("row_id", "mark", "position", F.explode(F.array(normal_form(F.col("line")))).alias("form"))
+    length = F.length("form")
+    used = formed.filter((length >= MIN_CHARS) | F.lit(short) & F.col("form").rlike(r"\S")).withColumn("length", length)
+    placed = used.select("*", F.posexplode(_visits(F.col("length"))).alias("visit", "in"))
+    keys = segment_keys(F.col("form"), F.col("length"), F.col("in.k"), F.col("in.b"), F.col("in.size"))
+    return placed.select("row_id", "mark", "position", F.xxhash64("form").alias("h"), F.xxhash64(F.lit(7), "form").alias("g"), "length", keys.alias("keys"), (F.col("visit") > 0).alias("again"))
 
 
-def allowed(length: Column) -> Column:
-    """Edits that a line of this length may be from a line as long or longer."""
-    out = F.lit(EDITS)
-    for least, k in STEPS:
-        out = F.when(length >= least, k).otherwise(out)
-    return out
+def _node(row_id: str = "row_id", mark: str = "mark", position: str = "position") -> Column:
+    """One number that orders lines by document and place."""
+    part = lambda name, unit: F.col(name).cast("decimal(20,0)") * F.lit(unit).cast("decimal(19,0)")
+    return (part(row_id, _ROW) + part(position, _POSITION) + F.col(mark).cast("decimal(20,0)")).cast("decimal(38,0)")
+
+
+def _first_lines(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """h, g, node, row_id, mark, position of the first line of each class in `wanted` (h, g)."""
+    found = _in(keyed.filter("NOT again").select("row_id", "mark", "position", "h", "g"), "h", wanted)
+    first = found.groupBy("h", "g").agg(F.min(F.struct("row_id", "position", "mark")).alias("at")).join(wanted.select("h", "g"), ["h", "g"])
+    return first.select("h", "g", "at.*").withColumn("node", _node())
 
 
-def _probe_places() -> list[tuple[int, int, int, int]]:
-    """(k, longer, segment, shift): where a line that is `longer` than its frame can have a segment of the frame."""
-    return [
-        (k, d, i, s)
-        for k in sorted({k for _, k in STEPS})
-        for d in range(k + 1)
-        for i in range(k + 1)
-        for s in range(max(-i, d - (k - i)), min(i, d + (k - i)) + 1)
-    ]
+def _forms(documents: DataFrame, lines: DataFrame, cut=cut) -> DataFrame:
+    """h, g, node, form of some lines (h, g, node, row_id, mark, position)."""
+    place = F.struct("row_id", "mark")
+    wanted = cut(lines.groupBy("row_id", "mark").agg(F.collect_list(F.struct("position", "h", "g", "node")).alias("wanted")))
+    held = maybe_in(documents, place, wanted, place).filter("_maybe").join(wanted, ["row_id", "mark"])
+    split = held.select("wanted", F.explode(F.array(F.split("text", "\n"))).alias("split"))
+    each = split.select(F.explode(F.transform("wanted", lambda w: F.struct(w["h"].alias("h"), w["g"].alias("g"), w["node"].alias("node"), F.element_at("split", w["position"] + 1).alias("line")))).alias("x"))
+    return each.groupBy("x.h", "x.g").agg(F.min("x.node").alias("node"), F.min(normal_form(F.col("x.line"))).alias("form"))
 
 
-def _segment_keys(documents: DataFrame, own: bool) -> DataFrame:
-    """node, h, form, own, frame, key of the segments of each line (own), or of where it may have those of others."""
-    places = [p for p in _probe_places() if (p[1] == p[3] == 0) == own]
-    formed = _lines(documents).select("node", F.explode(F.array(normal_form(F.col("line")))).alias("form"))
-    long = formed.filter(F.length("form") >= min(n for n, _ in STEPS)).withColumn("h", F.xxhash64("form"))
-    spread = long.withColumn("x", F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip("kdis", p))) for p in places)))).select("node", "h", "form", "x.*")
-    spread = spread.withColumn("frame", F.length("form") - F.col("d")).filter(allowed(F.col("frame")) == F.col("k"))
-    bound = lambda i: F.floor(i * F.col("frame") / (F.col("k") + 1)).cast("int")
-    start = bound(F.col("i"))
-    key = F.xxhash64(F.lit(5), "frame", "i", F.substring("form", start + F.col("s") + 1, bound(F.col("i") + 1) - start))
-    return spread.select("node", "h", "form", F.lit(own).alias("own"), "frame", key.alias("key"))
+def _untrimmed(a: Column, b: Column) -> Column:
+    """What two strings have between their common beginning and end, nearly: a struct of a and b."""
 
+    def less(state: Column, n: Column, same, rest) -> Column:
+        return F.when((F.length(state["a"]) >= n) & (F.length(state["b"]) >= n) & (same(state["a"], n) == same(state["b"], n)), F.struct(rest(state["a"], n).alias("a"), rest(state["b"], n).alias("b"))).otherwise(state)
 
-def _confirmed(pairs: DataFrame, documents: DataFrame) -> DataFrame:
+    sizes = F.array(*map(F.lit, TRIMS))
+    start = lambda x, n: F.substring(x, F.lit(1), n)
+    after = lambda x, n: F.substring(x, n + 1, F.length(x))
+    end = lambda x, n: F.substring(x, F.length(x) - n + 1, n)
+    before = lambda x, n: F.substring(x, F.lit(1), F.length(x) - n)
+    state = F.aggregate(sizes, F.struct(a.alias("a"), b.alias("b")), lambda x, n: less(x, n, start, after))
+    return F.aggregate(sizes, state, lambda x, n: less(x, n, end, before))
+
+
+def _confirmed(pairs: DataFrame, forms: DataFrame) -> DataFrame:
     """The pairs (a, b, k) at most k edits apart."""
-    forms = cut(_forms(documents, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()))
-    side = lambda n: forms.select(F.col("node").alias(n), F.col("form").alias(f"form_{n}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    side = lambda n: forms.select(F.col("id").alias(n), F.col("form").alias(f"form_{n}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("x", F.explode(F.array(_untrimmed(F.col("form_a"), F.col("form_b")))))
     close = F.lit(False)
-    for k in sorted({k for _, k in STEPS}):
-        close = F.when(F.col("k") == k, banded_edits(F.col("form_a"), F.col("form_b"), k) <= k).otherwise(close)
+    for k in sorted({k for _, k in _bottoms()}):
+        close = F.when(F.col("k") == k, banded_edits(F.col("x.a"), F.col("x.b"), k) <= k).otherwise(close)
     return both.filter(close).select("a", "b")
 
 
-def far_links(documents: DataFrame) -> DataFrame:
-    """Links (a, b) that connect all distinct lines of enough characters for STEPS that are as many edits apart."""
-    mine, others = _segment_keys(documents, True), _segment_keys(documents, False)
-    some = _maybe_in(others, F.col("key"), mine, F.col("key")).filter("_maybe")
-    columns = ["key", "h", "own"]
-    seen = mine.select(columns).unionByName(some.select(columns)).groupBy("key").agg(F.min("h").alias("_low"), F.max("h").alias("_high"), F.max("own").alias("_own"))
-    shared = cut(seen.filter("_own AND _low != _high").select("key"))
+def _joining(pairs: DataFrame, forms: DataFrame, known: DataFrame | None, cut) -> DataFrame:
+    """Confirmed links that join all that `pairs` can join, beside the links that are `known`.
+
+    At first each line meets one partner. Pairs that are then in one component say nothing new, and aren't compared.
+    """
+    first = cut(pairs.groupBy("b").agg(F.min(F.struct("a", "k")).alias("x")).select("x.a", "b", "x.k"))
+    links = cut(_confirmed(first, forms))
+    links = links if known is None else known.unionByName(links)
+    found = connected_components(links)
+    side = lambda name: found.select(F.col("node").alias(name), F.col("component").alias(f"in_{name}"))
+    apart = pairs.join(first, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    rest = cut(apart.filter(F.coalesce("in_a", "a") != F.coalesce("in_b", "b")).select("a", "b", "k"))
+    return links.unionByName(cut(_confirmed(rest, forms)))
+
+
+def edit_links(documents: DataFrame, keyed: DataFrame, cut=cut) -> DataFrame | None:
+    """h, g, node, first (the first line of its component) of the lines that share keys; None if none do.
+
+    `cut` writes what is made on the way.
+    """
+    spread = keyed.select("h", "g", "length", F.explode("keys").alias("key")).filter("key IS NOT NULL")
+    lines = spread.groupBy("key").agg(F.min("h").alias("_low"), F.max("h").alias("_high"))
+    shared = cut(lines.filter("_low != _high").select("key"))
     if shared.isEmpty():
-        return shared.select(F.lit(None).cast("decimal(38,0)").alias("a"), F.lit(None).cast("decimal(38,0)").alias("b")).limit(0)
-    counts = F.array(*((F.length("form") - F.length(F.replace("form", F.lit(c), F.lit("")))).cast("int") for c in LETTERS))
-    found = _maybe_in(mine.unionByName(others), F.col("key"), shared, F.col("key")).filter("_maybe").join(shared, "key")
-    met = found.groupBy("key", "frame", "h", "own").agg(F.min("node").alias("node"), F.min(counts).alias("counts"))
-    leaders = met.groupBy("key").agg(F.count("*").alias("n"), F.min(F.when(F.col("own"), F.struct("node", "counts"))).alias("leader"))
-    rows = cut(met.join(leaders, "key"))
-    k = allowed(F.col("frame"))
-    apart = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0), lambda x, y: x + y)
-    led = rows.filter((F.col("n") > LONG_GROUP) & (F.col("node") != F.col("leader.node")))
-    stars = led.filter(apart(F.col("counts"), F.col("leader.counts")) <= 2 * k).select(F.col("leader.node").alias("a"), F.col("node").alias("b"), k.alias("k")).distinct()
-    linked = cut(_confirmed(cut(stars), documents))
-    ties = linked.select(F.col("a").alias("_a"), F.col("b").alias("node"))
-    is_leader = (F.col("n") > LONG_GROUP) & (F.col("node") == F.col("leader.node"))
-    left = rows.filter(~is_leader).withColumn("_a", F.when(F.col("n") > LONG_GROUP, F.col("leader.node"))).join(ties, ["_a", "node"], "left_anti")
-    left = left.select("key", "frame", F.col("node").alias("a"), F.col("own").alias("own_a"), F.col("counts").alias("counts_a"))
-    right = rows.select("key", F.col("node").alias("b"), F.col("own").alias("own_b"), F.col("counts").alias("counts_b"))
-    likely = (F.col("a") != F.col("b")) & (F.col("own_a") | F.col("own_b")) & (apart(F.col("counts_a"), F.col("counts_b")) <= 2 * k)
-    pairs = left.join(right, "key").filter(likely).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), k.alias("k")).distinct()
-    return linked.unionByName(_confirmed(cut(pairs), documents))
+        return None
+    met = cut(_in(spread, "key", shared).groupBy("key", "h", "g").agg(F.max("length").alias("length")).join(shared, "key"))
+    weights = met.groupBy("h", "g").agg(F.count("*").alias("keys"))
+    counts = [f"c{i}" for i in range(len(LETTERS))]
+    counted = ((F.length("form") - F.length(F.replace("form", F.lit(c), F.lit("")))).cast("int").alias(n) for n, c in zip(counts, LETTERS))
+    forms = _forms(documents, cut(_first_lines(keyed, weights)), cut).select("h", "g", "node", "form", *counted)
+    forms = cut(forms.join(weights, ["h", "g"]).withColumn("id", F.monotonically_increasing_id()))  # written once, so ids stay
+    rows = met.join(forms.select("h", "g", "id", "keys", *counts), ["h", "g"]).select("key", "id", "length", "keys", *counts)
+    sizes = cut(rows.groupBy("key").agg(F.count("*").alias("n")))
+    rows = cut(rows.join(sizes, "key"))
+    short, long = rows.filter(F.col("n") <= LONG_GROUP), rows.filter(F.col("n") > LONG_GROUP)
+    side = lambda df, name: df.select("key", *(F.col(c).alias(f"{c}_{name}") for c in ("id", "length", *counts, *(["component"] if "component" in df.columns else []))))
+    apart = sum((F.abs(F.col(f"{c}_a") - F.col(f"{c}_b")) for c in counts), F.lit(0))
+    k = allowed(F.least("length_a", "length_b"))
+    likely = (F.abs(F.col("length_a") - F.col("length_b")) <= k) & (apart <= 2 * k)
+    paired = lambda left, right, only: side(left, "a").join(side(right, "b"), "key").filter(only & likely).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), k.alias("k")).distinct()
+    # a group's leaders are, of its lines by hash, those that share most keys
+    best = long.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(LEADERS)).alias("part")).agg(F.max(F.struct("keys", "id")).alias("best"))
+    leaders = cut(best.select("key", F.col("best.id").alias("id"), "best.keys"))
+    led = long.join(leaders.select("key", "id"), ["key", "id"])
+    pairs = paired(led, long, F.col("id_a") != F.col("id_b")).unionByName(paired(short, short, F.col("id_a") < F.col("id_b"))).distinct()
+    links = _joining(cut(pairs), forms, None, cut)
+    found = connected_components(links)
+    inside = cut(long.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")))
+    main = leaders.groupBy("key").agg(F.max(F.struct("keys", "id")).alias("best")).select("key", F.col("best.id").alias("id"))
+    main = cut(main.join(inside.select("key", "id", F.col("component").alias("main")), ["key", "id"]).select("key", "main"))
+    left = cut(inside.join(main, "key").filter("component != main").drop("main"))
+    if not left.isEmpty():
+        more = cut(paired(left, inside, F.col("component_a") != F.col("component_b")))
+        found = connected_components(_joining(more, forms, links, cut))
+    firsts = forms.select("h", "g", "node", "id").join(found.withColumnRenamed("node", "id"), "id")
+    return cut(firsts.join(firsts.groupBy("component").agg(F.min("node").alias("first")), "component").select("h", "g", "node", "first"))
 
 
 def _placed(docs: DataFrame) -> DataFrame:
@@ -265,38 +275,42 @@ def duplicate_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     A line goes if its class, its form or one linked to it, has an earlier line: in a smaller doc_id, or further up.
     Lines under MIN_CHARS characters are in no class, or with `short`, if they aren't blank, in that of equal forms.
     """
-    documents = _placed(docs.select("doc_id", "text")).select("row_id", "mark", "text").filter("text IS NOT NULL")
-    formed = _lines(documents).select("row_id", "mark", "position", "node", F.explode(F.array(normal_form(F.col("line")))).alias("form")).filter((F.length("form") >= MIN_CHARS) | F.lit(short) & F.col("form").rlike(r"\S"))
-    length = F.length("form")
-    keys = {}
-    for name, frame in (("own", length), ("probe", length + 1)):
-        half = F.floor(frame / 2).cast("int")
-        keys[f"{name}_0"] = _key(0, frame, F.substring("form", F.lit(1), half))
-        keys[f"{name}_1"] = _key(1, frame, F.substring("form", length - (frame - half) + 1, frame - half))
-    hashed = formed.select("row_id", "mark", "position", "node", F.xxhash64("form").alias("h"), F.xxhash64(F.lit(7), "form").alias("g"), length.alias("length"), *(v.alias(k) for k, v in keys.items()))
-    distinct = hashed.groupBy("h", "g").agg(F.min("node").alias("node"), F.max("node").alias("last"), F.min("length").alias("length"), *(F.min(k).alias(k) for k in keys))
-    lines = cut(distinct.withColumn("several", F.col("last") != F.col("node")).drop("last"))
-    classes = lines.select("h", "g", "node", "several")
-    links, near = far_links(documents), edit_links(documents, lines.filter(F.col("length") >= MIN_CHARS))
-    found = connected_components(links if near is None else links.unionByName(near))
-    classes = classes.join(found.withColumnRenamed("component", "first"), "node", "left").withColumn("first", F.coalesce("first", "node"))
-    repeated = cut(classes.filter("several OR node != first").select("h", "g", "first"))
-    occurrences = _maybe_in(hashed.select("row_id", "mark", "position", "node", "h", "g"), F.col("h"), repeated, F.col("h")).filter("_maybe")
-    gone = occurrences.join(repeated, ["h", "g"]).filter("node != first")
-    return gone.groupBy("row_id", "mark").agg(F.collect_set("position").alias("removed"))
+    documents = _documents(docs)
+    with workspace(docs.sparkSession) as held:
+        keyed = held(_keyed(documents, short))
+        linked = edit_links(documents, keyed, held)
+        lines = keyed.filter("NOT again").select("row_id", "mark", "position", "h", "g")
+        repeated = lines.groupBy("h", "g").agg(F.count("*").alias("n")).filter("n > 1").select("h", "g")
+        if linked is not None:
+            repeated = repeated.unionByName(linked.filter("node != first").select("h", "g")).distinct()
+        repeated = held(repeated)
+        occurrences = _in(lines, "h", repeated).withColumn("node", _node())
+        firsts = occurrences.groupBy("h", "g").agg(F.min("node").alias("first")).join(repeated, ["h", "g"])
+        if linked is not None:
+            firsts = firsts.join(linked.select("h", "g", F.col("first").alias("of_all")), ["h", "g"], "left").select("h", "g", F.coalesce("of_all", "first").alias("first"))
+        firsts = held(firsts)
+        gone = occurrences.join(firsts, ["h", "g"]).filter("node != first")
+        return cut(gone.groupBy("row_id", "mark").agg(F.collect_set("position").alias("removed")))
+
+
+OWN = ["_kept_text", "_lines", "_removed"]
 
 
 def dedup_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """The rows of `docs`, all columns, with _kept_text, _lines and _removed (numbers of lines, and of those gone).
 
     Null text stays null, without lines. Of repeated rows (equal doc_id and text) each keeps the lines that one
-    keeps. An empty table gives an empty result. With `short`, repeats of lines under MIN_CHARS go too.
+    keeps. An empty table gives an empty result. With `short`, repeats of lines under MIN_CHARS go too. Input columns
+    with one of the three names are replaced; others pass through, whatever their names.
     """
-    names = docs.columns
-    gone = cut(duplicate_lines(docs, short).select(F.col("row_id").alias("_row"), F.col("mark").alias("_mark"), F.col("removed").alias("_gone")))
-    placed = _placed(docs.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("_all"), "doc_id", "text"))
+    return with_own(_deduped(docs, short), docs.columns, OWN)
+
+
+def _deduped(docs: DataFrame, short: bool) -> DataFrame:
+    gone = duplicate_lines(docs, short).select(F.col("row_id").alias("_row"), F.col("mark").alias("_mark"), F.col("removed").alias("_gone"))
+    rows = _placed(docs.select(whole_row(docs), "doc_id", "text")).select("_all", "text", F.col("row_id").alias("_row"), F.col("mark").alias("_mark"))
     key = F.struct(F.col("_row"), F.col("_mark"))
-    rows = _maybe_in(placed.select("_all", "text", F.col("row_id").alias("_row"), F.col("mark").alias("_mark")), key, gone, key)
+    rows = maybe_in(rows, key, gone, key)
     # only documents that may lose lines move
     still = rows.filter("NOT _maybe").select("_all", "text", F.lit(None).cast("array<int>").alias("_gone"))
     moved = rows.filter("_maybe").join(gone, ["_row", "_mark"], "left").select("_all", "text", "_gone")
@@ -304,13 +318,16 @@ def dedup_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     held = still.unionByName(moved).select("_all", "_gone", F.explode(F.array(F.split("text", "\n"))).alias("_split"))
     places = F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), F.col("_gone"))
     rebuilt = F.array_join(F.transform(places, lambda p: F.element_at("_split", p + 1)), "\n")
-    kept = F.when(F.col("_gone").isNull(), F.col("_all.text")).otherwise(rebuilt)
+    kept = F.when(F.col("_gone").isNull(), F.col("_all").getField("text")).otherwise(rebuilt)
     lines = F.when(F.col("_split").isNull(), 0).otherwise(F.size("_split"))
-    return held.select(*(F.col(f"_all.`{n}`").alias(n) for n in names), kept.alias("_kept_text"), lines.cast("long").alias("_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_removed"))
+    return held.select("_all", kept.alias("_kept_text"), lines.cast("long").alias("_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_removed"))
 
 
 def deduped_documents(docs: DataFrame) -> DataFrame:
-    """`docs` with their kept text, short lines included; documents that had text and lose every line go."""
-    done = dedup_lines(docs, short=True).filter("_removed < _lines OR _removed = 0")
-    columns = [F.col("_kept_text").alias(n) if n == "text" else F.length("_kept_text").cast("long").alias(n) if n == "n_chars" else F.col(f"`{n}`") for n in docs.columns]
-    return done.select(*columns)
+    """`docs` with their kept text, short lines included; documents that had text and lose every line go.
+
+    Null text stays; n_chars, where there is such a column, becomes the kept text's; all other columns stay as they are.
+    """
+    done = _deduped(docs, short=True).filter("_removed < _lines OR _removed = 0")
+    new = {"text": F.col("_kept_text"), "n_chars": F.length("_kept_text").cast("long")}
+    return done.select(*((new[n] if n in new else F.col("_all").getField(n)).alias(n) for n in docs.columns))
