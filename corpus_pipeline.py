@@ -13,13 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapline.llm import bpe, linededup, mixing, neardup, quality
-from tapline.llm.common import cut, shared_folder, table
+from tapline.llm.common import cut, remove_folder, shared_folder, table, whole_row, with_own
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go; null text is judged like empty text."""
     field = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, field).filter("_predicted = 1").select(*docs.columns)
+    return with_own(quality.scored(docs, field).filter("_predicted = 1"), docs.columns, [])
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     both, one stays. Documents without words all stay.
     """
     names = docs.columns
-    keyed = docs.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("_all"), F.xxhash64("doc_id", "text").alias("_key"))
+    keyed = docs.select(whole_row(docs), F.xxhash64("doc_id", "text").alias("_key"))
     groups = cut(neardup.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), F.col("_all.text").alias("text"))))
     ids = keyed.select("_key", F.col("_all.doc_id").alias("id")).groupBy("_key").agg(F.min("id").alias("id"))
     rows = groups.groupBy(F.col("doc_id").alias("_key"), "component_id").agg(F.count("*").alias("_n"), F.max("n_shingles").alias("_words")).join(ids, "_key")
@@ -42,7 +42,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     kept = cut(first.select("x._key", ((F.col("x._n") > 1) & (F.col("x._words") > 0)).alias("_several")))
     found = keyed.join(kept, "_key")
     once = found.filter("_several").groupBy("_key").agg(F.min("_all").alias("_all"))
-    return found.filter("NOT _several").select("_all.*").unionByName(once.select("_all.*"))
+    return with_own(found.filter("NOT _several").select("_all").unionByName(once.select("_all")), names, [])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, and their digests."""
+    """doc_id, token ids of each text, and their digests; null text has no tokens."""
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
 
 
@@ -62,12 +62,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; between two of them a Parquet table in the shared folder."""
+    """All stages over documents; between two of them a Parquet table in the shared folder.
+
+    A stage's table is removed when the next one's is written; the last one stays, as the result reads it.
+    """
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{k}-{name}")
+            if k:
+                remove_folder(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
             docs = spark.read.parquet(f"{folder}/{k}-{name}")
     return docs
