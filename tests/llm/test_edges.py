@@ -18,7 +18,7 @@ ROWS = [
     (7, "one", "en", "a", 3),
     (-8, "a@b.c 1.2.3.4 é\U0001f600 <|endoftext|>", "en", "a", 3),
 ]
-CLASHES = "node gid a b key size target value label n component line lines position form h g row_id mark removed _n rank digest held_out score kind part peek to x".split()
+CLASHES = "node gid a b key size target value label n component line lines position form h g row_id mark removed _n rank digest held_out score kind part peek to x share whole _score _predicted _key _size _source_size _target _copies _copy _bucket _h _kept_text _lines _removed _gone _split _row _mark _all _maybe _word _bit _bits id keys again visit in first component_id kept sketch slot slots text_a text_b leader stratum".split()
 
 
 @pytest.fixture(scope="module")
@@ -99,6 +99,49 @@ def test_vectors(spark):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
     found = sorted(map(tuple, exact_topk(frame).collect()))
     whole = 256 * 256 + 512 * 512
-    assert [x for x in found if x[0] == 0][:2] == [(0, 1, 7, whole), (0, 2, 50, whole)]
+    # each of the two equal rows is a query, and a candidate of the other
+    least = -(2**63)
+    assert [x for x in found if x[0] == 0] == [x for x in [(0, 1, 0, whole), (0, 2, 7, whole), (0, 3, 50, whole), (0, 4, 150, least)] for _ in range(2)]
     assert (100, 1, 9, 0) in found
+    rows = [(0, [1e8, 0.0]), (50, [1.0, 0.0]), (50, [2.0, 0.0]), (7, [1.0, 0.0])]
+    large = sorted(map(tuple, exact_topk(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=2).collect()))
+    unit = 256 * 256 * 10**8
+    assert large == [(0, 1, 50, 2 * unit), (0, 2, 7, unit), (50, 1, 0, unit), (50, 1, 0, 2 * unit), (50, 2, 7, 2 * 256**2), (50, 2, 50, 2 * 256**2)]
     assert exact_topk(frame.limit(0)).count() == 0
+
+
+def test_pages_of_long_attributes_and_deep_nesting(spark):
+    import time
+
+    from tapline.llm.html import Page, extract
+
+    words = "the quick brown fox jumps over it. " * 12
+    page = f'<html><body><article><p>{words}</p><img alt="{"not > text " * 2600}"><p title=it\'s>{words}</p></article></body></html>'
+    text = extract(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).first().text
+    assert "not" not in text.split() and text == " ".join((words + words).split())
+    began = time.thread_time()
+    for source in ("<div>" * 100_000, "<li>" * 100_000, "<p><b>" * 50_000, "<a x='>" * 100_001, "<b " * 100_000 + "<!--", "</p>" * 100_000):
+        Page(source)
+    assert time.thread_time() - began < 30
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", ["quality", "line_dedup", "near_dedup", "mixing"])
+def test_stages_with_awkward_rows(spark, docs, name):
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)[name]
+    out = stage(spark, docs, SF)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert all(x._score == x.share == x._all == "clash" for x in rows)
+    ids = sorted(str(x.doc_id) for x in rows)
+    if name == "line_dedup":  # 6 loses its only lines; nothing else goes, repeated rows are as one
+        assert ids == sorted(str(x[0]) for x in ROWS if x[0] != 6)
+    if name == "near_dedup":  # one row of the three equal texts; rows without words all stay
+        assert ids == sorted(["1", "2", "None", "None", "3", "4", "5", "7", "-8"])
+    if name == "mixing":
+        assert {x.doc_id for x in rows} <= {1, 4, 5, 6, 7, -8, None} and all(x.text and x.text.strip() for x in rows)
+    assert stage(spark, docs.limit(0), SF).count() == 0
