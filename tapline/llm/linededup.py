@@ -29,8 +29,8 @@ STEPS, LONG_GROUP = ((64, 2), (128, 3)), 8
 LEADERS = 4
 #: By how much a bucket's lengths differ at most.
 GROWTH = 1.25
-#: Letters whose counts rule pairs out: an edit changes them by two in all.
-LETTERS = " etaoinsrhld"
+#: Characters whose counts, with that of all others together, rule pairs out: an edit changes them by two in all.
+LETTERS = " abcdefghijklmnopqrstuvwxyz"
 #: Lengths of common beginnings and ends that are taken off, one after another, before verification.
 TRIMS = tuple(1 << n for n in range(16, 2, -1))
 _ROW, _POSITION = 2**62, 2**31
@@ -75,8 +75,8 @@ def banded_edits(a: Column, b: Column, k: int) -> Column:
                 (state["d"] + cost).cast("int").alias("d"),
             )
 
-        # on the lowest diagonal distances never fall, and from it to the end they fall by k at most
-        return F.when((state["d"] > 2 * k) & (i < rows - k), state).otherwise(F.element_at(F.transform(packed, rest), 1))
+        # on the lowest diagonal distances never fall, and on the last row, 2k columns at most, they fall by one a column
+        return F.when((state["d"] > 3 * k) & (i < rows - k), state).otherwise(F.element_at(F.transform(packed, rest), 1))
 
     start = F.struct(F.lit(((1 << width) - 1) & ~((1 << k) - 1)).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.lit(k).alias("d"))
     found = F.aggregate(F.sequence(F.lit(0), columns - 1), start, step)["d"]
@@ -233,8 +233,9 @@ def edit_links(documents: DataFrame, keyed: DataFrame, cut=cut) -> DataFrame | N
         return None
     met = cut(_in(spread, "key", shared).groupBy("key", "h", "g").agg(F.max("length").alias("length")).join(shared, "key"))
     weights = met.groupBy("h", "g").agg(F.count("*").alias("keys"))
-    counts = [f"c{i}" for i in range(len(LETTERS))]
-    counted = ((F.length("form") - F.length(F.replace("form", F.lit(c), F.lit("")))).cast("int").alias(n) for n, c in zip(counts, LETTERS))
+    counts = [f"c{i}" for i in range(len(LETTERS) + 1)]
+    each = [F.length("form") - F.length(F.replace("form", F.lit(c), F.lit(""))) for c in LETTERS]
+    counted = (c.cast("int").alias(n) for n, c in zip(counts, [*each, F.length(F.translate("form", LETTERS, ""))]))
     forms = _forms(documents, cut(_first_lines(keyed, weights)), cut).select("h", "g", "node", "form", *counted)
     forms = cut(forms.join(weights, ["h", "g"]).withColumn("id", F.monotonically_increasing_id()))  # written once, so ids stay
     rows = met.join(forms.select("h", "g", "id", "keys", *counts), ["h", "g"]).select("key", "id", "length", "keys", *counts)
