@@ -35,7 +35,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     names = docs.columns
     keyed = docs.select(whole_row(docs), F.xxhash64("doc_id", "text").alias("_key"))
-    groups = cut(neardup.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), F.col("_all.text").alias("text"))))
+    groups = neardup.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), F.col("_all.text").alias("text")))
     ids = keyed.select("_key", F.col("_all.doc_id").alias("id")).groupBy("_key").agg(F.min("id").alias("id"))
     rows = groups.groupBy(F.col("doc_id").alias("_key"), "component_id").agg(F.count("*").alias("_n"), F.max("n_shingles").alias("_words")).join(ids, "_key")
     first = rows.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_key", "_n", "_words")).alias("x"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -29,28 +30,39 @@ def shared_folder(spark: SparkSession) -> str:
     return named or context.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df` written as a Parquet table in the shared folder: its lineage ends there, and its size is known from then on."""
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """`df` written as a Parquet table in the shared folder, and the table's path."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
-@contextmanager
-def workspace(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """A `cut` whose tables are removed when the block ends; what leaves it must be written before."""
-    paths: list[str] = []
+_SCOPES = threading.local()
+
+
+def cut(df: DataFrame, keep: bool = False) -> DataFrame:
+    """`df` written as a table: its lineage ends there, and its size is known from then on.
+
+    In a workspace the table goes when that ends; with `keep` it stays for the one around it, or if there is none.
+    """
+    out, path = written(df)
+    scopes = getattr(_SCOPES, "open", [])
+    if len(scopes) > keep:
+        scopes[-1 - keep].append(path)
+    return out
 
-    def write(df: DataFrame) -> DataFrame:
-        paths.append(f"{shared_folder(spark)}/table-{uuid.uuid4().hex}")
-        df.write.parquet(paths[-1])
-        return spark.read.schema(df.schema).parquet(paths[-1])
 
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A block at whose end the tables that `cut` wrote in it are removed; what leaves it is kept or written before."""
+    if not hasattr(_SCOPES, "open"):
+        _SCOPES.open = []
+    _SCOPES.open.append([])
     try:
-        yield write
+        yield cut
     finally:
-        for path in paths:
+        for path in _SCOPES.open.pop():
             remove_folder(spark, path)
 
 

@@ -6,12 +6,10 @@ neighbourhood is ever gathered in one place, and the links of each round are wri
 
 from __future__ import annotations
 
-from contextlib import ExitStack
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, workspace
+from .common import cut, remove_folder, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -33,18 +31,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Links may repeat, point either way or to themselves; nulls link nothing.
     """
-    spark = edges.sparkSession
-    with ExitStack() as tables:
-        now = tables.enter_context(workspace(spark))(edges.select("a", "b").dropna().filter("a != b").distinct())
-        seen = None
-        while True:
-            state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-            if state == seen or not state[0]:
-                break
-            seen = state
-            later = ExitStack()  # a round's table goes when the next one is written
-            now = later.enter_context(workspace(spark))(_star(_star(now, True), False))
-            tables.close()
-            tables.push(later)
-        stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        return cut(stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct()))
+    now, path = written(edges.select("a", "b").dropna().filter("a != b").distinct())
+    seen = None
+    while True:
+        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if state == seen or not state[0]:
+            break
+        seen, last = state, path
+        now, path = written(_star(_star(now, True), False))
+        remove_folder(edges.sparkSession, last)
+    stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    out = cut(stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct()))
+    remove_folder(edges.sparkSession, path)
+    return out

@@ -171,7 +171,7 @@ def _first_lines(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     return first.select("h", "g", "at.*").withColumn("node", _node())
 
 
-def _forms(documents: DataFrame, lines: DataFrame, cut=cut) -> DataFrame:
+def _forms(documents: DataFrame, lines: DataFrame) -> DataFrame:
     """h, g, node, form of some lines (h, g, node, row_id, mark, position)."""
     place = F.struct("row_id", "mark")
     wanted = cut(lines.groupBy("row_id", "mark").agg(F.collect_list(F.struct("position", "h", "g", "node")).alias("wanted")))
@@ -206,7 +206,7 @@ def _confirmed(pairs: DataFrame, forms: DataFrame) -> DataFrame:
     return both.filter(close).select("a", "b")
 
 
-def _joining(pairs: DataFrame, forms: DataFrame, known: DataFrame | None, cut) -> DataFrame:
+def _joining(pairs: DataFrame, forms: DataFrame, known: DataFrame | None) -> DataFrame:
     """Confirmed links that join all that `pairs` can join, beside the links that are `known`.
 
     At first each line meets one partner. Pairs that are then in one component say nothing new, and aren't compared.
@@ -221,11 +221,8 @@ def _joining(pairs: DataFrame, forms: DataFrame, known: DataFrame | None, cut) -
     return links.unionByName(cut(_confirmed(rest, forms)))
 
 
-def edit_links(documents: DataFrame, keyed: DataFrame, cut=cut) -> DataFrame | None:
-    """h, g, node, first (the first line of its component) of the lines that share keys; None if none do.
-
-    `cut` writes what is made on the way.
-    """
+def edit_links(documents: DataFrame, keyed: DataFrame) -> DataFrame | None:
+    """h, g, node, first (the first line of its component) of the lines that share keys; None if none do."""
     spread = keyed.select("h", "g", "length", F.explode("keys").alias("key")).filter("key IS NOT NULL")
     lines = spread.groupBy("key").agg(F.min("h").alias("_low"), F.max("h").alias("_high"))
     shared = cut(lines.filter("_low != _high").select("key"))
@@ -236,7 +233,7 @@ def edit_links(documents: DataFrame, keyed: DataFrame, cut=cut) -> DataFrame | N
     counts = [f"c{i}" for i in range(len(LETTERS) + 1)]
     each = [F.length("form") - F.length(F.replace("form", F.lit(c), F.lit(""))) for c in LETTERS]
     counted = (c.cast("int").alias(n) for n, c in zip(counts, [*each, F.length(F.translate("form", LETTERS, ""))]))
-    forms = _forms(documents, cut(_first_lines(keyed, weights)), cut).select("h", "g", "node", "form", *counted)
+    forms = _forms(documents, cut(_first_lines(keyed, weights))).select("h", "g", "node", "form", *counted)
     forms = cut(forms.join(weights, ["h", "g"]).withColumn("id", F.monotonically_increasing_id()))  # written once, so ids stay
     rows = met.join(forms.select("h", "g", "id", "keys", *counts), ["h", "g"]).select("key", "id", "length", "keys", *counts)
     sizes = cut(rows.groupBy("key").agg(F.count("*").alias("n")))
@@ -252,7 +249,7 @@ def edit_links(documents: DataFrame, keyed: DataFrame, cut=cut) -> DataFrame | N
     leaders = cut(best.select("key", F.col("best.id").alias("id"), "best.keys"))
     led = long.join(leaders.select("key", "id"), ["key", "id"])
     pairs = paired(led, long, F.col("id_a") != F.col("id_b")).unionByName(paired(short, short, F.col("id_a") < F.col("id_b"))).distinct()
-    links = _joining(cut(pairs), forms, None, cut)
+    links = _joining(cut(pairs), forms, None)
     found = connected_components(links)
     inside = cut(long.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")))
     main = leaders.groupBy("key").agg(F.max(F.struct("keys", "id")).alias("best")).select("key", F.col("best.id").alias("id"))
@@ -260,7 +257,7 @@ def edit_links(documents: DataFrame, keyed: DataFrame, cut=cut) -> DataFrame | N
     left = cut(inside.join(main, "key").filter("component != main").drop("main"))
     if not left.isEmpty():
         more = cut(paired(left, inside, F.col("component_a") != F.col("component_b")))
-        found = connected_components(_joining(more, forms, links, cut))
+        found = connected_components(_joining(more, forms, links))
     firsts = forms.select("h", "g", "node", "id").join(found.withColumnRenamed("node", "id"), "id")
     return cut(firsts.join(firsts.groupBy("component").agg(F.min("node").alias("first")), "component").select("h", "g", "node", "first"))
 
@@ -277,21 +274,21 @@ def duplicate_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     Lines under MIN_CHARS characters are in no class, or with `short`, if they aren't blank, in that of equal forms.
     """
     documents = _documents(docs)
-    with workspace(docs.sparkSession) as held:
-        keyed = held(_keyed(documents, short))
-        linked = edit_links(documents, keyed, held)
+    with workspace(docs.sparkSession):
+        keyed = cut(_keyed(documents, short))
+        linked = edit_links(documents, keyed)
         lines = keyed.filter("NOT again").select("row_id", "mark", "position", "h", "g")
         repeated = lines.groupBy("h", "g").agg(F.count("*").alias("n")).filter("n > 1").select("h", "g")
         if linked is not None:
             repeated = repeated.unionByName(linked.filter("node != first").select("h", "g")).distinct()
-        repeated = held(repeated)
+        repeated = cut(repeated)
         occurrences = _in(lines, "h", repeated).withColumn("node", _node())
         firsts = occurrences.groupBy("h", "g").agg(F.min("node").alias("first")).join(repeated, ["h", "g"])
         if linked is not None:
             firsts = firsts.join(linked.select("h", "g", F.col("first").alias("of_all")), ["h", "g"], "left").select("h", "g", F.coalesce("of_all", "first").alias("first"))
-        firsts = held(firsts)
+        firsts = cut(firsts)
         gone = occurrences.join(firsts, ["h", "g"]).filter("node != first")
-        return cut(gone.groupBy("row_id", "mark").agg(F.collect_set("position").alias("removed")))
+        return cut(gone.groupBy("row_id", "mark").agg(F.collect_set("position").alias("removed")), keep=True)
 
 
 OWN = ["_kept_text", "_lines", "_removed"]

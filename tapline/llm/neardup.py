@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, encoded, maybe_in, shingle_sets
+from .common import cut, encoded, maybe_in, shingle_sets, workspace
 from .components import connected_components
 
 #: Retained values of a sketch; the estimate that a pair must reach; the longest list that is paired.
@@ -217,7 +217,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, k: int = K)
     Null text counts as empty; documents without words are linked with nothing and kept. Rows that repeat a doc_id
     are in the component of either text. A row without doc_id is never kept, nor smallest. Other columns are ignored.
     """
-    docs = docs.select("doc_id", "text")
+    with workspace(docs.sparkSession):
+        return cut(_grouped(docs.select("doc_id", "text"), n, percent, k), keep=True)
+
+
+def _grouped(docs: DataFrame, n: int, percent: int, k: int) -> DataFrame:
     made = cut(sketches(docs, n, k))
     some = made.filter("digest IS NOT NULL")
     counted = some.groupBy("digest").agg(F.min("doc_id").alias("gid"), F.count("*").alias("n"))

@@ -213,19 +213,19 @@ def score_patterns(found: DataFrame, rounds: int = ROUNDS, confident: float = CO
     share of its distinct instances' confidence, and an instance's to that of its best pattern.
     """
     spark = found.sparkSession
-    with workspace(spark) as held:
-        edges = held(found.select("kind", "instance", "pattern").distinct())
-        seeds = held(edges.filter("kind != ''").select("kind", "instance").distinct().withColumn("c", F.lit(1.0)))
-        pairs = held(edges.groupBy("pattern", "instance").agg(F.max("kind").alias("seed_kind")))
-        sizes = held(pairs.groupBy("pattern").agg(F.count("*").alias("size")).filter(F.col("size") >= support))
+    with workspace(spark):
+        edges = cut(found.select("kind", "instance", "pattern").distinct())
+        seeds = cut(edges.filter("kind != ''").select("kind", "instance").distinct().withColumn("c", F.lit(1.0)))
+        pairs = cut(edges.groupBy("pattern", "instance").agg(F.max("kind").alias("seed_kind")))
+        sizes = cut(pairs.groupBy("pattern").agg(F.count("*").alias("size")).filter(F.col("size") >= support))
         belief, patterns = seeds, None
         for _ in range(rounds):
             weights = pairs.join(belief, "instance").groupBy("kind", "pattern").agg(F.sum("c").alias("mass"))
             share = F.col("mass") / (F.col("size") + 1.0)
-            patterns = held(weights.join(sizes, "pattern").select("kind", "pattern", share.alias("confidence")).filter(F.col("confidence") >= confident))
+            patterns = cut(weights.join(sizes, "pattern").select("kind", "pattern", share.alias("confidence")).filter(F.col("confidence") >= confident))
             new = pairs.filter("seed_kind = ''").join(patterns, "pattern").groupBy("kind", "instance").agg(F.max("confidence").alias("c"))
-            belief = held(seeds.unionByName(new))
-        return cut(patterns)
+            belief = cut(seeds.unionByName(new))
+        return cut(patterns, keep=True)
 
 
 def _patterns_of(left: str, right: str, sort: str) -> list[str]:
