@@ -31,6 +31,8 @@ LEADERS = 4
 GROWTH = 1.25
 #: Characters whose counts, with that of all others together, rule pairs out: an edit changes them by two in all.
 LETTERS = " abcdefghijklmnopqrstuvwxyz"
+#: Counts are of the first FRONT characters and of the rest: an edit in front also moves a character across.
+FRONT = 128
 #: Lengths of common beginnings and ends that are taken off, one after another, before verification.
 TRIMS = tuple(1 << n for n in range(16, 2, -1))
 _ROW, _POSITION = 2**62, 2**31
@@ -229,21 +231,26 @@ def edit_links(documents: DataFrame, keyed: DataFrame) -> DataFrame | None:
     if shared.isEmpty():
         return None
     met = cut(_in(spread, "key", shared).groupBy("key", "h", "g").agg(F.max("length").alias("length")).join(shared, "key"))
-    weights = met.groupBy("h", "g").agg(F.count("*").alias("keys"))
-    counts = [f"c{i}" for i in range(len(LETTERS) + 1)]
-    each = [F.length("form") - F.length(F.replace("form", F.lit(c), F.lit(""))) for c in LETTERS]
-    counted = (c.cast("int").alias(n) for n, c in zip(counts, [*each, F.length(F.translate("form", LETTERS, ""))]))
+    weights = met.groupBy("h", "g").agg(F.count("*").alias("keys"), F.collect_set("key").alias("of"))
+    fronts, counts = ([f"{name}{i}" for i in range(len(LETTERS) + 1)] for name in ("f", "c"))
+
+    def number_of(text: Column) -> list[Column]:
+        each = [F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in LETTERS]
+        return [c.cast("int") for c in (*each, F.length(F.translate(text, LETTERS, "")))]
+
+    counted = [c.alias(n) for n, c in zip([*fronts, *counts], [*number_of(F.substring("form", 1, FRONT)), *number_of(F.col("form"))])]
     forms = _forms(documents, cut(_first_lines(keyed, weights))).select("h", "g", "node", "form", *counted)
     forms = cut(forms.join(weights, ["h", "g"]).withColumn("id", F.monotonically_increasing_id()))  # written once, so ids stay
-    rows = met.join(forms.select("h", "g", "id", "keys", *counts), ["h", "g"]).select("key", "id", "length", "keys", *counts)
+    rows = met.join(forms.select("h", "g", "id", "keys", "of", *fronts, *counts), ["h", "g"]).select("key", "id", "length", "keys", "of", *fronts, *counts)
     sizes = cut(rows.groupBy("key").agg(F.count("*").alias("n")))
     rows = cut(rows.join(sizes, "key"))
     short, long = rows.filter(F.col("n") <= LONG_GROUP), rows.filter(F.col("n") > LONG_GROUP)
-    side = lambda df, name: df.select("key", *(F.col(c).alias(f"{c}_{name}") for c in ("id", "length", *counts, *(["component"] if "component" in df.columns else []))))
-    apart = sum((F.abs(F.col(f"{c}_a") - F.col(f"{c}_b")) for c in counts), F.lit(0))
+    side = lambda df, name: df.select("key", *(F.col(c).alias(f"{c}_{name}") for c in ("id", "length", "of", *fronts, *counts, *(["component"] if "component" in df.columns else []))))
+    total = lambda names, of=lambda c, side: F.col(f"{c}_{side}"): sum((F.abs(of(c, "a") - of(c, "b")) for c in names), F.lit(0))
+    rear = total(range(len(counts)), lambda i, side: F.col(f"{counts[i]}_{side}") - F.col(f"{fronts[i]}_{side}"))
     k = allowed(F.least("length_a", "length_b"))
-    likely = (F.abs(F.col("length_a") - F.col("length_b")) <= k) & (apart <= 2 * k)
-    paired = lambda left, right, only: side(left, "a").join(side(right, "b"), "key").filter(only & likely).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), k.alias("k")).distinct()
+    likely = (F.abs(F.col("length_a") - F.col("length_b")) <= k) & (total(counts) <= 2 * k) & (total(fronts) + rear <= 3 * k)
+    paired = lambda left, right, only, last=F.lit(True): side(left, "a").join(side(right, "b"), "key").filter(only & likely & last).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), k.alias("k")).distinct()
     # a group's leaders are, of its lines by hash, those that share most keys
     best = long.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(LEADERS)).alias("part")).agg(F.max(F.struct("keys", "id")).alias("best"))
     leaders = cut(best.select("key", F.col("best.id").alias("id"), "best.keys"))
@@ -256,7 +263,9 @@ def edit_links(documents: DataFrame, keyed: DataFrame) -> DataFrame | None:
     main = cut(main.join(inside.select("key", "id", F.col("component").alias("main")), ["key", "id"]).select("key", "main"))
     left = cut(inside.join(main, "key").filter("component != main").drop("main"))
     if not left.isEmpty():
-        more = cut(paired(left, inside, F.col("component_a") != F.col("component_b")))
+        # a pair with several keys in common comes of the smallest; where that is a short group's, it has been compared
+        once = F.col("key") == F.array_min(F.array_intersect("of_a", "of_b"))
+        more = cut(paired(left, inside, F.col("component_a") != F.col("component_b"), once))
         found = connected_components(_joining(more, forms, links))
     firsts = forms.select("h", "g", "node", "id").join(found.withColumnRenamed("node", "id"), "id")
     return cut(firsts.join(firsts.groupBy("component").agg(F.min("node").alias("first")), "component").select("h", "g", "node", "first"))
