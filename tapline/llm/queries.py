@@ -78,5 +78,13 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), n=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_html, op2_mixing, op3_fingerprints, op4_linededup, op5_bpe, op6_pii, op7_quality, op8_topk, op9_toxicity, op10_neardup)}
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .align import align_documents
+
+    return align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html, op2_mixing, op3_fingerprints, op4_linededup, op5_bpe, op6_pii, op7_quality, op8_topk, op9_toxicity, op10_neardup, op13_alignment)}
 ORACLE_SQL: dict[str, str] = {}
