@@ -78,6 +78,12 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), n=4)
 
 
+def op11_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .katz import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .variants import group_variants
 
@@ -92,5 +98,5 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html, op2_mixing, op3_fingerprints, op4_linededup, op5_bpe, op6_pii, op7_quality, op8_topk, op9_toxicity, op10_neardup, op12_variants, op13_alignment)}
+QUERIES = {f.__name__: f for f in (op1_html, op2_mixing, op3_fingerprints, op4_linededup, op5_bpe, op6_pii, op7_quality, op8_topk, op9_toxicity, op10_neardup, op11_katz, op12_variants, op13_alignment)}
 ORACLE_SQL: dict[str, str] = {}
