@@ -27,7 +27,7 @@ from .common import cut, mix64, word_hashes
 SMALL, LESS = 5, 0.5
 #: Tokens that a task packs at a time, tokens of a bucket, and hot words a bucket at most. A bucket gets on average
 #: CHUNK_TOKENS * BUCKET_TOKENS / N tokens of a chunk: for very large N, both should grow with its root.
-CHUNK_TOKENS, BUCKET_TOKENS, HOT = 3_000_000, 6_000_000, 4
+CHUNK_TOKENS, BUCKET_TOKENS, HOT = 3_000_000, 3_000_000, 4
 #: Bytes of text that are hashed together.
 HASHED_BYTES = 2 << 20
 #: What stands before and after every text.
@@ -133,21 +133,23 @@ def _cells(size: int, buckets: int, hot: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tokens, counts, keys, learns in _chunks(batches, size):
-            before = np.concatenate(([START], tokens[:-1]))
-            before[np.cumsum(counts)[:-1]] = START
-            names, at = np.unique(np.concatenate((tokens, before)), return_inverse=True)
-            word, context = at[: len(tokens)], at[len(tokens) :]
-            text = np.repeat(np.arange(len(counts)), counts)
-            spread = np.isin(names, hot)[word]
-            place = mix64(names)[word]
-            place[spread] = mix64(place[spread] * np.uint64(3) + names[context[spread]])
-            bucket = (place % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((word << 32 | context, bucket))
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            names, word = np.unique(tokens, return_inverse=True)
+            del tokens
+            names, word = np.append(names, START), word.astype(np.int32)
+            context = np.concatenate((word[-1:], word[:-1]))
+            context[np.cumsum(counts) - counts] = len(names) - 1
+            text = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+            place = mix64(names)
+            bucket = (place % np.uint64(buckets)).astype(np.int32)[word]
+            spread = np.flatnonzero(np.isin(names, hot)[word])
+            bucket[spread] = mix64(place[word[spread]] * np.uint64(3) + names[context[spread]]) % np.uint64(buckets)
+            order = np.lexsort((word.astype(np.int64) << 32 | context, bucket)).astype(np.int32)
+            edges = np.cumsum(np.concatenate(([0], np.bincount(bucket, minlength=buckets))))
+            del bucket, spread
             rows = []
             for b in np.flatnonzero(np.diff(edges)):
                 own = order[edges[b] : edges[b + 1]]
-                first = np.flatnonzero(np.diff(word[own], prepend=-1))
+                first = np.flatnonzero(np.diff(word[own], prepend=np.int32(-1)))
                 contexts, context_at = np.unique(context[own], return_inverse=True)
                 texts, text_at = np.unique(text[own], return_inverse=True)
                 arrays = names[word[own][first]], np.diff(first, append=len(own)).astype(np.uint32), names[contexts], _narrow(context_at), keys[texts], _narrow(text_at), learns[texts]
@@ -193,9 +195,10 @@ def _bucket(level: Words, hot: dict[int, int]):
             contexts.append(np.frombuffer(context, np.uint64)[_wide(context_at, n)])
             texts.append(np.frombuffer(text, np.int64)[text_at])
             learn.append(np.frombuffer(learns, bool)[text_at])
-        word, context, text, learn = (np.concatenate(x) for x in (words, contexts, texts, learn))
-        order = np.lexsort((context, word))
-        word, context, text, learn = word[order], context[order], text[order], learn[order].astype(np.int64)
+        word, context = np.concatenate(words), np.concatenate(contexts)
+        order = np.lexsort((context, word)).astype(np.int32)
+        word, context, text, learn = word[order], context[order], np.concatenate(texts)[order], np.concatenate(learn)[order].astype(np.int64)
+        del words, contexts, texts, order
         new_word = np.diff(word, prepend=~word[:1]) != 0
         first_word, first = np.flatnonzero(new_word), np.flatnonzero(new_word | (np.diff(context, prepend=~context[:1]) != 0))
         of_word = np.add.reduceat(learn, first_word)
