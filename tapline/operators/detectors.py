@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tapline.functions.columns import entropy
 from tapline.operators.ladders import rank_of, reported
+from tapline.operators.sweeps import BLOCK_HORIZONS, active_spans, running_sums, trailing_distinct
 
 # Fixed values of the contract: failed connection states, and ports that amplify.
 FAILED = ("S0", "REJ", "RSTOS0", "SH")
@@ -36,25 +37,29 @@ def learned(state: tuple, x: float, alpha: float) -> tuple:
 
 
 def scans(deltas: DataFrame, scanners: DataFrame | None = None, horizon_ms: int = 30_000, hosts: int = 20, ports: int = 25) -> DataFrame:
-    """Sources that contact many hosts on a port (horizontal) or many ports of a host (vertical) within the horizon."""
+    """Sources that contact many hosts on a port (horizontal) or many ports of a host (vertical) within the horizon.
+
+    Counts come from a sweep over contacts and are exact, so no cap on pairs is needed. The share of failed attempts and
+    the ladder start over when a source made no contact for longer than the horizon.
+    """
     rows = deltas.filter("new_flow").withColumn("port_key", F.concat_ws("/", F.col("dport").cast("string"), "proto"))
     known = F.col("terminal") & (F.col("coverage") == "both_directions") & F.col("conn_state").isNotNull()
-    past = Window.partitionBy("src").orderBy("obs_ms").rangeBetween(Window.unboundedPreceding, 0)
-    failed = F.count_if(known & F.col("conn_state").isin(*FAILED)).over(past) / F.nullif(F.count_if(known).over(past), F.lit(0))
-    rows = rows.withColumn("failed", F.when(F.col("coverage") == "both_directions", failed))
-    within = lambda *by: Window.partitionBy("src", *by).orderBy("obs_ms").rangeBetween(-horizon_ms, 0)
-    kinds = [("horizontal_scan", F.size(F.collect_set("dst").over(within("port_key"))), hosts), ("vertical_scan", F.size(F.collect_set("port_key").over(within("dst"))), ports)]
+    tried = rows.join(active_spans(rows, ["src"], "obs_ms", horizon_ms), ["src", "obs_ms"]).withColumns({"known": known.cast("long"), "lost": (known & F.col("conn_state").isin(*FAILED)).cast("long")})
+    rates = running_sums(tried, ["src", "span"], "obs_ms", ["known", "lost"], BLOCK_HORIZONS * horizon_ms)
     out = None
-    for name, count, least in kinds:
-        found = rows.withColumn("amount", count.cast("double")).filter(F.col("amount") >= least).withColumn("subtype", F.lit(name)).withColumn("score", F.least(F.lit(1.0), 0.5 + 0.5 * F.col("amount") / (4 * least)))
-        found = found.withColumn("least", F.lit(least))
+    for name, keys, item, least in (("horizontal_scan", ["src", "port_key"], "dst", hosts), ("vertical_scan", ["src", "dst"], "port_key", ports)):
+        counts = trailing_distinct(rows, keys, [item], "obs_ms", horizon_ms, name="amount").filter(F.col("amount") >= least)
+        found = rows.join(counts, [*keys, "obs_ms"]).withColumn("amount", F.col("amount").cast("double"))
+        found = found.withColumns({"subtype": F.lit(name), "least": F.lit(least), "score": F.least(F.lit(1.0), 0.5 + 0.5 * F.col("amount") / (4 * least))})
         out = found if out is None else out.unionByName(found)
-    severe = (F.col("amount") >= 5 * F.col("least")) | (F.coalesce(F.col("failed"), F.lit(0.0)) >= 0.8) & (F.col("amount") >= 2 * F.col("least"))
+    out = out.join(rates, ["src", "obs_ms"])
+    failed = F.when(F.col("coverage") == "both_directions", F.col("lost") / F.nullif(F.col("known"), F.lit(0)))
+    severe = (F.col("amount") >= 5 * F.col("least")) | (F.coalesce(failed, F.lit(0.0)) >= 0.8) & (F.col("amount") >= 2 * F.col("least"))
     severity = F.when(severe, "high").otherwise("medium")
     if scanners is not None:
-        out = out.join(F.broadcast(scanners.select("src", F.lit(True).alias("allowed"))), "src", "left")
+        out = out.join(scanners.select("src", F.lit(True).alias("allowed")).distinct(), "src", "left")
         severity = F.when(F.col("allowed"), "info").otherwise(severity)
-    return _finish(out, ["src"], severity)
+    return _finish(out, ["src", "span"], severity).drop("span")
 
 
 def floods(deltas: DataFrame, flows: int = 200, volume: float = 20e6, syn: int = 100, spoofed: int = 500, amplified: float = 500e3, reflectors: int = 10) -> DataFrame:
@@ -66,10 +71,11 @@ def floods(deltas: DataFrame, flows: int = 200, volume: float = 20e6, syn: int =
     fresh, udp = F.col("new_flow"), (F.col("proto") == "udp") & F.col("sport").isin(*AMPLIFIERS)
     rows = deltas.withColumn("sec", F.expr("obs_ms div 1000")).withColumn("bytes", F.coalesce("orig_bytes", F.lit(0)) + F.coalesce("resp_bytes", F.lit(0)))
     by_source = rows.groupBy("dst", "sec", "src").agg(F.count_if(fresh).alias("flows"), F.count_if(fresh & (F.col("proto") == "tcp") & F.col("terminal") & (F.col("conn_state") == "S0")).alias("syn"), F.sum("bytes").alias("bytes"), F.max(F.col("orig_bytes").isNull() | F.col("resp_bytes").isNull()).alias("unknown"), F.sum(F.when(udp, F.col("bytes")).otherwise(0)).alias("amp"), F.count_if(udp).alias("amp_flows"))
-    seconds = by_source.groupBy("dst", "sec").agg(F.sum("flows").alias("flows"), F.sum("syn").alias("syn"), F.sum("bytes").alias("bytes"), F.max("unknown").alias("unknown"), F.sum("amp").alias("amp"), F.collect_set("src").alias("s"), F.collect_set(F.when(F.col("amp_flows") > 0, F.col("src"))).alias("r"))
+    seconds = by_source.groupBy("dst", "sec").agg(F.sum("flows").alias("flows"), F.sum("syn").alias("syn"), F.sum("bytes").alias("bytes"), F.max("unknown").alias("unknown"), F.sum("amp").alias("amp"))
     five = Window.partitionBy("dst").orderBy("sec").rangeBetween(-4, 0)
-    count = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c).over(five))))
-    rows = seconds.withColumn("srcs5", count("s")).withColumn("reflectors5", count("r")).withColumn("flows5", F.sum("flows").over(five))
+    sources = lambda found, name: trailing_distinct(found, ["dst"], ["src"], "sec", 4, seconds, name)
+    rows = seconds.withColumn("flows5", F.sum("flows").over(five))
+    rows = rows.join(sources(by_source, "srcs5"), ["dst", "sec"]).join(sources(by_source.filter("amp_flows > 0"), "reflectors5"), ["dst", "sec"])
     numbers = ["flows", "syn", "bytes", "amp", "srcs5", "reflectors5", "flows5"]
     rows = rows.select("dst", "sec", "unknown", *(F.col(c).cast("double").alias(c) for c in numbers)).repartition("dst").sortWithinPartitions("dst", "sec")
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapline.operators import detectors, names
+from tapline.plans.history import EV
 from tapline.sources.tables import events, hosts
 
-QUERIES = {}
+QUERIES, SQL = {}, {}
 
 
 def query(f):
@@ -15,22 +16,42 @@ def query(f):
     return f
 
 
-def flows(spark, d):
+def flows_of(rows, *more):
     """Users are sources, keys destinations, event types ports; errors are refused connections."""
-    rows = events(spark, d)
     kind = F.col("event_type")
     port = F.when(kind == "view", 123).when(kind == "click", 443).when(kind == "error", 502).when(kind == "purchase", 53).otherwise(80)
     ms = F.expr("ms div 3600")
     return rows.select(
-        F.col("user_id").cast("string").alias("src"), F.col("k").cast("string").alias("dst"), port.alias("dport"), port.alias("sport"), F.when(port.isin(53, 123), "udp").otherwise("tcp").alias("proto"),
+        *more, F.col("user_id").cast("string").alias("src"), F.col("k").cast("string").alias("dst"), port.alias("dport"), port.alias("sport"), F.when(port.isin(53, 123), "udp").otherwise("tcp").alias("proto"),
         ms.alias("obs_ms"), ms.alias("start_ms"), F.lit(True).alias("new_flow"), F.lit(True).alias("terminal"), F.when(kind == "error", "S0").otherwise("SF").alias("conn_state"), F.lit("both_directions").alias("coverage"),
         F.round("value").cast("long").alias("orig_bytes"), F.lit(0).cast("long").alias("resp_bytes"),
     )
 
 
+def flows(spark, d):
+    return flows_of(events(spark, d))
+
+
+FLOWS = f"""(SELECT user_id::VARCHAR AS src, k::VARCHAR AS dst, CASE event_type WHEN 'view' THEN '123/udp' WHEN 'click' THEN '443/tcp' WHEN 'error' THEN '502/tcp' WHEN 'purchase' THEN '53/udp' ELSE '80/tcp' END AS port_key,
+ ms // 3600 AS obs_ms, (event_type = 'error')::INT AS lost FROM {EV})"""
+SCANS_SQL = f"""WITH RECURSIVE g AS (SELECT *, CASE WHEN obs_ms - lag(obs_ms) OVER (PARTITION BY src ORDER BY obs_ms) <= 30000 THEN 0 ELSE 1 END AS fresh FROM {FLOWS}),
+ s AS (SELECT *, sum(fresh) OVER (PARTITION BY src ORDER BY obs_ms RANGE UNBOUNDED PRECEDING) AS span FROM g),
+ c AS (SELECT src, span, obs_ms, count(DISTINCT dst) OVER (PARTITION BY src, port_key ORDER BY obs_ms RANGE BETWEEN 30000 PRECEDING AND CURRENT ROW) AS hosts, count(DISTINCT port_key) OVER (PARTITION BY src, dst ORDER BY obs_ms RANGE BETWEEN 30000 PRECEDING AND CURRENT ROW) AS ports,
+  sum(lost) OVER (PARTITION BY src, span ORDER BY obs_ms RANGE UNBOUNDED PRECEDING)::DOUBLE / count(*) OVER (PARTITION BY src, span ORDER BY obs_ms RANGE UNBOUNDED PRECEDING) AS failed FROM s),
+ x AS (SELECT src, span, obs_ms, failed, 'horizontal_scan' AS subtype, hosts::DOUBLE AS amount, 3 AS least FROM c WHERE hosts >= 3 UNION ALL SELECT src, span, obs_ms, failed, 'vertical_scan', ports::DOUBLE, 2 FROM c WHERE ports >= 2),
+ y AS (SELECT src, span, obs_ms, subtype, amount, CASE WHEN amount >= 5 * least OR failed >= 0.8 AND amount >= 2 * least THEN 3 ELSE 2 END AS rank, round(least(1, 0.5::DOUBLE + 0.5::DOUBLE * amount / (4 * least)), 6) AS score FROM x),
+ o AS (SELECT *, row_number() OVER (PARTITION BY src, span, subtype ORDER BY obs_ms, rank DESC, amount, score) AS i FROM y),
+ r AS (SELECT *, rank AS worst, amount AS told, true AS say FROM o WHERE i = 1 UNION ALL
+  SELECT o.*, greatest(r.worst, o.rank), CASE WHEN o.rank > r.worst OR o.amount >= 2 * greatest(1, r.told) THEN o.amount ELSE r.told END, o.rank > r.worst OR o.amount >= 2 * greatest(1, r.told) FROM r JOIN o ON o.src = r.src AND o.span = r.span AND o.subtype = r.subtype AND o.i = r.i + 1)
+SELECT src, obs_ms, subtype, CASE rank WHEN 3 THEN 'high' ELSE 'medium' END AS severity, rank, amount, score FROM r WHERE say"""
+
+
 @query
 def q_detect_scans(spark, d):
-    return detectors.scans(flows(spark, d), hosts=3, ports=2)
+    return detectors.scans(flows(spark, d), hosts=3, ports=2).withColumn("score", F.round("score", 6))
+
+
+SQL["q_detect_scans"] = SCANS_SQL
 
 
 @query

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tapline.plans import detection, features, history, ladders, records, streams
 
 QUERIES = {**history.QUERIES, **detection.QUERIES, **features.QUERIES, **streams.QUERIES, **ladders.QUERIES, **records.QUERIES}
-ORACLE_SQL = {**history.SQL, **detection.SQL, **features.SQL, **streams.SQL, **records.SQL}
+ORACLE_SQL = {**history.SQL, **detection.SQL, **features.SQL, **streams.SQL, **ladders.SQL, **records.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

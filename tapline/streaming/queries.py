@@ -12,11 +12,11 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from tapline.functions.columns import micros
 from tapline.operators import incidents
-from tapline.sources.shared import shared_folder
+from tapline.sources.shared import remove_folder, shared_folder
+from tapline.streaming.stateful import rocks
 
 #: How late a row may come before it is dropped.
 LATENESS = "10 minutes"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,8 +38,10 @@ def drain(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFr
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
+    with rocks(spark):
+        query = stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+    remove_folder(spark, f"{folder}/state")
     rows = spark.read.parquet(f"{folder}/out")
     if keys:
         rest = [c for c in stream.columns if c not in keys]
@@ -81,14 +83,14 @@ class IncidentProcessor(StatefulProcessor):
         del timerValues
         idle = incidents.idle_of(key[0], self.idle)
         state = tuple(self.state.get()) if self.state.exists() else None
-        found = pd.concat(list(rows)).sort_values(["obs_ms", "window_start_ms", "rank", "subtype", "evidence"])
-        reports = []
-        for r in found.itertuples(index=False):
-            state, more = incidents.advance(state, (int(r.window_start_ms), int(r.obs_ms), int(r.rank), r.subtype, int(r.evidence)), idle, self.cooldown)
-            reports += more
+        for piece in rows:
+            reports = []
+            for r in piece.sort_values(["obs_ms", "window_start_ms", "rank", "subtype", "evidence"]).itertuples(index=False):
+                state, more = incidents.advance(state, (int(r.window_start_ms), int(r.obs_ms), int(r.rank), r.subtype, int(r.evidence)), idle, self.cooldown)
+                reports += more
+            yield self._rows(key, reports)
         self.state.update(state)
         self.handle.registerTimer(state[4] + idle)
-        yield self._rows(key, reports)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         del timerValues
@@ -104,7 +106,7 @@ class IncidentProcessor(StatefulProcessor):
 
 
 def incident_updates(findings: DataFrame, idle: int = incidents.IDLE_MS, cooldown: int = incidents.COOLDOWN_MS) -> DataFrame:
-    """Updates of incidents from a stream of findings with event time `ts`. The state store must be RocksDB (ROCKS)."""
+    """Updates of incidents, each piece of a key's findings in time order, from a stream of findings with event time `ts`. The state store must be RocksDB (`rocks`)."""
     keyed = incidents.typed(findings).groupBy(*incidents.KEYS)
     made = keyed.transformWithStateInPandas(IncidentProcessor(idle, cooldown), incidents.UPDATES, "append", "eventTime")
     return incidents.identified(made)
