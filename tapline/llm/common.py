@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import threading
 import uuid
@@ -72,6 +73,15 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that nothing refers to any more, as after a table was written.
+
+    It does so when the driver collects garbage, which it may not for long if its memory suffices.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def whole_row(docs: DataFrame) -> "F.Column":
     """All columns of `docs` as one struct, _all, so that no name of theirs meets an operator's own."""
     return F.struct(*(F.col(f"`{n.replace('`', '``')}`") for n in docs.columns)).alias("_all")

@@ -18,16 +18,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, word_hashes
+from .common import cut, mix64, release, word_hashes
 
 #: Counts up to this are discounted by Good and Turing's estimate, larger ones by a part of one occurrence.
 SMALL, LESS = 5, 0.5
 #: Tokens that a task packs at a time, tokens of a bucket, and hot words a bucket at most. A bucket gets on average
 #: CHUNK_TOKENS * BUCKET_TOKENS / N tokens of a chunk: for very large N, both should grow with its root.
-CHUNK_TOKENS, BUCKET_TOKENS, HOT = 3_000_000, 3_000_000, 4
+CHUNK_TOKENS, BUCKET_TOKENS, HOT = 1_750_000, 3_000_000, 4
 #: Bytes of text that are hashed together.
 HASHED_BYTES = 2 << 20
 #: What stands before and after every text.
@@ -152,8 +153,8 @@ def _cells(size: int, buckets: int, hot: np.ndarray):
                 first = np.flatnonzero(np.diff(word[own], prepend=np.int32(-1)))
                 contexts, context_at = np.unique(context[own], return_inverse=True)
                 texts, text_at = np.unique(text[own], return_inverse=True)
-                arrays = names[word[own][first]], np.diff(first, append=len(own)).astype(np.uint32), names[contexts], _narrow(context_at), keys[texts], _narrow(text_at), learns[texts]
-                rows.append((int(b), *(a.tobytes() for a in arrays)))
+                times = np.diff(first, append=len(own)).astype(np.uint32)
+                rows.append((int(b), _packed(names[word[own][first]]), _packed(times), _packed(names[contexts]), _places(context_at), _packed(keys[texts]), _places(text_at), _packed(learns[texts])))
                 if len(rows) >= 256:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=CELL_NAMES)
                     rows = []
@@ -163,13 +164,25 @@ def _cells(size: int, buckets: int, hot: np.ndarray):
     return run
 
 
-def _narrow(at: np.ndarray) -> np.ndarray:
-    """Positions as 16-bit numbers if they fit (then their bytes are two a position), else as 32-bit ones."""
-    return at.astype(np.uint16 if not len(at) or at.max() < 1 << 16 else np.uint32)
+def _packed(a: np.ndarray) -> bytes:
+    """An array's bytes, all first ones, all second ones and so on, compressed."""
+    return zstandard.compress(a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes(), 1)
 
 
-def _wide(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, np.uint16 if len(data) == 2 * n else np.uint32)
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(size, -1).T.tobytes(), kind)
+
+
+def _places(at: np.ndarray) -> bytes:
+    """Positions as differences, which wrap: of 16 bits if they fit (a leading 2), else of 32 (a leading 4)."""
+    kind = np.uint16 if not len(at) or at.max() < 1 << 16 else np.uint32
+    return bytes([np.dtype(kind).itemsize]) + _packed(np.diff(at.astype(kind), prepend=kind(0)))
+
+
+def _placed(data: bytes) -> np.ndarray:
+    kind = np.uint16 if data[0] == 2 else np.uint32
+    return np.cumsum(_unpacked(data[1:], kind), dtype=kind)
 
 
 #: What a bucket's task writes: bigrams (context, word, n, the word's own probability), sums for texts, and tokens that
@@ -179,22 +192,21 @@ MADE = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("n
 MADE_SQL = "kind byte, a long, b long, n long, known long, x double, y double, small array<long>"
 
 
-def _made(kind: int, size: int, **columns) -> pa.Table:
+def _made(kind: int, size: int, **columns) -> pa.RecordBatch:
     arrays = [columns.get(f.name, pa.nulls(size, f.type)) for f in MADE]
-    return pa.table([pa.array(np.full(size, kind, np.int8)), *(a if isinstance(a, pa.Array) else pa.array(a, f.type) for a, f in zip(arrays[1:], list(MADE)[1:]))], schema=MADE)
+    return pa.record_batch([pa.array(np.full(size, kind, np.int8)), *(a if isinstance(a, pa.Array) else pa.array(a, f.type) for a, f in zip(arrays[1:], list(MADE)[1:]))], schema=MADE)
 
 
 def _bucket(level: Words, hot: dict[int, int]):
-    def run(cells: pa.Table) -> pa.Table:
+    def run(cells: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, contexts, texts, learn = [], [], [], []
-        for _, word, word_n, context, context_at, text, text_at, learns in zip(*(c.to_pylist() for c in cells.columns)):
-            word_n = np.frombuffer(word_n, np.uint32)
-            n = int(word_n.sum())
-            text_at = _wide(text_at, n)
-            words.append(np.repeat(np.frombuffer(word, np.uint64), word_n))
-            contexts.append(np.frombuffer(context, np.uint64)[_wide(context_at, n)])
-            texts.append(np.frombuffer(text, np.int64)[text_at])
-            learn.append(np.frombuffer(learns, bool)[text_at])
+        for batch in cells:
+            for _, word, word_n, context, context_at, text, text_at, learns in zip(*(c.to_pylist() for c in batch.columns)):
+                at = _placed(text_at)
+                words.append(np.repeat(_unpacked(word, np.uint64), _unpacked(word_n, np.uint32)))
+                contexts.append(_unpacked(context, np.uint64)[_placed(context_at)])
+                texts.append(_unpacked(text, np.int64)[at])
+                learn.append(_unpacked(learns, bool)[at])
         word, context = np.concatenate(words), np.concatenate(contexts)
         order = np.lexsort((context, word)).astype(np.int32)
         word, context, text, learn = word[order], context[order], np.concatenate(texts)[order], np.concatenate(learn)[order].astype(np.int64)
@@ -206,17 +218,16 @@ def _bucket(level: Words, hot: dict[int, int]):
         n_word, n_gram = (np.repeat(n, np.diff(at, append=len(word))) for n, at in ((of_word, first_word), (np.add.reduceat(learn, first), first)))
         own = level.probability(n_word)
         seen = first[n_gram[first] > 0]
-        grams = _made(GRAM, len(seen), a=context[seen].view(np.int64), b=word[seen].view(np.int64), n=n_gram[seen], x=own[seen])
+        yield _made(GRAM, len(seen), a=context[seen].view(np.int64), b=word[seen].view(np.int64), n=n_gram[seen], x=own[seen])
         back = n_gram == 0
-        misses = _made(BACK, int(back.sum()), a=text[back], b=context[back].view(np.int64))
+        yield _made(BACK, int(back.sum()), a=text[back], b=context[back].view(np.int64))
         rest = np.where(back, np.log10(own), np.where(n_gram > SMALL, np.log10(np.maximum(n_gram - LESS, LESS)), 0.0))
         rest -= np.where((word != END) & (n_word > 0), np.log10(np.maximum(n_word, 1)), 0.0)
         keys, at = np.unique(text, return_inverse=True)
         total = lambda x: np.bincount(at, x, len(keys))
         small = np.stack([np.bincount(at[n_gram == r], minlength=len(keys)) for r in range(1, SMALL + 1)], 1)
         lists = pa.ListArray.from_arrays(np.arange(0, small.size + 1, SMALL, dtype=np.int32), pa.array(small.ravel()))
-        sums = _made(TEXT, len(keys), a=keys, n=np.bincount(at, minlength=len(keys)), known=total(n_word > 0).astype(np.int64), x=total(np.log10(n_word + 1.0)), y=total(rest), small=lists)
-        return pa.concat_tables([grams, sums, misses]).combine_chunks()
+        yield _made(TEXT, len(keys), a=keys, n=np.bincount(at, minlength=len(keys)), known=total(n_word > 0).astype(np.int64), x=total(np.log10(n_word + 1.0)), y=total(rest), small=lists)
 
     return run
 
@@ -241,10 +252,12 @@ def build(docs: DataFrame, learns: Column, chunk_tokens: int = CHUNK_TOKENS, buc
     hot = {r.word % (1 << 64): r.n for r in words.filter(F.col("n") > max(tokens // (HOT * buckets), 1)).collect()}
     cells = rows.mapInArrow(_cells(chunk_tokens, buckets, np.array(sorted(hot), np.uint64)), CELL)
     made = cut(cells.groupBy("bucket").applyInArrow(_bucket(level, hot), MADE_SQL), keep=True)
+    release(docs.sparkSession)
     grams = made.filter(F.col("kind") == GRAM).select(F.col("a").alias("context"), F.col("b").alias("word"), "n", F.col("x").alias("lower"))
     second = Discounts.of(_having(grams))
     left = F.col("n") - second.left(F.col("n"))
     contexts = cut(grams.groupBy("context").agg(F.sum("n").alias("n"), F.sum(left).alias("left"), F.sum("lower").alias("lower")), keep=True)
+    release(docs.sparkSession)
     weight = F.log10(F.col("left") / F.greatest(1 - F.col("lower"), F.lit(level.unseen)))
     backed = made.filter(F.col("kind") == BACK).select(F.col("a").alias("key"), F.col("b").alias("context")).join(contexts.select("context", weight.alias("w")), "context", "left")
     backed = backed.groupBy("key").agg(F.sum(F.coalesce("w", F.lit(0.0))).alias("score"))
