@@ -37,6 +37,7 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title iframe noembed noframes template".split())
 _FOREIGN = frozenset(("svg", "math"))
+_HEAD = frozenset("html base basefont bgsound link meta title noscript noframes style script template".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img ruby rt rp rb nobr math semantics annotation mrow mi mo mn ms mtext mspace msup msub msubsup mover munder munderover mfrac msqrt mroot mstyle mpadded mphantom menclose".split())
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
@@ -85,6 +86,20 @@ def _tag_end(source: str, at: int) -> int:
             at = _UNQUOTED.match(source, at).end()
 
 
+def _skipped(source: str, m: re.Match, foreign: bool) -> int:
+    """Where a comment, declaration or character data ends, as the standard has it.
+
+    '<!-->' and '<!--->' are empty comments; outside svg and math '<![CDATA[' is a comment to the next '>'.
+    """
+    if m[1] == "!--":
+        ends = [(source.find("-->", m.start() + 2), 3), (source.find("--!>", m.end()), 4)]
+        stop, size = min((e for e in ends if e[0] >= 0), default=(-1, 0))
+    else:
+        mark = "]]>" if m[1] == "![CDATA[" and foreign else ">"
+        stop, size = source.find(mark, m.end()), len(mark)
+    return stop + size if stop >= 0 else len(source)
+
+
 class Page:
     """The node arrays of a parsed page, and its text pieces: node, text, whether a block begins before it."""
 
@@ -114,6 +129,8 @@ class Page:
             if m and m.start() > last and m[1] in (None, "!", "?"):
                 m = _OPEN_RUN.search(source, m.start())
             end = m.start() if m else len(source)
+            if in_head and source[at:end].strip():
+                in_head = False
             if end > at and not in_head:
                 text = source[at:end]
                 if text.strip():
@@ -126,9 +143,7 @@ class Page:
             if not m:
                 return
             if m[1]:
-                mark = {"!--": "-->", "![CDATA[": "]]>"}.get(m[1], ">")
-                stop = source.find(mark, m.end())
-                at = stop + len(mark) if stop >= 0 else len(source)
+                at = _skipped(source, m, any(where.get(f) for f in _FOREIGN))
                 continue
             name, closing = m[3].lower(), m[2]
             rest = _SIMPLE_REST.match(source, m.end())
@@ -137,7 +152,7 @@ class Page:
             if name == "head":
                 in_head = not closing
                 continue
-            if name == "body" and not closing:
+            if name not in _HEAD and not closing:  # both tags around the head may be left out
                 in_head = False
             if name in _RAW:
                 if not closing and not attributes.endswith("/"):
@@ -147,7 +162,8 @@ class Page:
                         close = re.compile("</" + name, re.I).search(source, at)
                         found = close.start() if close else -1
                     stop = source.find(">", found) if found >= 0 else -1
-                    at = stop + 1 if stop >= 0 else len(source)
+                    if found >= 0 or name != "template":  # a template that never ends is left open
+                        at = stop + 1 if stop >= 0 else len(source)
                 continue
             if name == "br":
                 self.pieces.append((stack[-1], " ", False))
