@@ -23,7 +23,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier one, or are one edit from it, go; so do documents that lose every line."""
+    """Lines that repeat an earlier one, or are one to three edits from it by length, go; so do documents that lose all."""
     return linededup.deduped_documents(docs)
 
 
@@ -31,7 +31,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of near-duplicates (five-word shingles, 0.8) the document with the smallest doc_id stays.
 
     Rows are told apart by doc_id and text; one without doc_id stays if its group has no other. Of rows that repeat
-    both, one stays. Documents without words all stay.
+    both, any one stays, whatever its other columns, which may be of types without order. Documents without words all
+    stay, and an empty table stays empty.
     """
     names = docs.columns
     keyed = docs.select(whole_row(docs), F.xxhash64("doc_id", "text").alias("_key"))
@@ -41,7 +42,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     first = rows.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_key", "_n", "_words")).alias("x"))
     kept = cut(first.select("x._key", ((F.col("x._n") > 1) & (F.col("x._words") > 0)).alias("_several")))
     found = keyed.join(kept, "_key")
-    once = found.filter("_several").groupBy("_key").agg(F.min("_all").alias("_all"))
+    once = found.filter("_several").groupBy("_key").agg(F.any_value("_all").alias("_all"))
     return with_own(found.filter("NOT _several").select("_all").unionByName(once.select("_all")), names, [])
 
 
@@ -51,7 +52,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, token ids of each text, and their digests; null text has no tokens."""
+    """doc_id, token ids of each text, and their digests; null text has no tokens, repeated rows are encoded each."""
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
 
 
