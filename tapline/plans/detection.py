@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tapline.functions import columns as fn
-from tapline.operators import detect
+from tapline.operators import detect, sweeps
 from tapline.operators import tables as ops
 from tapline.operators.flows import flow_deltas
 from tapline.plans.history import EV
@@ -82,6 +82,20 @@ def q_scan_trailing_distinct(spark, d):
     return rows.select("event_id", F.size(F.collect_set("k").over(detect.trailing(["user_id"], "ms", 21_600_000))).cast("long").alias("peers"))
 
 
+@query(f"SELECT DISTINCT user_id, ms, count(DISTINCT k) OVER (PARTITION BY user_id ORDER BY ms RANGE BETWEEN 21600000 PRECEDING AND CURRENT ROW) AS peers FROM {EV}")
+def q_contact_sweep(spark, d):
+    """The same counts at each time, without arrays: contact intervals, summed."""
+    return sweeps.trailing_distinct(events(spark, d), ["user_id"], ["k"], "ms", 21_600_000, name="peers")
+
+
+@query(f"SELECT DISTINCT k, hour, ms, count(*) OVER w AS flows, sum((event_type = 'error')::INT) OVER w AS failed FROM {EV} WINDOW w AS (PARTITION BY k, hour ORDER BY ms RANGE UNBOUNDED PRECEDING)")
+def q_flood_running_totals(spark, d):
+    """Totals of a destination's hour so far, at every flow: what a flood is judged by before its second has closed."""
+    rows = events(spark, d)
+    totals = sweeps.running_sums(rows.withColumns({"flows": F.lit(1).cast("long"), "failed": (F.col("event_type") == "error").cast("long")}), ["k", "hour"], "ms", ["flows", "failed"], 600_000)
+    return totals.select("k", "hour", "ms", "flows", "failed")
+
+
 @query("SELECT user_id, count(*) FILTER (event_type = 'error') AS failed, count(*) AS known, round(count(*) FILTER (event_type = 'error') / count(*)::DOUBLE, 6) AS ratio FROM events GROUP BY user_id")
 def q_failed_ratio(spark, d):
     rows = table(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("failed"), F.count("*").alias("known"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tapline.operators import records
+from tapline.functions.columns import uuid5
+from tapline.operators import records, sketches
 from tapline.plans.history import EV
+from tapline.sources import contract
 from tapline.sources.tables import events
 
 QUERIES, SQL = {}, {}
@@ -46,3 +48,53 @@ def q_last_evidence(spark, d):
     rows = events(spark, d).filter("event_type = 'error'").withColumn("rn", newest).filter("rn <= 8")
     ids = rows.groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("ids"))
     return ids.select("user_id", F.array_join(records.last_ids(F.col("ids"), 8).cast("array<string>"), ",").alias("ids"))
+
+
+SENSOR, BOOT = "sensor-1", "0b1d6c52-3f1e-4e6b-9c84-2a7f6d1c9e01"
+
+
+def envelopes(rows):
+    """Events as connection envelopes, one in fifteen of each kind of fault; fault 0 is none."""
+    fault = F.pmod("event_id", F.lit(15))
+    is_ = lambda *kinds: fault.isin(*kinds)
+    either = lambda kind, wrong, right: F.when(is_(kind), wrong).otherwise(right)
+    line = F.concat(F.lit('{"props":'), "props", F.lit("}"))
+    digest = either(10, F.sha2(F.lit("other"), 256), F.sha2(line, 256))
+    named = uuid5("event", F.lit(SENSOR), F.lit(BOOT), F.col("event_id"), digest)
+    time, none = F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), F.lit(None).cast("string")
+    payload = F.struct(
+        F.concat(F.lit("C"), "user_id").alias("uid"), F.lit("10.1.0.4").alias("src_ip"), either(13, F.lit(70000), F.lit(50000)).alias("src_port"), F.lit("192.0.2.9").alias("dst_ip"), F.lit(443).alias("dst_port"), F.lit("tcp").alias("proto"),
+        none.alias("service"), F.lit(1.5).alias("duration_s"), *(F.col("k").alias(c) for c in ("orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts", "orig_ip_bytes", "resp_ip_bytes", "missed_bytes")),
+        F.lit("SF").alias("conn_state"), F.lit("ShAF").alias("history"), F.lit(True).alias("local_orig"), F.lit(False).alias("local_resp"),
+    )
+    known = F.when(~is_(5), F.create_map(F.lit("service"), F.lit("UNKNOWN"))).otherwise(F.from_json(F.lit("{}"), "map<string,string>"))
+    marks = F.when(is_(6, 14), F.map_concat(known, F.create_map(F.lit("orig_bytes"), F.lit("MISSING")))).when(is_(7), F.map_concat(known, F.create_map(F.lit("bogus"), F.lit("MISSING")))).otherwise(known)
+    record = F.struct(
+        either(1, F.lit("2.0.0"), F.lit("1.0.0")).alias("event_schema_version"), either(11, F.lit(BOOT), named).alias("event_id"), either(2, F.lit("Sensor-1"), F.lit(SENSOR)).alias("sensor_id"), F.lit(BOOT).alias("sensor_boot_id"),
+        either(3, F.lit(-1).cast("long"), F.col("event_id")).alias("sequence"), none.alias("replay_run_id"), F.lit(0).alias("replay_time_offset_us"), F.lit("conn").alias("log_type"), either(4, F.lit("2026-01-02T03:04:05+05:30"), time).alias("event_time"),
+        time.alias("sensor_emitted_at"), time.alias("receiver_received_at"), F.lit("passive_live").alias("capture_mode"), F.lit("both_directions").alias("observation_coverage"), digest.alias("original_record_sha256"),
+        F.when(~is_(9, 14), line).alias("original_record"), F.lit(False).alias("original_record_truncated"), marks.alias("availability"), either(8, F.create_map(F.lit("query"), F.lit("why")), F.from_json(F.lit("{}"), "map<string,string>")).alias("availability_reasons"), payload.alias("payload"),
+    )
+    return rows.select("event_id", either(12, F.lit("not json"), F.to_json(record, {"ignoreNullFields": "false"})).alias("value"))
+
+
+@query("""SELECT event_id, codes, CASE WHEN codes = '' THEN NULL WHEN codes IN ('json_parse_error', 'unsupported_schema_version') THEN codes WHEN codes IN ('schema', 'digest_mismatch', 'event_id_mismatch') THEN 'schema_violation' ELSE 'availability_violation' END AS reason FROM (
+ SELECT event_id, CASE event_id % 15 WHEN 1 THEN 'unsupported_schema_version' WHEN 2 THEN 'schema' WHEN 3 THEN 'schema' WHEN 4 THEN 'schema' WHEN 5 THEN 'availability_null' WHEN 6 THEN 'availability_on_value' WHEN 7 THEN 'availability_unknown_field' WHEN 8 THEN 'reason_without_availability'
+ WHEN 9 THEN 'original_record_null' WHEN 10 THEN 'digest_mismatch' WHEN 11 THEN 'event_id_mismatch' WHEN 12 THEN 'json_parse_error' WHEN 13 THEN 'schema' WHEN 14 THEN 'availability_on_value,original_record_null' ELSE '' END AS codes FROM events)""")
+def q_receiver_validation(spark, d):
+    checked = contract.validated(envelopes(events(spark, d)))
+    return checked.select("event_id", F.array_join("codes", ",").alias("codes"), "reason")
+
+
+@query(f"SELECT user_id, count(DISTINCT k) AS peers FROM {EV} GROUP BY user_id")
+def q_adaptive_distinct(spark, d):
+    """Sketches of days, merged by user: a user meets fewer peers than a sketch keeps, so the counts are exact."""
+    days = sketches.distinct_sketch(events(spark, d), ["user_id", "day"], F.col("k"))
+    return sketches.merged(days, ["user_id"]).select("user_id", sketches.count_of(F.col("sketch")).alias("peers"))
+
+
+@query(f"SELECT k, hour, (SELECT count(DISTINCT x.user_id) FROM {EV} x WHERE x.k = g.k AND x.hour BETWEEN g.hour - 4 AND g.hour) AS srcs5 FROM (SELECT DISTINCT k, hour FROM {EV}) g")
+def q_sketch_trailing(spark, d):
+    """Sources of the last five hours at each hour of a destination, from sketches of hours."""
+    hours = sketches.distinct_sketch(events(spark, d), ["k", "hour"], F.col("user_id"))
+    return sketches.trailing(hours, ["k"], "hour", 5).select("k", "hour", sketches.count_of(F.col("sketch")).alias("srcs5"))
