@@ -196,6 +196,18 @@ def dns_tunnels(queries: DataFrame, window_ms: int = 60_000, unique: int = 30, m
     return _finish(found.withColumn("score", score), keys, F.when((F.col("n") >= 150) | (F.col("bytes") >= 20_000), "high").otherwise("medium"), doubling=False)
 
 
+def generated_domains(queries: DataFrame, window_ms: int = 60_000) -> DataFrame:
+    """Sources that ask for a domain whose name the model takes for generated, more severe if it doesn't exist.
+
+    `queries` has registrable, p, generated (from the model's threshold on; without a model nothing is) and nx. A
+    domain is told again within a minute only if it gets more severe.
+    """
+    keys = ["src", "registrable", "minute"]
+    found = queries.filter("registrable IS NOT NULL AND generated").withColumn("minute", F.expr(f"obs_ms div {window_ms}"))
+    found = found.withColumns({"amount": F.lit(1.0), "subtype": F.lit("dga_domain"), "score": F.col("p")})
+    return _finish(found, keys, F.when(F.coalesce("nx", F.lit(False)), "medium").otherwise("low"), doubling=False)
+
+
 def name_bursts(queries: DataFrame, window_ms: int = 60_000, names: int = 10, alike: int = 5) -> DataFrame:
     """Sources with many unknown domains in a minute, enough of which look generated; once per minute, when it is so.
 

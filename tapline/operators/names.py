@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapline.functions import columns as fn
-from tapline.operators.tables import nearest_rank
 
 #: Hashed letter pairs of a label.
 BUCKETS = 32
@@ -34,9 +33,3 @@ def score(rows: DataFrame, model: LogisticRegressionModel) -> DataFrame:
     """The rows with p, the probability that their label is generated."""
     made = model.transform(rows.withColumn("features", array_to_vector(features(F.col("label")))))
     return made.withColumn("p", F.element_at(vector_to_array("probability"), 2)).drop("features", "rawPrediction", "probability", "prediction")
-
-
-def threshold(benign: DataFrame, share: float = 0.99) -> float:
-    """The score that `share` of benign names stay below, between a half and 0.99."""
-    row = nearest_rank(benign, "p", [share], 0.01).first()
-    return min(0.99, max(0.5, row["value"] if row else 0.5))

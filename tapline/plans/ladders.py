@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tapline.operators import detectors, names
+from tapline.functions import columns as fn
+from tapline.operators import detectors, lexical, names
 from tapline.plans.history import EV
 from tapline.sources.tables import events, hosts
 
@@ -79,3 +80,33 @@ def q_name_classifier(spark, d):
     one, other = (both.filter(F.col("half") == k) for k in (0, 1))
     scored = names.score(one, names.train(other)).unionByName(names.score(other, names.train(one)))
     return scored.select("page_id", "generated", F.round("p", 4).alias("p"))
+
+
+_LABELS = "SELECT page_id, split_part(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), '.', 1) AS label FROM pages"
+SQL["q_label_likelihood"] = f"""WITH l AS (SELECT page_id, label, '^' || regexp_replace(label, '[^a-z0-9-]', '?', 'g') || '$' AS framed FROM ({_LABELS}) WHERE label <> ''),
+ g AS (SELECT page_id, substr(framed, i::INT, 1) AS a, substr(framed, i::INT, 2) AS pair FROM l, unnest(range(1, length(framed))) AS r(i)),
+ n AS (SELECT pair, a, count(*) AS n FROM g GROUP BY ALL), t AS (SELECT a, sum(n) AS total FROM n GROUP BY a)
+SELECT page_id, round(avg(ln((n + 1.0::DOUBLE) / (total + 40))), 6) AS likelihood FROM g JOIN n USING (pair) JOIN t ON t.a = g.a GROUP BY page_id"""
+
+
+@query
+def q_label_likelihood(spark, d):
+    """How likely each host's label is under the transitions of all labels."""
+    rows = hosts(spark, d).filter("label <> ''")
+    return rows.select("page_id", F.round(lexical.log_probability(F.col("label"), lexical.transition_table(rows)), 6).alias("likelihood"))
+
+
+@query
+def q_lexical_scores(spark, d):
+    """Hosts and names made from digests: each half of the pages is scored by the Newton model of the other half."""
+    rows = hosts(spark, d).filter("label <> ''").withColumn("half", F.pmod(F.xxhash64("page_id", "host"), F.lit(2)))
+    made = rows.select("page_id", "half", F.concat(F.substring(F.sha2("host", 256), 1, 14), F.lit(".com")).alias("name"), F.lit(1).alias("generated"))
+    both = rows.select("page_id", "half", F.col("host").alias("name"), F.lit(0).alias("generated")).unionByName(made)
+    out = None
+    for half in (0, 1):
+        taught = both.filter(F.col("half") != half)
+        table = lexical.transition_table(taught.filter("generated = 0").select(fn.second_label(F.col("name")).alias("label")))
+        model = lexical.fit(taught.select(lexical.vector(F.col("name"), table).alias("x"), F.col("generated").alias("y")), table)
+        scored = lexical.guarded(both.filter(F.col("half") == half).withColumn("x", lexical.vector(F.col("name"), table)), model)
+        out = scored if out is None else out.unionByName(scored)
+    return out.select("page_id", "generated", F.round("p", 4).alias("p"), "reason")
