@@ -35,7 +35,7 @@ LEXICON_WORDS = 50_000
 #: Occurrences from which a chunk can count as frequent.
 FEWEST = 4
 #: Entries of a worker's memo before it is emptied.
-MEMO_WORDS = 800_000
+MEMO_WORDS = 250_000
 #: Bytes from which on a word is merged by itself, with a heap; words that are merged side by side.
 LONG_WORD, SIDE_BY_SIDE = 96, 16_384
 #: The table of pairs has 2 to this many slots.
