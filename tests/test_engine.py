@@ -123,7 +123,8 @@ def test_normaliser(spark):
     assert len(both) == 1 and both[0].event_us == 1788256800123457
     assert both[0].payload.orig_bytes == 0 and "orig_bytes" not in both[0].availability
     assert both[0].payload.src_port is None and both[0].availability["src_port"] == "UNKNOWN" and both[0].availability_reasons["src_port"] == "value_out_of_contract"
-    assert both[0].availability["service"] == "MISSING"
+    assert both[0].availability["service"] == "UNKNOWN" and both[0].availability_reasons["service"] == "no_protocol_identified"
+    assert both[0].availability["history"] == "MISSING"
     half = normalised(rows, CONN, "s", "b", "originator_only").first()
     assert half.payload.resp_bytes is None and half.availability["resp_bytes"] == "UNKNOWN" and half.payload.orig_bytes == 0
     assert normalised(rows, DNS, "s", "b").first().availability["query"] == "MISSING"
