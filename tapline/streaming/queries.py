@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -19,11 +20,11 @@ from tapline.streaming.stateful import rocks
 LATENESS = "10 minutes"
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream with event time `ts`, late by LATENESS at most."""
+def event_stream(spark: SparkSession, sf_dir: str, lateness: str = LATENESS) -> DataFrame:
+    """The events table as a stream with event time `ts`, late by `lateness` at most."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return rows.withColumn("ts", F.timestamp_micros(micros("ts"))).withWatermark("ts", LATENESS)
+    return rows.withColumn("ts", F.timestamp_micros(micros("ts"))).withWatermark("ts", lateness)
 
 
 def drain(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
@@ -50,6 +51,38 @@ def drain(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFr
     return rows.drop("batch")
 
 
+def split_late(stream: DataFrame, at: str, delay_ms: int) -> tuple[DataFrame, DataFrame]:
+    """Drain a stream into two outputs: the rows in time, and those that stateful operators would drop unseen.
+
+    `at` is event time in ms. A row is late if it isn't past the watermark of the batches before its own: their newest
+    time less `delay_ms`. The watermark that a batch is judged by is written before its rows, so a batch that is repeated
+    after a failure is split as before; each row is in exactly one output. Rows without a time are in time.
+    """
+    spark = stream.sparkSession
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    marks = "batch long, newest long"
+
+    def newest(before: int) -> int | None:
+        try:
+            return spark.read.schema(marks).parquet(f"{folder}/marks").filter(F.col("batch") < before).agg(F.max("newest")).first()[0]
+        except AnalysisException:  # no batch has ended yet
+            return None
+
+    def save(batch: DataFrame, number: int) -> None:
+        last = newest(number)
+        late = F.lit(False) if last is None else F.coalesce(F.col(at) <= last - delay_ms, F.lit(False))
+        batch.withColumn("late", late).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        top = batch.agg(F.max(at)).first()[0]
+        if top is not None:
+            spark.createDataFrame([(number, top)], marks).coalesce(1).write.mode("overwrite").parquet(f"{folder}/marks/of={number}")
+
+    query = stream.writeStream.foreachBatch(save).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    remove_folder(spark, f"{folder}/state")
+    rows = spark.read.parquet(f"{folder}/out").drop("batch")
+    return rows.filter("NOT late").drop("late"), rows.filter("late").drop("late")
+
+
 def tumbling_counts(events: DataFrame, width: str = "1 day") -> DataFrame:
     counts = events.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.max("value").alias("largest"))
     return counts.select(F.expr("unix_micros(w.start) div 1000000").alias("start_s"), "event_type", "n", "largest")

@@ -113,3 +113,16 @@ def test_trailing_distinct(spark, horizon, block):
 def test_running_sums(spark):
     frame = spark.createDataFrame([("a", 1, 5), ("a", 1, None), ("a", 9, 2), ("b", -3, 1)], "k string, at long, v long")
     assert {(x.k, x.at): x.v for x in sweeps.running_sums(frame, ["k"], "at", ["v"], 4).collect()} == {("a", 1): 5, ("a", 9): 7, ("b", -3): 1}
+
+
+def test_late_rows(spark, tmp_path):
+    rows = [("a", 1, 10_000), ("a", 2, 30_000), ("a", 3, 27_500), ("b", 4, 28_001), ("b", 5, None), ("a", 6, 60_000), ("a", 7, 29_000), ("a", 8, 58_000), ("a", 9, 58_001), ("a", 10, 1)]
+    stream = in_batches(spark, tmp_path, rows, "k string, id long, ms long", 5)
+    kept, late = streams.split_late(stream, "ms", 2000)
+    ids = lambda frame: sorted(r.id for r in frame.collect())
+    assert ids(late) == [3, 7, 8, 10] and ids(kept) == [1, 2, 4, 5, 6, 9] and kept.columns == late.columns == stream.columns
+
+
+def test_nothing_is_late_in_one_batch(spark, tmp_path):
+    kept, late = streams.split_late(in_batches(spark, tmp_path, [("a", i, 1000 * (9 - i)) for i in range(9)], "k string, id long, ms long", 1), "ms", 0)
+    assert kept.count() == 9 and late.count() == 0
