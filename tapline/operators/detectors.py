@@ -22,9 +22,9 @@ FAILED = ("S0", "REJ", "RSTOS0", "SH")
 AMPLIFIERS = (19, 53, 111, 123, 137, 161, 389, 1900, 3702, 5353, 11211)
 
 
-def _finish(rows: DataFrame, keys: list[str], severity: Column, **ladder) -> DataFrame:
+def _finish(rows: DataFrame, keys: list[str], severity: Column, evidence: tuple[str, ...] = (), **ladder) -> DataFrame:
     found = rows.withColumn("severity", severity).withColumn("rank", rank_of(F.col("severity")))
-    return reported(found.select(*keys, "obs_ms", "subtype", "severity", "rank", "amount", "score"), [*keys, "subtype"], "obs_ms", **ladder)
+    return reported(found.select(*keys, "obs_ms", "subtype", "severity", "rank", "amount", "score", *evidence), [*keys, "subtype"], "obs_ms", **ladder)
 
 
 def learned(state: tuple, x: float, alpha: float) -> tuple:
@@ -117,13 +117,17 @@ def _median(values: Column) -> Column:
 
 
 def beacons(deltas: DataFrame, local: Column, periodic: DataFrame | None = None, least: int = 8, most: int = 64, interval_ms: int = 5_000, variation: float = 0.15) -> DataFrame:
-    """Pairs that connect at even intervals over their last starts; known periodic pairs are left out."""
+    """Pairs that connect at even intervals over their last starts; known periodic pairs are left out.
+
+    size_cv says how much the bytes sent by the finished ones vary, if at least four of these starts have them.
+    """
     keys = ["src", "dst", "dport", "proto"]
-    starts = deltas.filter("new_flow").groupBy(*keys, "start_ms").agg(F.min("obs_ms").alias("obs_ms"))
+    sent = F.min_by(F.when(F.col("terminal"), F.col("orig_bytes")), "obs_ms")
+    starts = deltas.filter("new_flow").groupBy(*keys, "start_ms").agg(F.min("obs_ms").alias("obs_ms"), sent.alias("sent"))
     if periodic is not None:
-        starts = starts.join(F.broadcast(periodic.select(*keys)), keys, "left_anti")
-    order = Window.partitionBy(*keys).orderBy("start_ms")
-    rows = starts.withColumn("times", F.collect_list("start_ms").over(order.rowsBetween(-(most - 1), 0))).filter(F.size("times") >= least)
+        starts = starts.join(periodic.select(*keys), keys, "left_anti")
+    last = Window.partitionBy(*keys).orderBy("start_ms").rowsBetween(-(most - 1), 0)
+    rows = starts.withColumns({"times": F.collect_list("start_ms").over(last), "sizes": F.collect_list(F.col("sent").cast("double")).over(last)}).filter(F.size("times") >= least)
     steps = F.zip_with(F.slice("times", 2, most), F.slice("times", 1, F.size("times") - 1), lambda b, a: (b - a).cast("double"))
     rows = rows.withColumn("iats", steps)
     rows = rows.withColumn("middle", _median(F.col("iats"))).filter(F.col("middle") >= interval_ms)
@@ -132,11 +136,16 @@ def beacons(deltas: DataFrame, local: Column, periodic: DataFrame | None = None,
     rows = rows.filter((F.col("cv") <= variation) & (F.element_at("times", -1) - F.element_at("times", 1) >= 3 * F.col("middle")))
     severity = F.when(~local & (F.col("cv") <= 0.05) & (F.col("amount") >= 16), "high").when(~local, "medium").otherwise("low")
     score = 0.6 * F.greatest(F.lit(0.0), 1 - F.col("cv") / variation) + 0.4 * F.least(F.lit(1.0), F.col("amount") / 32)
-    return _finish(rows.withColumn("subtype", F.lit("periodic_beacon")).withColumn("score", score), keys, severity)
+    rows = rows.withColumn("usual", _median(F.col("sizes")))
+    apart = _median(F.transform("sizes", lambda x: F.abs(x - F.col("usual"))))
+    rows = rows.withColumn("size_cv", F.when((F.size("sizes") >= 4) & (F.col("usual") > 0), 1.4826 * apart / F.col("usual")))
+    return _finish(rows.withColumn("subtype", F.lit("periodic_beacon")).withColumn("score", score), keys, severity, ("size_cv",))
 
 
 def uploads(deltas: DataFrame, window_ms: int = 30_000, volume: float = 10e6, span_ms: int = 15_000, records: int = 3) -> DataFrame:
-    """Sources whose bytes out over the trailing window are large and sustained; a null counter poisons the ratio only.
+    """Sources whose bytes out over the trailing window are large and sustained, with the ratio of bytes out to bytes in.
+
+    The ratio is null if a record of the window has no known bytes in, or didn't see both directions, or there were none.
 
     The volume rises to ten times the exponentially weighted mean of the source's earlier windows of the clock that had
     data and nothing to report, once there are six.
@@ -147,7 +156,9 @@ def uploads(deltas: DataFrame, window_ms: int = 30_000, volume: float = 10e6, sp
     w = Window.partitionBy("src").orderBy("obs_ms").rangeBetween(-window_ms, 0)
     rows = rows.withColumn("amount", F.sum("orig_bytes").over(w).cast("double")).withColumn("span", F.col("obs_ms") - F.min("obs_ms").over(w)).withColumn("n", F.count("*").over(w))
     first = F.min("obs_ms").over(Window.partitionBy("src", "dst")) == F.col("obs_ms")
-    rows = rows.withColumn("new_dst", first).select("src", "obs_ms", F.col("orig_bytes").cast("double").alias("sent"), "amount", "span", "n", "new_dst")
+    back = F.when(F.col("coverage") == "both_directions", F.col("resp_bytes"))
+    got = F.when(F.count_if(back.isNull()).over(w) == 0, F.sum(back).over(w))
+    rows = rows.withColumns({"new_dst": first, "ratio": F.col("amount") / F.nullif(got, F.lit(0))}).select("src", "obs_ms", F.col("orig_bytes").cast("double").alias("sent"), "amount", "span", "n", "new_dst", "ratio")
     rows = rows.repartition("src").sortWithinPartitions("src", "obs_ms", "sent", "new_dst")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -164,11 +175,11 @@ def uploads(deltas: DataFrame, window_ms: int = 30_000, volume: float = 10e6, sp
                 limit = max(float(volume), 10 * base[1]) if base[0] >= 6 else float(volume)
                 if r.amount >= limit and r.span >= span_ms and r.n >= records:
                     odd = True
-                    out.append((r.src, r.obs_ms, r.amount, r.amount >= 5 * limit or r.new_dst and r.amount >= 2 * limit, min(1.0, 0.5 + 0.1 * r.amount / limit)))
-            yield pd.DataFrame(out, columns=["src", "obs_ms", "amount", "severe", "score"])
+                    out.append((r.src, r.obs_ms, r.amount, r.amount >= 5 * limit or r.new_dst and r.amount >= 2 * limit, min(1.0, 0.5 + 0.1 * r.amount / limit), None if pd.isna(r.ratio) else r.ratio))
+            yield pd.DataFrame(out, columns=["src", "obs_ms", "amount", "severe", "score", "ratio"])
 
-    rows = rows.mapInPandas(run, "src string, obs_ms long, amount double, severe boolean, score double")
-    return _finish(rows.withColumn("subtype", F.lit("sustained_upload")), ["src"], F.when(F.col("severe"), "high").otherwise("medium"))
+    rows = rows.mapInPandas(run, "src string, obs_ms long, amount double, severe boolean, score double, ratio double")
+    return _finish(rows.withColumn("subtype", F.lit("sustained_upload")), ["src"], F.when(F.col("severe"), "high").otherwise("medium"), ("ratio",))
 
 
 def tls_metadata(sessions: DataFrame, external: Column, min_score: float = 0.6, positives: int = 2, least: int = 3) -> DataFrame:

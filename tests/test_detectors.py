@@ -72,3 +72,16 @@ def test_dns(spark):
     assert [(x.src, x.registrable, x.amount, x.severity) for x in got] == [("10.10.1.50", "exfil-example.org", 30.0, "medium")]
     burst = spark.createDataFrame([("h", label(16) + ".com", "", T0 + 300 * i, i % 2 == 0) for i in range(20)] + [("q", "one.com", "", T0 + i, True) for i in range(30)], "src string, registrable string, sub string, obs_ms long, looks_generated boolean")
     assert [(x.src, x.amount, x.score) for x in detectors.name_bursts(burst).collect()] == [("h", 10.0, 0.5)]
+
+
+def test_evidence(spark):
+    """The ratio of bytes out to bytes in, and how much a beacon's sizes vary."""
+    known = [flow(5_000 * i, "a", "x", 443, out=8_000_000, back=1_000_000) for i in range(6)]
+    silent = [flow(5_000 * i, "b", "x", 443, out=8_000_000, back=0) for i in range(6)]
+    unseen = [(*flow(5_000 * i, "c", "x", 443, out=8_000_000, back=9)[:10], "originator_only" if i == 1 else "both_directions", 8_000_000, 9) for i in range(6)]
+    got = run(spark, known + silent + unseen, detectors.uploads)
+    assert {(x.src, x.ratio) for x in got} == {("a", 8.0), ("b", None), ("c", None)}
+    even = [flow(60_000 * i, "a", "x", 443, out=100 + 10 * (i % 2)) for i in range(10)]
+    few = [(*flow(60_000 * i, "b", "x", 443)[:8], i < 3, *flow(0, "b", "x", 443)[9:]) for i in range(10)]
+    got = {(x.src, x.amount): x.size_cv for x in run(spark, even + few, detectors.beacons, F.lit(False))}
+    assert abs(got["a", 8.0] - 1.4826 * 5 / 105) < 1e-9 and got["b", 8.0] is None
