@@ -71,6 +71,7 @@ def observed(rows):
     return rows.select("ts", "user_id", "event_type", "event_id", "ms", "k", "value", (F.col("k") >= 95).alias("terminal"))
 
 
+EVER_MS = 10**15
 FLOW, ARRIVAL = ["user_id", "event_type"], ["ms", "event_id"]
 PAST = "(PARTITION BY user_id, event_type ORDER BY ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 FLOW_DELTAS = f"""WITH e AS (SELECT user_id, event_type, event_id, ms, k, value, k >= 95 AS terminal FROM {EV}),
@@ -88,9 +89,10 @@ def q_terminal_deltas(spark, d):
 
 @query(FLOW_DELTAS)
 def q_stream_flow_delta(spark, d):
-    """The same deltas from state, as snapshots come."""
+    """The same deltas from state, as snapshots come; flows are remembered to the end, as the batch operator does."""
     rows = observed(streams.event_stream(spark, d))
-    return streams.drain(stateful.flow_deltas(rows, FLOW, "k", ARRIVAL, ["value"], "terminal", "ms"), "append").select(*DELTA_COLUMNS)
+    made = stateful.flow_deltas(rows, FLOW, "k", ARRIVAL, ["value"], "terminal", "ms", EVER_MS, EVER_MS)
+    return streams.drain(made, "append").select(*DELTA_COLUMNS)
 
 
 @query(SCANS_SQL)
