@@ -29,8 +29,9 @@ SMALL, LESS = 5, 0.5
 #: Tokens that a task packs at a time, tokens of a bucket, and hot words a bucket at most. A bucket gets on average
 #: CHUNK_TOKENS * BUCKET_TOKENS / N tokens of a chunk: for very large N, both should grow with its root.
 CHUNK_TOKENS, BUCKET_TOKENS, HOT = 1_750_000, 3_000_000, 4
-#: Bytes of text that are hashed together.
-HASHED_BYTES = 2 << 20
+#: Bytes of text that are hashed together, rows of text that are taken from Arrow at a time, and rows and bytes of a
+#: batch that a task hands back: Python and the JVM hold a few batches at once.
+HASHED_BYTES, TAKEN, BATCH_ROWS, BATCH_BYTES = 1 << 19, 512, 1 << 16, 4 << 20
 #: What stands before and after every text.
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 
@@ -103,8 +104,8 @@ def _hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Token hashes, token counts, keys and learns flags of rows (key, learns, text), about `size` tokens at a time."""
     keys, learns, texts, held = [], [], [], 0
-    for batch in batches:
-        for key, flag, text in zip(*(c.to_pylist() for c in batch.columns)):
+    for part in (batch.slice(at, TAKEN) for batch in batches for at in range(0, batch.num_rows, TAKEN)):
+        for key, flag, text in zip(*(c.to_pylist() for c in part.columns)):
             keys.append(key)
             learns.append(flag)
             texts.append(b"" if text is None else text.encode("utf-8", "surrogatepass"))
@@ -147,7 +148,7 @@ def _cells(size: int, buckets: int, hot: np.ndarray):
             order = np.lexsort((word.astype(np.int64) << 32 | context, bucket)).astype(np.int32)
             edges = np.cumsum(np.concatenate(([0], np.bincount(bucket, minlength=buckets))))
             del bucket, spread
-            rows = []
+            rows, held = [], 0
             for b in np.flatnonzero(np.diff(edges)):
                 own = order[edges[b] : edges[b + 1]]
                 first = np.flatnonzero(np.diff(word[own], prepend=np.int32(-1)))
@@ -155,9 +156,10 @@ def _cells(size: int, buckets: int, hot: np.ndarray):
                 texts, text_at = np.unique(text[own], return_inverse=True)
                 times = np.diff(first, append=len(own)).astype(np.uint32)
                 rows.append((int(b), _packed(names[word[own][first]]), _packed(times), _packed(names[contexts]), _places(context_at), _packed(keys[texts]), _places(text_at), _packed(learns[texts])))
-                if len(rows) >= 256:
+                held += sum(map(len, rows[-1][1:]))
+                if held >= BATCH_BYTES or len(rows) >= 256:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=CELL_NAMES)
-                    rows = []
+                    rows, held = [], 0
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=CELL_NAMES)
 
@@ -197,37 +199,72 @@ def _made(kind: int, size: int, **columns) -> pa.RecordBatch:
     return pa.record_batch([pa.array(np.full(size, kind, np.int8)), *(a if isinstance(a, pa.Array) else pa.array(a, f.type) for a, f in zip(arrays[1:], list(MADE)[1:]))], schema=MADE)
 
 
+def _pieces(at: np.ndarray) -> Iterator[np.ndarray]:
+    """Positions, BATCH_ROWS at a time."""
+    return (at[i : i + BATCH_ROWS] for i in range(0, len(at), BATCH_ROWS))
+
+
+def _occurrences(cells: Iterator[pa.RecordBatch]):
+    """A bucket's words and contexts, keys and learns flags of its texts, then of its occurrences in order of word and
+    context the pair (numbers of word and context, 32 bits each) and the text's number."""
+    names, times, contexts, context, keys, learns, text = ([] for _ in range(7))
+    n_contexts = n_texts = 0
+    for batch in cells:
+        for _, word, word_n, seen, seen_at, own, own_at, flags in zip(*(c.to_pylist() for c in batch.columns)):
+            names.append(_unpacked(word, np.uint64))
+            times.append(_unpacked(word_n, np.uint32))
+            contexts.append(_unpacked(seen, np.uint64))
+            context.append(_placed(seen_at).astype(np.int32) + np.int32(n_contexts))
+            keys.append(_unpacked(own, np.int64))
+            learns.append(_unpacked(flags, bool))
+            text.append(_placed(own_at).astype(np.int32) + np.int32(n_texts))
+            n_contexts, n_texts = n_contexts + len(contexts[-1]), n_texts + len(keys[-1])
+    words, at = np.unique(np.concatenate(names), return_inverse=True)
+    pair = np.repeat(at << 32, np.concatenate(times))
+    contexts, at = np.unique(np.concatenate(contexts), return_inverse=True)
+    pair |= at[np.concatenate(context)]
+    del names, times, context, at
+    order = np.argsort(pair)
+    pair = pair[order]
+    text = np.concatenate(text)[order]
+    return words, contexts, np.concatenate(keys), np.concatenate(learns), pair, text
+
+
 def _bucket(level: Words, hot: dict[int, int]):
+    """Counts and sums of a bucket. What holds for an occurrence holds for all of its bigram, and is spread to texts
+    one measure after another: texts have a row for each chunk that they are in."""
+    hot_words = np.array(sorted(hot), np.uint64)
+    hot_n = np.array([hot[w] for w in sorted(hot)], np.int64)
+
     def run(cells: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, contexts, texts, learn = [], [], [], []
-        for batch in cells:
-            for _, word, word_n, context, context_at, text, text_at, learns in zip(*(c.to_pylist() for c in batch.columns)):
-                at = _placed(text_at)
-                words.append(np.repeat(_unpacked(word, np.uint64), _unpacked(word_n, np.uint32)))
-                contexts.append(_unpacked(context, np.uint64)[_placed(context_at)])
-                texts.append(_unpacked(text, np.int64)[at])
-                learn.append(_unpacked(learns, bool)[at])
-        word, context = np.concatenate(words), np.concatenate(contexts)
-        order = np.lexsort((context, word)).astype(np.int32)
-        word, context, text, learn = word[order], context[order], np.concatenate(texts)[order], np.concatenate(learn)[order].astype(np.int64)
-        del words, contexts, texts, order
-        new_word = np.diff(word, prepend=~word[:1]) != 0
-        first_word, first = np.flatnonzero(new_word), np.flatnonzero(new_word | (np.diff(context, prepend=~context[:1]) != 0))
-        of_word = np.add.reduceat(learn, first_word)
-        of_word = np.fromiter((hot.get(w, n) for w, n in zip(word[first_word].tolist(), of_word.tolist())), np.int64, len(of_word))
-        n_word, n_gram = (np.repeat(n, np.diff(at, append=len(word))) for n, at in ((of_word, first_word), (np.add.reduceat(learn, first), first)))
-        own = level.probability(n_word)
-        seen = first[n_gram[first] > 0]
-        yield _made(GRAM, len(seen), a=context[seen].view(np.int64), b=word[seen].view(np.int64), n=n_gram[seen], x=own[seen])
+        words, contexts, keys, learns, pair, text = _occurrences(cells)
+        new = np.ones(len(pair), bool)
+        new[1:] = pair[1:] != pair[:-1]
+        first = np.flatnonzero(new)
+        word, context = (pair[first] >> 32).astype(np.int32), pair[first].astype(np.int32)
+        del pair, new
+        size, n_gram = np.diff(first, append=len(text)), np.add.reduceat(learns[text], first, dtype=np.int64)
+        of_word = np.bincount(word, n_gram, len(words)).astype(np.int64)
+        is_hot = np.isin(words, hot_words)
+        of_word[is_hot] = hot_n[np.searchsorted(hot_words, words[is_hot])]
+        own = level.probability(of_word)
+        for at in _pieces(np.flatnonzero(n_gram > 0)):
+            yield _made(GRAM, len(at), a=contexts[context[at]].view(np.int64), b=words[word[at]].view(np.int64), n=n_gram[at], x=own[word[at]])
+        spread = lambda each: np.repeat(each, size)
         back = n_gram == 0
-        yield _made(BACK, int(back.sum()), a=text[back], b=context[back].view(np.int64))
-        rest = np.where(back, np.log10(own), np.where(n_gram > SMALL, np.log10(np.maximum(n_gram - LESS, LESS)), 0.0))
-        rest -= np.where((word != END) & (n_word > 0), np.log10(np.maximum(n_word, 1)), 0.0)
-        keys, at = np.unique(text, return_inverse=True)
-        total = lambda x: np.bincount(at, x, len(keys))
-        small = np.stack([np.bincount(at[n_gram == r], minlength=len(keys)) for r in range(1, SMALL + 1)], 1)
-        lists = pa.ListArray.from_arrays(np.arange(0, small.size + 1, SMALL, dtype=np.int32), pa.array(small.ravel()))
-        yield _made(TEXT, len(keys), a=keys, n=np.bincount(at, minlength=len(keys)), known=total(n_word > 0).astype(np.int64), x=total(np.log10(n_word + 1.0)), y=total(rest), small=lists)
+        of_back = np.repeat(context[back], size[back])
+        for at, of in zip(_pieces(np.flatnonzero(spread(back))), _pieces(of_back)):
+            yield _made(BACK, len(at), a=keys[text[at]], b=contexts[of].view(np.int64))
+        del of_back
+        rest = np.where(back, np.log10(own)[word], np.where(n_gram > SMALL, np.log10(np.maximum(n_gram - LESS, LESS)), 0.0))
+        rest -= np.where((words != END) & (of_word > 0), np.log10(np.maximum(of_word, 1)), 0.0)[word]
+        total = lambda each: np.bincount(text, spread(each), len(keys))
+        n, known = np.bincount(text, minlength=len(keys)), total((of_word > 0)[word]).astype(np.int64)
+        x, y = total(np.log10(of_word + 1.0)[word]), total(rest)
+        small = np.stack([np.bincount(text[spread(n_gram == r)], minlength=len(keys)) for r in range(1, SMALL + 1)], 1)
+        for at in _pieces(np.arange(len(keys))):
+            lists = pa.ListArray.from_arrays(np.arange(0, len(at) * SMALL + 1, SMALL, dtype=np.int32), pa.array(small[at].ravel()))
+            yield _made(TEXT, len(at), a=keys[at], n=n[at], known=known[at], x=x[at], y=y[at], small=lists)
 
     return run
 

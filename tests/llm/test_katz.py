@@ -132,3 +132,24 @@ def test_awkward(spark):
     assert {(r.base_score, r.score, r.n_known) for r in katz.score_documents(frame(only)).collect()} == {(0.0, 0.0, 0)}
     mixed = [(i, "same words again " * 9) for i in range(40)] + [(None, "w" * 200_000)]
     same(got(katz.score_documents(frame(mixed))), rows(mixed))
+
+
+def test_a_bucket_is_scored_in_little_memory(spark):
+    """A bucket's work takes a bounded number of bytes an occurrence, and goes back in small batches."""
+    import random
+    import tracemalloc
+
+    pa, r = katz.pa, random.Random(3)
+    texts = [" ".join(str(min(int(r.expovariate(0.002)), int(r.expovariate(0.0005)))) for _ in range(300)) for _ in range(700)]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(700)), pa.array([i % 7 > 0 for i in range(700)]), pa.array(texts)], names=["key", "learns", "text"])
+    cells = list(katz._cells(100_000, 1, katz.np.zeros(0, katz.np.uint64))(iter([rows])))
+    work = katz._bucket(katz.Words(180_000, 4000, katz.Discounts((0.5, 1.5, 2.5, 3.5, 4.5)), 1e-6), {})
+    tracemalloc.start()
+    try:
+        sizes = [b.num_rows for b in work(iter(cells))]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    tokens = 700 * 301
+    assert sum(sizes) > tokens // 2 and max(sizes) <= 1 << 16
+    assert peak < 75 * tokens
