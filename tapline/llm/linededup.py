@@ -33,6 +33,8 @@ GROWTH = 1.25
 LETTERS = " abcdefghijklmnopqrstuvwxyz"
 #: Counts are of the first FRONT characters and of the rest: an edit in front also moves a character across.
 FRONT = 128
+#: Counts that one number of 64 bits holds, four bits each.
+PACKED = 14
 #: Lengths of common beginnings and ends that are taken off, one after another, before verification.
 TRIMS = tuple(1 << n for n in range(16, 2, -1))
 _ROW, _POSITION = 2**62, 2**31
@@ -122,12 +124,12 @@ def places(k: int) -> list[tuple[int, int, int]]:
     return [(way, j, s) for way, n in ((1, left), (-1, k + 1 - left)) for j in range(n) for s in range(-j, j + 1)]
 
 
-def _visits(length: Column) -> Column:
-    """The buckets that a line is indexed in, as structs of k, b (least length) and size of a segment: that of its
-    length and, if it is near that one's lower end, the next lower one. Lines too short for edits have k = 0."""
-    entry = lambda n: F.struct(allowed(n).alias("k"), _bucket(n).alias("b"), F.floor(_bucket(n) / (allowed(n) + 1)).cast("int").alias("size"))
-    both = F.array(entry(length), entry(length - allowed(length - 1)))
-    return F.filter(F.array_distinct(both), lambda v: (v["k"] > 0) | (v["b"] == _bucket(length)))
+def _visits(length: Column, own: Column, next_lower: Column) -> Column:
+    """The buckets that a line is indexed in, as structs of k, b (least length) and size of a segment: its `own` and, if
+    it is near that one's lower end, the `next_lower` one. Lines too short for edits have k = 0."""
+    entry = lambda k, b: F.struct(k.alias("k"), b.alias("b"), F.floor(b / (k + 1)).cast("int").alias("size"))
+    first = entry(allowed(length), own)
+    return F.when((next_lower != own) & (next_lower > 0), F.array(first, entry(allowed(next_lower), next_lower))).otherwise(F.array(first))
 
 
 def segment_keys(form: Column, length: Column, k: Column, b: Column, size: Column) -> Column:
@@ -155,7 +157,9 @@ def _keyed(documents: DataFrame, short: bool) -> DataFrame:
     formed = lines.select("row_id", "mark", "position", F.explode(F.array(normal_form(F.col("line")))).alias("form"))
     length = F.length("form")
     used = formed.filter((length >= MIN_CHARS) | F.lit(short) & F.col("form").rlike(r"\S")).withColumn("length", length)
-    placed = used.select("*", F.posexplode(_visits(F.col("length"))).alias("visit", "in"))
+    length = F.col("length")
+    used = used.withColumns({"own": _bucket(length), "next_lower": _bucket(length - allowed(length - 1))})
+    placed = used.select("*", F.posexplode(_visits(length, F.col("own"), F.col("next_lower"))).alias("visit", "in"))
     keys = segment_keys(F.col("form"), F.col("length"), F.col("in.k"), F.col("in.b"), F.col("in.size"))
     return placed.select("row_id", "mark", "position", F.xxhash64("form").alias("h"), F.xxhash64(F.lit(7), "form").alias("g"), "length", keys.alias("keys"), (F.col("visit") > 0).alias("again"))
 
@@ -223,6 +227,27 @@ def _joining(pairs: DataFrame, forms: DataFrame, known: DataFrame | None) -> Dat
     return links.unionByName(cut(_confirmed(rest, forms)))
 
 
+def _counts(text: Column) -> Column:
+    """How often each of LETTERS is in a text: an array."""
+    return F.array(*(F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in LETTERS))
+
+
+def letter_codes(counts: list[Column]) -> list[Column]:
+    """Counts modulo 8 in codes of four bits (0000, 0001, 0011, ... 1111, 1110, ... 1000), PACKED in a number.
+
+    In such numbers as many bits differ as counts are apart around the circle of 8, which is never more than they are
+    apart: so it rules out no pair that the counts themselves wouldn't, and up to 4 it is the same.
+    """
+    code = lambda n: F.shiftright(F.call_function("shiftleft", F.lit(15), n.bitwiseAND(F.lit(7))), 4).bitwiseAND(F.lit(15)).cast("long")
+    out = []
+    for at in range(0, len(counts), PACKED):
+        number = F.lit(0).cast("long")
+        for i, n in enumerate(counts[at : at + PACKED]):
+            number = number.bitwiseOR(F.shiftleft(code(n), 4 * i))
+        out.append(number)
+    return out
+
+
 def edit_links(documents: DataFrame, keyed: DataFrame) -> DataFrame | None:
     """h, g, node, first (the first line of its component) of the lines that share keys; None if none do."""
     spread = keyed.select("h", "g", "length", F.explode("keys").alias("key")).filter("key IS NOT NULL")
@@ -232,24 +257,24 @@ def edit_links(documents: DataFrame, keyed: DataFrame) -> DataFrame | None:
         return None
     met = cut(_in(spread, "key", shared).groupBy("key", "h", "g").agg(F.max("length").alias("length")).join(shared, "key"))
     weights = met.groupBy("h", "g").agg(F.count("*").alias("keys"), F.collect_set("key").alias("of"))
-    fronts, counts = ([f"{name}{i}" for i in range(len(LETTERS) + 1)] for name in ("f", "c"))
-
-    def number_of(text: Column) -> list[Column]:
-        each = [F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in LETTERS]
-        return [c.cast("int") for c in (*each, F.length(F.translate(text, LETTERS, "")))]
-
-    counted = [c.alias(n) for n, c in zip([*fronts, *counts], [*number_of(F.substring("form", 1, FRONT)), *number_of(F.col("form"))])]
-    forms = _forms(documents, cut(_first_lines(keyed, weights))).select("h", "g", "node", "form", *counted)
-    forms = cut(forms.join(weights, ["h", "g"]).withColumn("id", F.monotonically_increasing_id()))  # written once, so ids stay
-    rows = met.join(forms.select("h", "g", "id", "keys", "of", *fronts, *counts), ["h", "g"]).select("key", "id", "length", "keys", "of", *fronts, *counts)
+    part = lambda name, n: [f"{name}{i}" for i in range(-(-n // PACKED))]
+    every = len(LETTERS) + 1
+    fronts, rears, counts = (part(name, every) for name in ("f", "r", "c"))
+    forms = _forms(documents, cut(_first_lines(keyed, weights))).withColumns({"front": F.substring("form", 1, FRONT), "rear": F.substring("form", FRONT + 1, 2**31 - 1)})
+    # generators keep the optimiser from counting anew for each use
+    forms = forms.select("*", F.explode(F.array(F.struct(_counts(F.col("front")).alias("f"), F.when(F.col("rear") != "", _counts(F.col("rear"))).otherwise(F.array_repeat(F.lit(0), len(LETTERS))).alias("r")))).alias("n"))
+    number = lambda name, text: [*(F.col(f"n.{name}")[i] for i in range(len(LETTERS))), F.length(text) - F.aggregate(F.col(f"n.{name}"), F.lit(0), lambda x, y: x + y)]
+    in_front, in_rear = number("f", "front"), number("r", "rear")
+    coded = [c.alias(n) for names, of in ((fronts, in_front), (rears, in_rear), (counts, [x + y for x, y in zip(in_front, in_rear)])) for n, c in zip(names, letter_codes(of))]
+    forms = cut(forms.select("h", "g", "node", "form", *coded).join(weights, ["h", "g"]).withColumn("id", F.monotonically_increasing_id()))  # written once, so ids stay
+    rows = met.join(forms.select("h", "g", "id", "keys", "of", *fronts, *rears, *counts), ["h", "g"]).select("key", "id", "length", "keys", "of", *fronts, *rears, *counts)
     sizes = cut(rows.groupBy("key").agg(F.count("*").alias("n")))
     rows = cut(rows.join(sizes, "key"))
     short, long = rows.filter(F.col("n") <= LONG_GROUP), rows.filter(F.col("n") > LONG_GROUP)
-    side = lambda df, name: df.select("key", *(F.col(c).alias(f"{c}_{name}") for c in ("id", "length", "of", *fronts, *counts, *(["component"] if "component" in df.columns else []))))
-    total = lambda names, of=lambda c, side: F.col(f"{c}_{side}"): sum((F.abs(of(c, "a") - of(c, "b")) for c in names), F.lit(0))
-    rear = total(range(len(counts)), lambda i, side: F.col(f"{counts[i]}_{side}") - F.col(f"{fronts[i]}_{side}"))
+    side = lambda df, name: df.select("key", *(F.col(c).alias(f"{c}_{name}") for c in ("id", "length", "of", *fronts, *rears, *counts, *(["component"] if "component" in df.columns else []))))
+    total = lambda names: sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in names), F.lit(0))
     k = allowed(F.least("length_a", "length_b"))
-    likely = (F.abs(F.col("length_a") - F.col("length_b")) <= k) & (total(counts) <= 2 * k) & (total(fronts) + rear <= 3 * k)
+    likely = (F.abs(F.col("length_a") - F.col("length_b")) <= k) & (total(counts) <= 2 * k) & (total([*fronts, *rears]) <= 3 * k)
     paired = lambda left, right, only, last=F.lit(True): side(left, "a").join(side(right, "b"), "key").filter(only & likely & last).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), k.alias("k")).distinct()
     # a group's leaders are, of its lines by hash, those that share most keys
     best = long.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(LEADERS)).alias("part")).agg(F.max(F.struct("keys", "id")).alias("best"))
