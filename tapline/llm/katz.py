@@ -28,7 +28,7 @@ from .common import cut, mix64, release, word_hashes
 SMALL, LESS = 5, 0.5
 #: Tokens that a task packs at a time, tokens of a bucket, and hot words a bucket at most. A bucket gets on average
 #: CHUNK_TOKENS * BUCKET_TOKENS / N tokens of a chunk: for very large N, both should grow with its root.
-CHUNK_TOKENS, BUCKET_TOKENS, HOT = 1_750_000, 3_000_000, 4
+CHUNK_TOKENS, BUCKET_TOKENS, HOT = 1_750_000, 4_000_000, 4
 #: Bytes of text that are hashed together, rows of text that are taken from Arrow at a time, and rows and bytes of a
 #: batch that a task hands back: Python and the JVM hold a few batches at once.
 HASHED_BYTES, TAKEN, BATCH_ROWS, BATCH_BYTES = 1 << 19, 512, 1 << 16, 4 << 20
@@ -155,7 +155,7 @@ def _cells(size: int, buckets: int, hot: np.ndarray):
                 contexts, context_at = np.unique(context[own], return_inverse=True)
                 texts, text_at = np.unique(text[own], return_inverse=True)
                 times = np.diff(first, append=len(own)).astype(np.uint32)
-                rows.append((int(b), _packed(names[word[own][first]]), _packed(times), _packed(names[contexts]), _places(context_at), _packed(keys[texts]), _places(text_at), _packed(learns[texts])))
+                rows.append((int(b), _steps(names[word[own][first]]), _packed(times), _steps(names[contexts]), _places(context_at), _packed(keys[texts]), _places(text_at), _packed(learns[texts])))
                 held += sum(map(len, rows[-1][1:]))
                 if held >= BATCH_BYTES or len(rows) >= 256:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=CELL_NAMES)
@@ -176,6 +176,15 @@ def _unpacked(data: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(size, -1).T.tobytes(), kind)
 
 
+def _steps(hashes: np.ndarray) -> bytes:
+    """Hashes as differences, which wrap; of ascending ones the leading bytes are nearly all zero."""
+    return _packed(np.diff(hashes, prepend=np.uint64(0)))
+
+
+def _stepped(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(data, np.uint64), dtype=np.uint64)
+
+
 def _places(at: np.ndarray) -> bytes:
     """Positions as differences, which wrap: of 16 bits if they fit (a leading 2), else of 32 (a leading 4)."""
     kind = np.uint16 if not len(at) or at.max() < 1 << 16 else np.uint32
@@ -211,9 +220,9 @@ def _occurrences(cells: Iterator[pa.RecordBatch]):
     n_contexts = n_texts = 0
     for batch in cells:
         for _, word, word_n, seen, seen_at, own, own_at, flags in zip(*(c.to_pylist() for c in batch.columns)):
-            names.append(_unpacked(word, np.uint64))
+            names.append(_stepped(word))
             times.append(_unpacked(word_n, np.uint32))
-            contexts.append(_unpacked(seen, np.uint64))
+            contexts.append(_stepped(seen))
             context.append(_placed(seen_at).astype(np.int32) + np.int32(n_contexts))
             keys.append(_unpacked(own, np.int64))
             learns.append(_unpacked(flags, bool))
@@ -281,6 +290,7 @@ def build(docs: DataFrame, learns: Column, chunk_tokens: int = CHUNK_TOKENS, buc
     """
     rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.coalesce(learns, F.lit(False)).alias("learns"), F.col("text"))
     words = cut(rows.filter("learns").mapInArrow(_word_counts(chunk_tokens), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), keep=True)
+    release(docs.sparkSession)
     tokens, different = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     first = Discounts.of(_having(words))
     kept = words.agg(F.sum(first.left(F.col("n")))).first()[0] or 0.0
