@@ -31,23 +31,27 @@ def shared_folder(spark: SparkSession) -> str:
     return named or context.getCheckpointDir()
 
 
-def written(df: DataFrame) -> tuple[DataFrame, str]:
-    """`df` written as a Parquet table in the shared folder, and the table's path."""
+#: How tables of hashes are written: nothing in them repeats, so neither dictionaries nor compression gain anything.
+PLAIN = {"compression": "uncompressed", "parquet.enable.dictionary": "false"}
+
+
+def written(df: DataFrame, plain: bool = False) -> tuple[DataFrame, str]:
+    """`df` written as a Parquet table in the shared folder, and the table's path; `plain` is for tables of hashes."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**PLAIN if plain else {}).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
 _SCOPES = threading.local()
 
 
-def cut(df: DataFrame, keep: bool = False) -> DataFrame:
+def cut(df: DataFrame, keep: bool = False, plain: bool = False) -> DataFrame:
     """`df` written as a table: its lineage ends there, and its size is known from then on.
 
     In a workspace the table goes when that ends; with `keep` it stays for the one around it, or if there is none.
     """
-    out, path = written(df)
+    out, path = written(df, plain)
     scopes = getattr(_SCOPES, "open", [])
     if len(scopes) > keep:
         scopes[-1 - keep].append(path)

@@ -26,21 +26,32 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.filter("a != b").distinct()
 
 
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every link (a, b) joins a node that has no other link to its centre: what the rounds lead to."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.filter("up + down > 1 AND up > 0").count() == 0
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) of every node that a link (columns a, b) has, as a written table.
 
-    Links may repeat, point either way or to themselves; nulls link nothing.
+    Links may repeat, point either way or to themselves; nulls link nothing. Links that are such stars already, as
+    those of components found before, take no round.
     """
-    now, path = written(edges.select("a", "b").dropna().filter("a != b").distinct())
-    seen = None
-    while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen or not state[0]:
-            break
-        seen, last = state, path
+    some = edges.select("a", "b").dropna().filter("a != b")
+    now, path = written(some.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while not _is_stars(now):
+        last = path
         now, path = written(_star(_star(now, True), False))
         remove_folder(edges.sparkSession, last)
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     out = cut(stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct()))
     remove_folder(edges.sparkSession, path)
     return out
+
+
+def star_links(components: DataFrame) -> DataFrame:
+    """Links a, b that join what `components` (node, component) says, one for each node but the smallest."""
+    return components.filter("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))

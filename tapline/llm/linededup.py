@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, maybe_in, workspace, whole_row, with_own
-from .components import connected_components
+from .components import connected_components, star_links
 
 #: Edits that lines of MIN_CHARS characters or more may be apart; shorter ones are only compared for equality.
 EDITS, MIN_CHARS = 1, 24
@@ -213,18 +213,17 @@ def _confirmed(pairs: DataFrame, forms: DataFrame) -> DataFrame:
 
 
 def _joining(pairs: DataFrame, forms: DataFrame, known: DataFrame | None) -> DataFrame:
-    """Confirmed links that join all that `pairs` can join, beside the links that are `known`.
+    """node, component of what confirmed `pairs` and the links that are `known` join.
 
     At first each line meets one partner. Pairs that are then in one component say nothing new, and aren't compared.
     """
     first = cut(pairs.groupBy("b").agg(F.min(F.struct("a", "k")).alias("x")).select("x.a", "b", "x.k"))
-    links = cut(_confirmed(first, forms))
-    links = links if known is None else known.unionByName(links)
-    found = connected_components(links)
+    links = _confirmed(first, forms)
+    found = connected_components(links if known is None else known.unionByName(links))
     side = lambda name: found.select(F.col("node").alias(name), F.col("component").alias(f"in_{name}"))
     apart = pairs.join(first, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
     rest = cut(apart.filter(F.coalesce("in_a", "a") != F.coalesce("in_b", "b")).select("a", "b", "k"))
-    return links.unionByName(cut(_confirmed(rest, forms)))
+    return found if rest.isEmpty() else connected_components(star_links(found).unionByName(_confirmed(rest, forms)))
 
 
 def _counts(text: Column) -> Column:
@@ -281,8 +280,7 @@ def edit_links(documents: DataFrame, keyed: DataFrame) -> DataFrame | None:
     leaders = cut(best.select("key", F.col("best.id").alias("id"), "best.keys"))
     led = long.join(leaders.select("key", "id"), ["key", "id"])
     pairs = paired(led, long, F.col("id_a") != F.col("id_b")).unionByName(paired(short, short, F.col("id_a") < F.col("id_b"))).distinct()
-    links = _joining(cut(pairs), forms, None)
-    found = connected_components(links)
+    found = _joining(cut(pairs), forms, None)
     inside = cut(long.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")))
     main = leaders.groupBy("key").agg(F.max(F.struct("keys", "id")).alias("best")).select("key", F.col("best.id").alias("id"))
     main = cut(main.join(inside.select("key", "id", F.col("component").alias("main")), ["key", "id"]).select("key", "main"))
@@ -291,7 +289,7 @@ def edit_links(documents: DataFrame, keyed: DataFrame) -> DataFrame | None:
         # a pair with several keys in common comes of the smallest; where that is a short group's, it has been compared
         once = F.col("key") == F.array_min(F.array_intersect("of_a", "of_b"))
         more = cut(paired(left, inside, F.col("component_a") != F.col("component_b"), once))
-        found = connected_components(_joining(more, forms, links))
+        found = _joining(more, forms, star_links(found))
     firsts = forms.select("h", "g", "node", "id").join(found.withColumnRenamed("node", "id"), "id")
     return cut(firsts.join(firsts.groupBy("component").agg(F.min("node").alias("first")), "component").select("h", "g", "node", "first"))
 
@@ -309,7 +307,7 @@ def duplicate_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """
     documents = _documents(docs)
     with workspace(docs.sparkSession):
-        keyed = cut(_keyed(documents, short))
+        keyed = cut(_keyed(documents, short), plain=True)
         linked = edit_links(documents, keyed)
         lines = keyed.filter("NOT again").select("row_id", "mark", "position", "h", "g")
         repeated = lines.groupBy("h", "g").agg(F.count("*").alias("n")).filter("n > 1").select("h", "g")
