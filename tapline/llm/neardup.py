@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, encoded, maybe_in, shingle_sets, workspace
-from .components import connected_components
+from .components import connected_components, star_links
 
 #: Retained values of a sketch; the estimate that a pair must reach; the longest list that is paired.
 K, ESTIMATE, LONG_LIST = 48, 0.55, 24
@@ -123,13 +123,12 @@ def _leaders(long_lists: DataFrame) -> DataFrame:
     return visits.join(leaders, ["value", "stratum"]).select("leader", "gid").distinct()
 
 
-def _residual(clusters: DataFrame, linked: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+def _residual(clusters: DataFrame, found: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Likely links of the classes that aren't in their leader's component: each against all that share the leader.
 
     Both sides are dealt in blocks of hashed ids, so that no cluster is gathered whole. A task compares two blocks
     of long sketches, which hold most sets whole, and emits only pairs that the union sketch finds similar.
     """
-    found = cut(connected_components(linked))
     side = lambda name: found.select(F.col("node").alias(name), F.col("component").alias(f"in_{name}"))
     placed = clusters.filter("leader != gid").join(side("leader"), "leader", "left").join(side("gid"), "gid", "left")
     open_rows = cut(placed.filter(F.coalesce("in_leader", "leader") != F.coalesce("in_gid", "gid")).select("leader", "gid"))
@@ -151,8 +150,7 @@ def _residual(clusters: DataFrame, linked: DataFrame, texts: DataFrame, n: int,
         return pd.DataFrame({"a": a, "b": b})
 
     keys = ["leader", "x", "y"]
-    found = asking.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(compare, "a long, b long")
-    return found.distinct()
+    return asking.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(compare, "a long, b long").distinct()
 
 
 def similar_blocks(left: pd.DataFrame, right: pd.DataFrame, percent: int, k: int = LONG_K) -> tuple[np.ndarray, np.ndarray]:
@@ -190,17 +188,16 @@ def similar_blocks(left: pd.DataFrame, right: pd.DataFrame, percent: int, k: int
 
 
 def _joined_pairs(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Confirmed pairs that join all that `pairs` can join: at first one pair for each class, its smallest partner.
+    """node, component of what confirmed `pairs` join: at first one pair for each class, with its smallest partner.
 
     Pairs whose classes those links already join say nothing new about components, and aren't compared.
     """
     first = cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    links = cut(confirmed(first, _of(texts, first), n, percent))
-    found = cut(connected_components(links))
+    found = connected_components(confirmed(first, _of(texts, first), n, percent))
     side = lambda name: found.select(F.col("node").alias(name), F.col("component").alias(f"in_{name}"))
     apart = pairs.join(first, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
     rest = cut(apart.filter(F.coalesce("in_a", "a") != F.coalesce("in_b", "b")).select("a", "b"))
-    return links.unionByName(cut(confirmed(rest, _of(texts, rest), n, percent)))
+    return found if rest.isEmpty() else connected_components(star_links(found).unionByName(confirmed(rest, _of(texts, rest), n, percent)))
 
 
 def _of(texts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -246,10 +243,11 @@ def _grouped(docs: DataFrame, n: int, percent: int, k: int) -> DataFrame:
     with_leaders = _estimated(clusters.filter("leader != gid").select(F.col("leader").alias("a"), F.col("gid").alias("b")), classes, k)
     pairs = cut(candidates.unionByName(with_leaders).distinct())
     texts = docs.withColumnRenamed("doc_id", "gid").withColumn("text", F.coalesce("text", F.lit("")))
-    links = _joined_pairs(pairs, texts, n, percent)
+    found = _joined_pairs(pairs, texts, n, percent)
     if not clusters.isEmpty():
-        links = links.unionByName(_joined_pairs(cut(_residual(clusters, links, texts, n, percent)), texts, n, percent))
-    found = connected_components(links)
+        more = cut(_residual(clusters, found, texts, n, percent))
+        if not more.isEmpty():
+            found = connected_components(star_links(found).unionByName(star_links(_joined_pairs(more, texts, n, percent))))
     same = members.join(found.select(F.col("node").alias("gid"), "component"), "gid", "left")
     component = F.coalesce("component", "gid", "doc_id")
     out = same.select("doc_id", "n_shingles", component.alias("component_id"))
