@@ -46,12 +46,20 @@ def written(df: DataFrame, plain: bool = False) -> tuple[DataFrame, str]:
 _SCOPES = threading.local()
 
 
-def cut(df: DataFrame, keep: bool = False, plain: bool = False) -> DataFrame:
+def cut(df: DataFrame, keep: bool = False) -> DataFrame:
     """`df` written as a table: its lineage ends there, and its size is known from then on.
 
     In a workspace the table goes when that ends; with `keep` it stays for the one around it, or if there is none.
     """
-    out, path = written(df, plain)
+    return _scoped(*written(df), keep)
+
+
+def cut_plain(df: DataFrame) -> DataFrame:
+    """`cut` for tables of hashes."""
+    return _scoped(*written(df, plain=True), False)
+
+
+def _scoped(out: DataFrame, path: str, keep: bool) -> DataFrame:
     scopes = getattr(_SCOPES, "open", [])
     if len(scopes) > keep:
         scopes[-1 - keep].append(path)

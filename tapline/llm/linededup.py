@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, maybe_in, workspace, whole_row, with_own
+from .common import cut, cut_plain, maybe_in, workspace, whole_row, with_own
 from .components import connected_components, star_links
 
 #: Edits that lines of MIN_CHARS characters or more may be apart; shorter ones are only compared for equality.
@@ -307,7 +307,7 @@ def duplicate_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """
     documents = _documents(docs)
     with workspace(docs.sparkSession):
-        keyed = cut(_keyed(documents, short), plain=True)
+        keyed = cut_plain(_keyed(documents, short))
         linked = edit_links(documents, keyed)
         lines = keyed.filter("NOT again").select("row_id", "mark", "position", "h", "g")
         repeated = lines.groupBy("h", "g").agg(F.count("*").alias("n")).filter("n > 1").select("h", "g")
