@@ -30,7 +30,8 @@ LEADERS = 4
 #: By how much a bucket's lengths differ at most.
 GROWTH = 1.25
 #: Characters whose counts, with that of all others together, rule pairs out: an edit changes them by two in all.
-LETTERS = " abcdefghijklmnopqrstuvwxyz"
+#: The frequent ones come first, so that little text is left to count the others in.
+LETTERS = " etaoinsrhldcumfpgwybvkxjqz"
 #: Counts are of the first FRONT characters and of the rest: an edit in front also moves a character across.
 FRONT = 128
 #: Counts that one number of 64 bits holds, four bits each.
@@ -88,7 +89,10 @@ def banded_edits(a: Column, b: Column, k: int) -> Column:
 
 
 def normal_form(line: Column) -> Column:
-    return F.regexp_replace(F.lower(F.trim(line)), "[1-9]", "0")
+    plain, digits = F.lower(F.trim(line)), F.lit(False)
+    for c in "123456789":  # most lines have none, which takes less to see than to replace
+        digits = digits | F.contains(line, F.lit(c))
+    return F.when(digits, F.regexp_replace(plain, "[1-9]", "0")).otherwise(plain)
 
 
 def _in(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
@@ -133,12 +137,16 @@ def _visits(length: Column, own: Column, next_lower: Column) -> Column:
 
 
 def segment_keys(form: Column, length: Column, k: Column, b: Column, size: Column) -> Column:
-    """The keys of a line in a bucket: an array with nulls where k has fewer places than others."""
-    made = []
+    """The keys of a line in a bucket: an array with nulls where k has fewer places than others.
+
+    Where all characters are of one byte, segments are cut by bytes, which takes no walk along the line.
+    """
+    made, data, narrow = [], form.cast("binary"), F.octet_length(form) == length
     for way, j, s in places(max(n for _, n in _bottoms())):
         start = size * j + s if way > 0 else length - size * (j + 1) + s
         least = 2 * j if way > 0 else 2 * j + 1  # the fewest edits that need the segment
-        made.append(F.when(k >= max(1, least), F.xxhash64(b, F.lit(way * (j + 1)), F.substring(form, start + 1, size))))
+        segment = F.when(narrow, F.substring(data, start + 1, size)).otherwise(F.substring(form, start + 1, size).cast("binary"))
+        made.append(F.when(k >= max(1, least), F.xxhash64(b, F.lit(way * (j + 1)), segment)))
     return F.array(*made)
 
 
@@ -226,9 +234,17 @@ def _joining(pairs: DataFrame, forms: DataFrame, known: DataFrame | None) -> Dat
     return found if rest.isEmpty() else connected_components(star_links(found).unionByName(_confirmed(rest, forms)))
 
 
-def _counts(text: Column) -> Column:
-    """How often each of LETTERS is in a text: an array."""
-    return F.array(*(F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in LETTERS))
+def rest_lengths(text: Column) -> Column:
+    """How long a text is, and how long without the first, the first two, ... and all of LETTERS: an array."""
+    left = lambda state: F.array_append(state["lengths"], F.length(state["rest"]))
+    start = F.struct(text.alias("rest"), F.array().cast("array<int>").alias("lengths"))
+    less = lambda state, c: F.struct(F.replace(state["rest"], c, F.lit("")).alias("rest"), left(state).alias("lengths"))
+    return F.aggregate(F.array(*map(F.lit, LETTERS)), start, less, left)
+
+
+def letter_counts(lengths: Column) -> list[Column]:
+    """How often each of LETTERS, and then any other character, is in a text of such rest_lengths."""
+    return [*(lengths[i] - lengths[i + 1] for i in range(len(LETTERS))), lengths[len(LETTERS)]]
 
 
 def letter_codes(counts: list[Column]) -> list[Column]:
@@ -261,9 +277,8 @@ def edit_links(documents: DataFrame, keyed: DataFrame) -> DataFrame | None:
     fronts, rears, counts = (part(name, every) for name in ("f", "r", "c"))
     forms = _forms(documents, cut(_first_lines(keyed, weights))).withColumns({"front": F.substring("form", 1, FRONT), "rear": F.substring("form", FRONT + 1, 2**31 - 1)})
     # generators keep the optimiser from counting anew for each use
-    forms = forms.select("*", F.explode(F.array(F.struct(_counts(F.col("front")).alias("f"), F.when(F.col("rear") != "", _counts(F.col("rear"))).otherwise(F.array_repeat(F.lit(0), len(LETTERS))).alias("r")))).alias("n"))
-    number = lambda name, text: [*(F.col(f"n.{name}")[i] for i in range(len(LETTERS))), F.length(text) - F.aggregate(F.col(f"n.{name}"), F.lit(0), lambda x, y: x + y)]
-    in_front, in_rear = number("f", "front"), number("r", "rear")
+    forms = forms.select("*", F.explode(F.array(F.struct(rest_lengths(F.col("front")).alias("f"), F.when(F.col("rear") != "", rest_lengths(F.col("rear"))).otherwise(F.array_repeat(F.lit(0), every)).alias("r")))).alias("n"))
+    in_front, in_rear = letter_counts(F.col("n.f")), letter_counts(F.col("n.r"))
     coded = [c.alias(n) for names, of in ((fronts, in_front), (rears, in_rear), (counts, [x + y for x, y in zip(in_front, in_rear)])) for n, c in zip(names, letter_codes(of))]
     forms = cut(forms.select("h", "g", "node", "form", *coded).join(weights, ["h", "g"]).withColumn("id", F.monotonically_increasing_id()))  # written once, so ids stay
     rows = met.join(forms.select("h", "g", "id", "keys", "of", *fronts, *rears, *counts), ["h", "g"]).select("key", "id", "length", "keys", "of", *fronts, *rears, *counts)
@@ -314,8 +329,8 @@ def duplicate_lines(docs: DataFrame, short: bool = False) -> DataFrame:
         if linked is not None:
             repeated = repeated.unionByName(linked.filter("node != first").select("h", "g")).distinct()
         repeated = cut(repeated)
-        occurrences = _in(lines, "h", repeated).withColumn("node", _node())
-        firsts = occurrences.groupBy("h", "g").agg(F.min("node").alias("first")).join(repeated, ["h", "g"])
+        occurrences = cut_plain(_in(lines, "h", repeated).join(repeated, ["h", "g"]).withColumn("node", _node()))
+        firsts = occurrences.groupBy("h", "g").agg(F.min("node").alias("first"))
         if linked is not None:
             firsts = firsts.join(linked.select("h", "g", F.col("first").alias("of_all")), ["h", "g"], "left").select("h", "g", F.coalesce("of_all", "first").alias("first"))
         firsts = cut(firsts)
@@ -338,17 +353,18 @@ def dedup_lines(docs: DataFrame, short: bool = False) -> DataFrame:
 
 def _deduped(docs: DataFrame, short: bool) -> DataFrame:
     gone = duplicate_lines(docs, short).select(F.col("row_id").alias("_row"), F.col("mark").alias("_mark"), F.col("removed").alias("_gone"))
-    rows = _placed(docs.select(whole_row(docs), "doc_id", "text")).select("_all", "text", F.col("row_id").alias("_row"), F.col("mark").alias("_mark"))
+    rows = _placed(docs.select(whole_row(docs), "doc_id", "text")).select("_all", F.col("row_id").alias("_row"), F.col("mark").alias("_mark"))
     key = F.struct(F.col("_row"), F.col("_mark"))
     rows = maybe_in(rows, key, gone, key)
     # only documents that may lose lines move
-    still = rows.filter("NOT _maybe").select("_all", "text", F.lit(None).cast("array<int>").alias("_gone"))
-    moved = rows.filter("_maybe").join(gone, ["_row", "_mark"], "left").select("_all", "text", "_gone")
+    still = rows.filter("NOT _maybe").select("_all", F.lit(None).cast("array<int>").alias("_gone"))
+    held = still.unionByName(rows.filter("_maybe").join(gone, ["_row", "_mark"], "left").select("_all", "_gone"))
+    text = F.col("_all").getField("text")
     # a generator keeps the optimiser from splitting the text anew for every line
-    held = still.unionByName(moved).select("_all", "_gone", F.explode(F.array(F.split("text", "\n"))).alias("_split"))
+    held = held.select("_all", "_gone", F.explode(F.array(F.split(text, "\n"))).alias("_split"))
     places = F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), F.col("_gone"))
     rebuilt = F.array_join(F.transform(places, lambda p: F.element_at("_split", p + 1)), "\n")
-    kept = F.when(F.col("_gone").isNull(), F.col("_all").getField("text")).otherwise(rebuilt)
+    kept = F.when(F.col("_gone").isNull(), text).otherwise(rebuilt)
     lines = F.when(F.col("_split").isNull(), 0).otherwise(F.size("_split"))
     return held.select("_all", kept.alias("_kept_text"), lines.cast("long").alias("_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_removed"))
 
