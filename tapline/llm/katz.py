@@ -6,9 +6,10 @@ there, and else by its context's weight times the word's own probability; words
 the words' discounts leave. Weights are exact: the probabilities of all words after any context sum to one.
 
 Bigrams are counted and looked up in one exchange. Tasks cut their texts into chunks, and send each bucket of words
-the chunk's occurrences as packed arrays; a bucket's task sorts them, writes the bigram table's part, and sums for each
-document what the bucket knows of it. What it can't know, the weights of contexts, is joined to the tokens that back
-off. Words so frequent that one bucket couldn't hold them are spread by context; there are at most HOT a bucket.
+the chunk's occurrences as packed arrays; a bucket's task sorts them, sums for each context how many of its bigrams
+occur how often, and for each document what the bucket knows of it. What it can't know, the weights of contexts, is
+joined to the tokens that back off. The bigram table itself is made from the same buckets when it is read: scores need
+no more than those sums, which take less room. Words so frequent that one bucket couldn't hold them are spread by context; there are at most HOT a bucket.
 """
 
 from __future__ import annotations
@@ -196,9 +197,10 @@ def _placed(data: bytes) -> np.ndarray:
     return np.cumsum(_unpacked(data[1:], kind), dtype=kind)
 
 
-#: What a bucket's task writes: bigrams (context, word, n, the word's own probability), sums for texts, and tokens that
-#: back off (text, context).
-GRAM, TEXT, BACK = 0, 1, 2
+#: What a bucket's task writes: bigrams (context, word, n, the word's own probability) if they are asked for, sums for
+#: texts, tokens that back off (text, context), and sums for contexts: occurrences, different words after it, their own
+#: probabilities, and how many of the bigrams occur 1, 2, ... SMALL + 1 times.
+GRAM, TEXT, BACK, CONTEXT = 0, 1, 2, 3
 MADE = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("known", pa.int64()), ("x", pa.float64()), ("y", pa.float64()), ("small", pa.list_(pa.int64()))])
 MADE_SQL = "kind byte, a long, b long, n long, known long, x double, y double, small array<long>"
 
@@ -239,8 +241,14 @@ def _occurrences(cells: Iterator[pa.RecordBatch]):
     return words, contexts, np.concatenate(keys), np.concatenate(learns), pair, text
 
 
-def _bucket(level: Words, hot: dict[int, int]):
-    """Counts and sums of a bucket. What holds for an occurrence holds for all of its bigram, and is spread to texts
+def _lists(counts: np.ndarray) -> pa.ListArray:
+    """The rows of an array as lists."""
+    rows, width = counts.shape
+    return pa.ListArray.from_arrays(np.arange(0, rows * width + 1, width, dtype=np.int32), pa.array(counts.ravel()))
+
+
+def _bucket(level: Words, hot: dict[int, int], grams: bool = True):
+    """Sums of a bucket, and with `grams` its bigrams. What holds for an occurrence holds for all of its bigram, and is spread to texts
     one measure after another: texts have a row for each chunk that they are in."""
     hot_words = np.array(sorted(hot), np.uint64)
     hot_n = np.array([hot[w] for w in sorted(hot)], np.int64)
@@ -257,9 +265,16 @@ def _bucket(level: Words, hot: dict[int, int]):
         is_hot = np.isin(words, hot_words)
         of_word[is_hot] = hot_n[np.searchsorted(hot_words, words[is_hot])]
         own = level.probability(of_word)
-        for at in _pieces(np.flatnonzero(n_gram > 0)):
+        for at in _pieces(np.flatnonzero(n_gram > 0) if grams else first[:0]):
             yield _made(GRAM, len(at), a=contexts[context[at]].view(np.int64), b=words[word[at]].view(np.int64), n=n_gram[at], x=own[word[at]])
         spread = lambda each: np.repeat(each, size)
+        times = lambda of: np.bincount(context[of], minlength=len(contexts))
+        n, follow = np.bincount(context, n_gram, len(contexts)).astype(np.int64), times(n_gram > 0)
+        lower = np.bincount(context, np.where(n_gram > 0, own[word], 0.0), len(contexts))
+        having = np.stack([times(n_gram == r) for r in range(1, SMALL + 2)], 1)
+        for at in _pieces(np.flatnonzero(follow)):
+            yield _made(CONTEXT, len(at), a=contexts[at].view(np.int64), n=n[at], known=follow[at], x=lower[at], small=_lists(having[at]))
+        del n, follow, lower, having
         back = n_gram == 0
         of_back = np.repeat(context[back], size[back])
         for at, of in zip(_pieces(np.flatnonzero(spread(back))), _pieces(of_back)):
@@ -272,8 +287,7 @@ def _bucket(level: Words, hot: dict[int, int]):
         x, y = total(np.log10(of_word + 1.0)[word]), total(rest)
         small = np.stack([np.bincount(text[spread(n_gram == r)], minlength=len(keys)) for r in range(1, SMALL + 1)], 1)
         for at in _pieces(np.arange(len(keys))):
-            lists = pa.ListArray.from_arrays(np.arange(0, len(at) * SMALL + 1, SMALL, dtype=np.int32), pa.array(small[at].ravel()))
-            yield _made(TEXT, len(at), a=keys[at], n=n[at], known=known[at], x=x[at], y=y[at], small=lists)
+            yield _made(TEXT, len(at), a=keys[at], n=n[at], known=known[at], x=x[at], y=y[at], small=_lists(small[at]))
 
     return run
 
@@ -285,6 +299,7 @@ def _having(counts: DataFrame) -> list[int]:
 def build(docs: DataFrame, learns: Column, chunk_tokens: int = CHUNK_TOKENS, bucket_tokens: int = BUCKET_TOKENS) -> Katz:
     """Count the texts of `docs` (doc_id, text) for which `learns` is true, and evaluate all of them.
 
+    Words and contexts are written tables; grams is made from the texts when it is read.
     scores has, for each different key (a hash of doc_id and text): copies, n_tokens, n_known, base (the sum of
     log10(n + 1) of its words) and score. Several copies of a row count as often as they stand.
     """
@@ -298,12 +313,15 @@ def build(docs: DataFrame, learns: Column, chunk_tokens: int = CHUNK_TOKENS, buc
     buckets = max(1, tokens * 7 // (6 * bucket_tokens)) + 7
     hot = {r.word % (1 << 64): r.n for r in words.filter(F.col("n") > max(tokens // (HOT * buckets), 1)).collect()}
     cells = rows.mapInArrow(_cells(chunk_tokens, buckets, np.array(sorted(hot), np.uint64)), CELL)
-    made = cut(cells.groupBy("bucket").applyInArrow(_bucket(level, hot), MADE_SQL), keep=True)
+    made = cut(cells.groupBy("bucket").applyInArrow(_bucket(level, hot, grams=False), MADE_SQL), keep=True)
     release(docs.sparkSession)
-    grams = made.filter(F.col("kind") == GRAM).select(F.col("a").alias("context"), F.col("b").alias("word"), "n", F.col("x").alias("lower"))
-    second = Discounts.of(_having(grams))
-    left = F.col("n") - second.left(F.col("n"))
-    contexts = cut(grams.groupBy("context").agg(F.sum("n").alias("n"), F.sum(left).alias("left"), F.sum("lower").alias("lower")), keep=True)
+    grams = cells.groupBy("bucket").applyInArrow(_bucket(level, hot), MADE_SQL).filter(F.col("kind") == GRAM).select(F.col("a").alias("context"), F.col("b").alias("word"), "n", F.col("x").alias("lower"))
+    sums = made.filter(F.col("kind") == CONTEXT)
+    second = Discounts.of(list(sums.agg(*(F.coalesce(F.sum(F.col("small")[r]), F.lit(0)) for r in range(SMALL + 1))).first()))
+    # what discounts take: of each bigram up to SMALL times its part, of each other one LESS
+    each = [F.col("small")[r] for r in range(SMALL)]
+    left = sum((c * F.lit(r - x) for r, (c, x) in enumerate(zip(each, second.small), 1)), (F.col("known") - sum(each, F.lit(0))) * F.lit(LESS))
+    contexts = cut(sums.groupBy(F.col("a").alias("context")).agg(F.sum("n").alias("n"), F.sum(left).alias("left"), F.sum("x").alias("lower")), keep=True)
     release(docs.sparkSession)
     weight = F.log10(F.col("left") / F.greatest(1 - F.col("lower"), F.lit(level.unseen)))
     backed = made.filter(F.col("kind") == BACK).select(F.col("a").alias("key"), F.col("b").alias("context")).join(contexts.select("context", weight.alias("w")), "context", "left")

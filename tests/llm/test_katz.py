@@ -153,3 +153,25 @@ def test_a_bucket_is_scored_in_little_memory(spark):
     tokens = 700 * 301
     assert sum(sizes) > tokens // 2 and max(sizes) <= 1 << 16
     assert peak < 75 * tokens
+
+
+def test_scores_need_no_bigrams_written(spark):
+    """A bucket writes a row for each of its contexts, with what the discounts need, and not one for each bigram."""
+    pa, np = katz.pa, katz.np
+    texts = [" ".join("abcdefgh"[(i * k) % 8] for k in range(60)) for i in range(40)] + ["a b"] * 9 + [None]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array([True] * 49 + [False]), pa.array(texts)], names=["key", "learns", "text"])
+    cells = list(katz._cells(200, 1, np.zeros(0, np.uint64))(iter([rows])))
+    level = katz.Words(2500, 9, katz.Discounts((0.5, 1.5, 2.5, 3.5, 4.5)), 1e-6)
+    made = lambda *args: [r for b in katz._bucket(level, {}, *args)(iter(cells)) for r in b.to_pylist()]
+    want = Plain(texts[:-1]).two
+    full, short = made(), made(False)
+    assert [r for r in full if r["kind"] != katz.GRAM] == short
+    grams = [r for r in full if r["kind"] == katz.GRAM]
+    assert len(grams) == sum(map(len, want.values())) > 3 * len(want)
+    contexts = [r for r in short if r["kind"] == katz.CONTEXT]
+    assert len(contexts) == len(want)
+    for c in contexts:
+        own = [g for g in grams if g["a"] == c["a"]]
+        assert (c["n"], c["known"]) == (sum(g["n"] for g in own), len(own))
+        assert c["x"] == pytest.approx(sum(g["x"] for g in own))
+        assert c["small"] == [sum(g["n"] == r for g in own) for r in range(1, katz.SMALL + 2)]
