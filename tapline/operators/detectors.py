@@ -9,9 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tapline.functions.columns import entropy
 from tapline.operators.ladders import rank_of, reported
@@ -111,34 +114,73 @@ def floods(deltas: DataFrame, flows: int = 200, volume: float = 20e6, syn: int =
     return _finish(rows, ["dst"], F.when(F.col("factor") >= 10, "critical").otherwise("high"), gap=30_000)
 
 
-def _median(values: Column) -> Column:
-    ordered, n = F.array_sort(values), F.size(values)
-    return F.when(n > 0, (F.element_at(ordered, F.floor((n + 1) / 2).cast("int")) + F.element_at(ordered, F.floor(n / 2).cast("int") + 1)) / 2.0)
+def _middles(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The median of the known values of each row; not a number where there are none."""
+    n = known.sum(1)
+    ordered, at = np.sort(np.where(known, values, np.nan), 1), np.arange(len(n))
+    return np.where(n > 0, (ordered[at, np.maximum(n + 1, 2) // 2 - 1] + ordered[at, np.minimum(n // 2, values.shape[1] - 1)]) / 2.0, np.nan)
+
+
+def _spread(values: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The median of each row's known values, and by how much they vary around it: their robust deviation by it."""
+    middle = _middles(values, known)
+    return middle, 1.4826 * _middles(np.abs(values - middle[:, None]), known) / middle
+
+
+PACES = "amount double, length long, middle double, cv double, size_cv double"
+
+
+def _paces(starts: DataFrame, keys: list[str], least: int, most: int, interval_ms: int, variation: float) -> DataFrame:
+    """keys, obs_ms and, of the last `most` starts at each, their number, length, median step, and how steps and sizes vary.
+
+    Windows of a batch are the rows of a matrix, sorted once for each median; `most` - 1 starts are carried to the next batch.
+    """
+    rows = starts.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("start_ms"))).select(*keys, "obs_ms", "start_ms", F.col("sent").cast("double"), "nth")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(most - 1, np.int64), np.zeros(most - 1, bool), np.zeros(most - 1), np.zeros(most - 1, bool)]
+        back = np.arange(most - 1, -1, -1)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = []
+            for name in ("start_ms", "sent"):
+                column = batch.column(name)
+                columns += [column.fill_null(0).to_numpy(zero_copy_only=False), column.is_valid().to_numpy(zero_copy_only=False)]
+            held = [np.concatenate((h[len(h) - most + 1 :], c)) for h, c in zip(held, columns)]
+            own = batch.column("nth").to_numpy(zero_copy_only=False)[:, None] > back
+            times, timed, sizes, sized = (np.lib.stride_tricks.sliding_window_view(h, most) for h in held)
+            timed, sized = timed & own, sized & own
+            amount = timed.sum(1)
+            with np.errstate(all="ignore"):
+                middle, cv = _spread(np.diff(times).astype(float), timed[:, 1:] & timed[:, :-1])
+                length = times[:, -1] - times[np.arange(len(times)), timed.argmax(1)]
+                found = np.flatnonzero((amount >= least) & (middle >= interval_ms) & (cv <= variation) & (length >= 3 * middle))
+                sized = sized[found]
+                usual, size_cv = _spread(sizes[found], sized)
+            told = (sized.sum(1) >= 4) & (usual > 0)
+            made = [pa.array(amount[found].astype(float)), pa.array(length[found]), pa.array(middle[found]), pa.array(cv[found]), pa.array(size_cv, mask=~told)]
+            kept = batch.select([*keys, "obs_ms"]).take(pa.array(found))
+            yield pa.RecordBatch.from_arrays([*kept.columns, *made], names=[*keys, "obs_ms", *(c.split(" ")[0] for c in PACES.split(", "))])
+
+    schema = StructType([rows.schema[c] for c in (*keys, "obs_ms")] + list(StructType.fromDDL(PACES)))
+    return rows.mapInArrow(run, schema)
 
 
 def beacons(deltas: DataFrame, local: Column, periodic: DataFrame | None = None, least: int = 8, most: int = 64, interval_ms: int = 5_000, variation: float = 0.15) -> DataFrame:
     """Pairs that connect at even intervals over their last starts; known periodic pairs are left out.
 
-    size_cv says how much the bytes sent by the finished ones vary, if at least four of these starts have them.
+    size_cv says how much the bytes sent by the finished ones vary, if at least four of these starts have them. `local`
+    is an expression over the pair's columns.
     """
     keys = ["src", "dst", "dport", "proto"]
     sent = F.min_by(F.when(F.col("terminal"), F.col("orig_bytes")), "obs_ms")
     starts = deltas.filter("new_flow").groupBy(*keys, "start_ms").agg(F.min("obs_ms").alias("obs_ms"), sent.alias("sent"))
     if periodic is not None:
         starts = starts.join(periodic.select(*keys), keys, "left_anti")
-    last = Window.partitionBy(*keys).orderBy("start_ms").rowsBetween(-(most - 1), 0)
-    rows = starts.withColumns({"times": F.collect_list("start_ms").over(last), "sizes": F.collect_list(F.col("sent").cast("double")).over(last)}).filter(F.size("times") >= least)
-    steps = F.zip_with(F.slice("times", 2, most), F.slice("times", 1, F.size("times") - 1), lambda b, a: (b - a).cast("double"))
-    rows = rows.withColumn("iats", steps)
-    rows = rows.withColumn("middle", _median(F.col("iats"))).filter(F.col("middle") >= interval_ms)
-    rows = rows.withColumn("gaps", F.transform("iats", lambda x: F.abs(x - F.col("middle"))))
-    rows = rows.withColumn("cv", 1.4826 * _median(F.col("gaps")) / F.col("middle")).withColumn("amount", F.size("times").cast("double"))
-    rows = rows.filter((F.col("cv") <= variation) & (F.element_at("times", -1) - F.element_at("times", 1) >= 3 * F.col("middle")))
+    rows = _paces(starts, keys, least, most, interval_ms, variation)
     severity = F.when(~local & (F.col("cv") <= 0.05) & (F.col("amount") >= 16), "high").when(~local, "medium").otherwise("low")
     score = 0.6 * F.greatest(F.lit(0.0), 1 - F.col("cv") / variation) + 0.4 * F.least(F.lit(1.0), F.col("amount") / 32)
-    rows = rows.withColumn("usual", _median(F.col("sizes")))
-    apart = _median(F.transform("sizes", lambda x: F.abs(x - F.col("usual"))))
-    rows = rows.withColumn("size_cv", F.when((F.size("sizes") >= 4) & (F.col("usual") > 0), 1.4826 * apart / F.col("usual")))
     return _finish(rows.withColumn("subtype", F.lit("periodic_beacon")).withColumn("score", score), keys, severity, ("size_cv",))
 
 
