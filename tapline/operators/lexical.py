@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 
 import numpy as np
@@ -21,6 +22,7 @@ from pyspark.sql.types import StructType
 
 from tapline.functions import columns as fn
 from tapline.operators.tables import nearest_rank
+from tapline.sources.shared import remove_folder, shared_folder
 
 # Fixed values of the feature contract: its version, symbols (boundaries ^ and $, ? for any other), bounds and order.
 CONTRACT, SYMBOLS, BUCKETS, LEAST_LABEL = "dga_lexical-1.0.0", "abcdefghijklmnopqrstuvwxyz0123456789-^$?", 32, 6
@@ -37,9 +39,13 @@ def _framed(label: Column) -> Column:
     return F.concat(F.lit("^"), F.regexp_replace(label, "[^a-z0-9-]", "?"), F.lit("$"))
 
 
+def _once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """`of` the value, which is computed once: elsewhere an expression is written out wherever it is used, in lambdas for each element."""
+    return F.element_at(F.transform(F.array(value), lambda v: of(v)), 1)
+
+
 def _pairs(label: Column) -> Column:
-    framed = _framed(label)
-    return F.transform(F.sequence(F.lit(1), F.length(framed) - 1), lambda i: F.substring(framed, i, F.lit(2)))
+    return _once(_framed(label), lambda framed: F.transform(F.sequence(F.lit(1), F.length(framed) - 1), lambda i: F.substring(framed, i, F.lit(2))))
 
 
 def transition_table(labels: DataFrame, label: str = "label") -> list[float]:
@@ -55,26 +61,32 @@ def transition_table(labels: DataFrame, label: str = "label") -> list[float]:
 def log_probability(label: Column, table: list[float]) -> Column:
     """The mean over a label's transitions of their logarithmic probability."""
     n, symbols = len(SYMBOLS), F.lit(SYMBOLS)
+    known = F.split(F.lit(" ".join(map(repr, table))), " ").cast("array<double>")  # one constant; 1600 take a second to name
     place = lambda pair, i: F.instr(symbols, F.substring(pair, i, 1)) - 1
-    steps = F.transform(_pairs(label), lambda p: F.element_at(F.lit(table), (place(p, 1) * n + place(p, 2) + 1).cast("int")))
-    return F.aggregate(steps, F.lit(0.0), lambda a, x: a + x) / F.size(steps)
+    steps = F.transform(_pairs(label), lambda p: F.element_at(known, (place(p, 1) * n + place(p, 2) + 1).cast("int")))
+    return _once(steps, lambda steps: F.aggregate(steps, F.lit(0.0), lambda a, x: a + x) / F.size(steps))
 
 
 def vector(query: Column, table: list[float]) -> Column:
     """The features of a name in the contract's order; null for names that aren't eligible."""
-    name = fn.normal_name(query)
-    label, registrable = fn.second_label(name), fn.registrable(name)
     parts = lambda text: F.size(F.split(text, r"\."))
     most = lambda x, bound: F.least(x, F.lit(bound))
-    hashed = F.transform(_pairs(label), lambda p: fn.fnv1a32(p) % BUCKETS)
-    shares = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.size(F.filter(hashed, lambda h: h == b)) / F.size(hashed))
     consonants = "bcdfghjklmnpqrstvwxyz"
-    plain = [
-        most(F.length(label), 63), fn.entropy(label), fn.class_ratio(label, "0-9"), fn.class_ratio(label, "aeiou"), fn.class_ratio(label, consonants), most(fn.longest_run(label, consonants), 63), most(fn.longest_run(label, "0-9"), 63),
-        most(F.length(label) - F.length(F.replace(label, F.lit("-"), F.lit(""))), 10), F.size(F.array_distinct(F.filter(F.split(label, ""), lambda c: F.length(c) > 0))) / F.length(label), fn.class_ratio(label, "0-9a-f"),
-        most(F.length(name), 253), most(parts(name) - parts(registrable), 10), parts(registrable) - 1, log_probability(label, table),
-    ]
-    return F.when(F.length(label) >= LEAST_LABEL, F.concat(F.array(*(c.cast("double") for c in plain)), shares))
+
+    def shares(label: Column) -> Column:
+        hashed = F.transform(_pairs(label), lambda p: fn.fnv1a32(p) % BUCKETS)
+        return _once(hashed, lambda hashed: F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.size(F.filter(hashed, lambda h: h == b)) / F.size(hashed)))
+
+    def features(name: Column, label: Column, registrable: Column) -> Column:
+        plain = [
+            most(F.length(label), 63), fn.entropy(label), fn.class_ratio(label, "0-9"), fn.class_ratio(label, "aeiou"), fn.class_ratio(label, consonants), most(fn.longest_run(label, consonants), 63), most(fn.longest_run(label, "0-9"), 63),
+            most(F.length(label) - F.length(F.replace(label, F.lit("-"), F.lit(""))), 10), F.size(F.array_distinct(F.filter(F.split(label, ""), lambda c: F.length(c) > 0))) / F.length(label), fn.class_ratio(label, "0-9a-f"),
+            most(F.length(name), 253), most(parts(name) - parts(registrable), 10), parts(registrable) - 1, log_probability(label, table),
+        ]
+        return F.when(F.length(label) >= LEAST_LABEL, F.concat(F.array(*(c.cast("double") for c in plain)), shares(label)))
+
+    named = lambda name: _once(fn.second_label(name), lambda label: _once(fn.registrable(name), lambda registrable: features(name, label, registrable)))
+    return _once(fn.normal_name(query), named)
 
 
 @dataclass(frozen=True)
@@ -120,10 +132,20 @@ def _summed(rows: DataFrame, size: int, of) -> np.ndarray:
 def fit(rows: DataFrame, table: list[float], penalty: float = 1.0, most: int = 100) -> NameModel:
     """A ridge logistic model of rows (x array<double>, y 0 or 1) by Newton's method on standardised features.
 
-    Each step sums the gradient and the curvature over all rows where they are. The intercept isn't penalised. Rows with
-    null features don't count; constant features keep their scale.
+    Features are made once, into a table that goes with the model's end. Each step sums the gradient and the curvature over
+    all rows where they are. The intercept isn't penalised. Rows with null features don't count; constant features keep
+    their scale.
     """
-    rows = rows.filter("x IS NOT NULL AND y IS NOT NULL").select("x", F.col("y").cast("double"))
+    spark = rows.sparkSession
+    folder = f"{shared_folder(spark)}/names-{uuid.uuid4().hex}"
+    try:
+        rows.select("x", F.col("y").cast("double")).write.parquet(folder)
+        return _newton(spark.read.parquet(folder).filter("x IS NOT NULL AND y IS NOT NULL"), table, penalty, most)
+    finally:
+        remove_folder(spark, folder)
+
+
+def _newton(rows: DataFrame, table: list[float], penalty: float, most: int) -> NameModel:
     d = len(rows.select("x").first()["x"])
     moments = _summed(rows, 2 * d + 1, lambda x, y: np.concatenate((x.sum(0), (x * x).sum(0), [len(y)])))
     n = moments[-1]

@@ -142,3 +142,19 @@ def test_generated_domains(spark):
     frame = spark.createDataFrame(rows, "src string, registrable string, obs_ms long, p double, generated boolean, nx boolean")
     got = sorted((r.obs_ms, r.registrable, r.subtype, r.severity, r.score) for r in detectors.generated_domains(frame).collect())
     assert got == [(1000, "bad.com", "dga_domain", "low", 0.97), (2000, "bad.com", "dga_domain", "medium", 0.98), (61_000, "bad.com", "dga_domain", "low", 0.96)]
+
+
+def test_scores_of_pages(spark, tmp_path):
+    """Every page's names are scored, in time that is a matter of passes and not of expressions written out again."""
+    import time
+
+    from tapline.plans.registry import QUERIES
+
+    r = random.Random(4)
+    hosts = ["".join(r.choice(("ba", "na", "ter", "sol", "win", "der", "for", "est")) for _ in range(4)) + r.choice((".com", ".co.uk", ".example.org")) for _ in range(400)]
+    spark.createDataFrame([(i, f"https://www.{h}/{i}") for i, h in enumerate(hosts)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    began = time.time()
+    got = QUERIES["q_lexical_scores"](spark, str(tmp_path)).collect()
+    assert time.time() - began < 60
+    assert sorted((x.page_id, x.generated) for x in got) == [(i, k) for i in range(400) for k in (0, 1)]
+    assert all((x.p > 0.5) == (x.generated == 1) for x in got if x.reason is None) and sum(x.reason is None for x in got) > 700
