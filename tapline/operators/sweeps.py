@@ -8,6 +8,9 @@ shifted by the totals of those before it, so a key that holds most of the rows s
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +69,26 @@ def trailing_distinct(contacts: DataFrame, keys: list[str], item: list[str], at:
     return counted.filter("_asked").select(*keys, at, F.col("_step").alias(name))
 
 
+def bucket_distinct(contacts: DataFrame, keys: list[str], item: list[str], bucket: str, width: int, name: str = "n") -> DataFrame:
+    """keys, bucket, n: the different items that the key met in the last `width` buckets, at each bucket it has rows in.
+
+    In one bucket a member counts from there to its next bucket, at most for `width`; what is summed in order is one
+    row for each bucket in which a key's count may change. Rows with a null key, item or bucket meet nothing and have a
+    count all the same.
+    """
+    own = [*keys, *item]
+    rows = contacts.select(*own, bucket).distinct()
+    after = F.lead(bucket).over(Window.partitionBy(*own).orderBy(bucket))
+    met = reduce(and_, (F.col(c).isNotNull() for c in (*own, bucket))).cast("long")
+    rows = rows.select(*keys, bucket, F.least(F.col(bucket) + width, after).alias("_end"), met.alias("_step"))
+    begun = F.struct(F.col(bucket).alias(bucket), F.col("_step").alias("_step"), F.lit(True).alias("_asked"))
+    ended = F.struct(F.col("_end").alias(bucket), (-F.col("_step")).alias("_step"), F.lit(False).alias("_asked"))
+    changes = rows.select(*keys, F.explode(F.array(begun, ended)).alias("c")).select(*keys, "c.*")
+    steps = changes.groupBy(*keys, bucket).agg(F.sum("_step").alias("_step"), F.max("_asked").alias("_asked"))
+    past = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, 0)
+    return steps.withColumn(name, F.sum("_step").over(past)).filter("_asked").select(*keys, bucket, name)
+
+
 def active_spans(contacts: DataFrame, keys: list[str], at: str, horizon: int, name: str = "span") -> DataFrame:
     """keys, at, span: the number of the key's active span at each contact; a pause beyond `horizon` starts a new one."""
     spans = intervals(contacts.dropna(subset=[*keys, at]), keys, [], at, horizon)
