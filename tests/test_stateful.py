@@ -126,3 +126,55 @@ def test_late_rows(spark, tmp_path):
 def test_nothing_is_late_in_one_batch(spark, tmp_path):
     kept, late = streams.split_late(in_batches(spark, tmp_path, [("a", i, 1000 * (9 - i)) for i in range(9)], "k string, id long, ms long", 1), "ms", 0)
     assert kept.count() == 9 and late.count() == 0
+
+
+def test_a_source_with_more_rows_than_a_piece(spark, tmp_path):
+    """Rows of one batch pass in time order, however many a source has and in whatever order they come."""
+    from tapline.operators import detectors
+
+    r = random.Random(11)
+    rows = [("x", f"h{r.randint(0, 30)}", p, "tcp", f"{p}/tcp", at, at, True, r.random() < 0.8, r.choice(("S0", "SF", None)), r.choice(("both_directions", "originator_only", None))) for at in range(10, 25_000_000, 1000) for p in (r.choice((22, 80, 443)),) if at % 1_000_000 < 900_000]
+    r.shuffle(rows)
+    columns = ["src", "obs_ms", "subtype", "severity", "rank", "amount", "score"]
+    got = streams.drain(stateful.scans(in_batches(spark, tmp_path, rows, FLOW, 1), horizon_ms=9000, hosts=3, ports=2), "append").select(*columns)
+    want = detectors.scans(spark.createDataFrame(rows, FLOW), horizon_ms=9000, hosts=3, ports=2).select(*columns)
+    assert len(rows) > 20_000 and shown(got) == shown(want) and len(shown(want)) > 50
+
+
+def test_store_calls_of_a_source():
+    """Calls to the store are a matter of sources, not of their pairs or rows."""
+    import pandas as pd
+
+    calls, kept = [], {}
+
+    class Value:
+        def get(self):
+            calls.append("get")
+            return kept.get("value")
+
+        def update(self, value):
+            calls.append("update")
+            kept["value"] = value
+
+        def clear(self):
+            calls.append("clear")
+            kept.clear()
+
+    class Handle:
+        def getValueState(self, *_):
+            return Value()
+
+        def registerTimer(self, at):
+            calls.append(at)
+
+    class Timer:
+        def __init__(self, at):
+            self.getExpiryTimeInMs = lambda: at
+
+    processor = stateful.ScanProcessor(9000, 3, 2, frozenset())
+    processor.init(Handle())
+    piece = lambda start: pd.DataFrame({"dst": [f"h{i}" for i in range(500)], "port_key": ["22/tcp"] * 500, "obs_ms": range(start, start + 500), "attempt": [1] * 500})
+    made = pd.concat(processor.handleInputRows(("s",), iter([piece(1000), piece(0)]), None))
+    assert made["obs_ms"].iloc[0] == 2 and made["amount"].tolist() == [3.0, 6.0, 12.0, 15.0, 30.0, 60.0, 120.0, 240.0, 480.0] and calls == ["get", "update", 1499 + 9001]
+    assert len(kept["value"][-1]) == 500 and list(processor.handleExpiredTimer(("s",), None, Timer(1200 + 9000))) == [] and len(kept["value"][-1]) == 300
+    assert list(processor.handleExpiredTimer(("s",), None, Timer(1499 + 9001))) == [] and not kept
